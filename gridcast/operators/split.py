@@ -42,25 +42,15 @@ def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cut(n: Column, pct: int) -> Column:
-    # int(n * pct / 100) in exact integer arithmetic
+    # int(n * pct / 100); exact, both operands being whole numbers
     return F.floor(n * F.lit(int(pct)) / F.lit(100)).cast("long")
 
 
-def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
-                  initial: int | None = None, keys: Sequence[str] = KEYS,
-                  on_short: str = "skip") -> DataFrame:
-    """Expanding-window folds: fold i trains on rows [0, e_i) and tests on
-    rows [e_i, e_i + h), e_i = initial + i * step, while e_i + h <= n (W6).
-
-    ``initial`` defaults to floor(n * initial_pct / 100), or max(1, n // 3)
-    when both are None. Returns one row per (test row, fold): the input
-    columns plus ``idx`` (row number from 0), ``n``, ``initial``, ``fold``,
-    ``d`` (position in the horizon, 0..h-1) and ``n_folds``. A row belongs to
-    at most ceil(h / step) folds, so the expansion is bounded.
-
-    Series shorter than initial + h have no fold; ``on_short="raise"``
-    fails the job on them instead (the single-series behaviour).
-    """
+def fold_index(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
+               initial: int | None = None, keys: Sequence[str] = KEYS,
+               on_short: str = "skip") -> DataFrame:
+    """Add ``idx`` (row number from 0 by ds), ``n``, ``initial`` and
+    ``n_folds`` to every row of every series (see :func:`rolling_folds`)."""
     w = Window.partitionBy(*keys).orderBy("ds")
     x = (df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
@@ -78,7 +68,25 @@ def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80
             F.raise_error(F.lit("initial training size + horizon exceeds the series")))
     elif on_short != "skip":
         raise ValueError(f"unknown on_short {on_short!r}")
-    x = x.withColumn("n_folds", k)
+    return x.withColumn("n_folds", k)
+
+
+def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
+                  initial: int | None = None, keys: Sequence[str] = KEYS,
+                  on_short: str = "skip") -> DataFrame:
+    """Expanding-window folds: fold i trains on rows [0, e_i) and tests on
+    rows [e_i, e_i + h), e_i = initial + i * step, while e_i + h <= n (W6).
+
+    ``initial`` defaults to floor(n * initial_pct / 100), or max(1, n // 3)
+    when both are None. Returns one row per (test row, fold): the input
+    columns plus ``idx`` (row number from 0), ``n``, ``initial``, ``fold``,
+    ``d`` (position in the horizon, 0..h-1) and ``n_folds``. A row belongs to
+    at most ceil(h / step) folds, so the expansion is bounded.
+
+    Series shorter than initial + h have no fold; ``on_short="raise"``
+    fails the job on them instead (the single-series behaviour).
+    """
+    x = fold_index(df, h, step, initial_pct, initial, keys, on_short)
     rel = F.col("idx") - F.col("initial")
     lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
     hi = F.least(F.col("n_folds") - 1, F.floor(rel / step)).cast("long")

@@ -43,8 +43,13 @@ def _with(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
 
 
+def _r6(c: str) -> str:
+    # same tie-safe cut as the Spark side (offset 0.5002)
+    return f"CASE WHEN abs({c}) < 1e12 THEN floor({c} * 1e6 + 0.5002) / 1e6 ELSE {c} END"
+
+
 def _round(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return ", ".join(f"{_r6(c)} AS {c}" for c in cols)
 
 
 def folds(src: str, h: int, step: int, name: str = "f", extra: str = "") -> str:
@@ -135,7 +140,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH base AS (SELECT event_type AS name, CAST(user_id % 3 AS VARCHAR) AS unique_id, "
         f"CAST(6 AS INTEGER) AS id_object, ts, value FROM events) "
         f"SELECT {KEYS}, time_bucket(INTERVAL '3600 seconds', ts) + INTERVAL '3600 seconds' AS ds, "
-        f"round(sum(value) / count(value), 6) AS y, count(value) AS n, round(sum(value), 6) AS total "
+        f"{_r6('sum(value) / count(value)')} AS y, count(value) AS n, {_r6('sum(value)')} AS total "
         f"FROM base GROUP BY 1, 2, 3, 4")
     q["read_observations"] = _with(obs("fifteen_minute")) + f"SELECT {KEYS}, ds, {_round('y')} FROM obs"
     q["select_series"] = (_with(obs()) + f"SELECT ds, {_round('y')} FROM obs "
@@ -157,7 +162,7 @@ def oracle_sql() -> dict[str, str]:
         f"g AS (SELECT {KEYS}, unnest(generate_series({FROM_DATE}, {TO_DATE}, {_iv(3600)})) AS ds "
         f"FROM o GROUP BY 1, 2, 3)") + (
         f"SELECT coalesce(g.name, o.name) AS name, coalesce(g.unique_id, o.unique_id) AS unique_id, "
-        f"coalesce(g.id_object, o.id_object) AS id_object, g.ds AS ds, round(coalesce(o.y, 0.1), 6) AS y, "
+        f"coalesce(g.id_object, o.id_object) AS id_object, g.ds AS ds, {_r6('coalesce(o.y, 0.1)')} AS y, "
         f"g.ds IS NOT NULL AS on_grid FROM g FULL OUTER JOIN o ON g.name = o.name AND "
         f"g.unique_id = o.unique_id AND g.id_object = o.id_object AND g.ds = o.ds")
     q["resample_from_date"] = (_with(obs(), grid(start=FROM_DATE, end=TO_DATE, where=in_range))
@@ -249,4 +254,34 @@ def oracle_sql() -> dict[str, str]:
                         + fold_metric_sql("fm"))
     q["trend_rolling"] = (_with(obs(), grid(), trend_pred("r", 1, 1), fold_mean_cte("p"))
                           + fold_metric_sql("fm"))
+    q["grouped_forecast"] = (
+        _with(obs(), grid(), mean_pred("r", 1, 1), fold_mean_cte("p"))
+        + f"SELECT {KEYS}, {_r6('mape')} AS MAPE, {_r6('rmse')} AS RMSE, {_r6('mse')} AS MSE, "
+        f"{_r6('mae')} AS MAE FROM (SELECT {KEYS}, {METRICS} FROM fm GROUP BY 1, 2, 3)")
+    q["rollup_stream"] = (_with(obs()) + f"SELECT {KEYS}, ds, {roll}, n FROM obs "
+                          "WHERE ds <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'")
+    q["feature_stages"] = (_features() + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'avg_2')}, "
+                           "hour FROM ff")
+    q["evaluation_matrix"] = evaluation_matrix_sql()
     return q
+
+
+_PRED = {"naive": naive_pred, "mean": mean_pred, "ar1": ar1_pred, "trend": trend_pred}
+# Fixed values: (h, step) per forecast kind at one hour and fifteen minutes.
+_MATRIX_HORIZONS = {"one_hour": {"1_step": (1, 1), "1_hour": (1, 1), "12_hour": (12, 1)},
+                    "fifteen_minute": {"1_step": (1, 1), "1_hour": (4, 4), "12_hour": (48, 4)}}
+
+
+def evaluation_matrix_sql(models=("naive", "mean", "ar1", "trend"),
+                          granularities=("one_hour", "fifteen_minute")) -> str:
+    ctes, selects = [], []
+    for g in granularities:
+        ctes += [obs(g, f"obs_{g}"), grid(f"obs_{g}", g, f"r_{g}")]
+        for fc, (h, step) in _MATRIX_HORIZONS[g].items():
+            for m in models:
+                tag = f"{m}_{g}_{fc}"
+                ctes += [_PRED[m](f"r_{g}", h, step, f"p_{tag}"), fold_mean_cte(f"p_{tag}", f"fm_{tag}")]
+                selects.append(f"SELECT {KEYS}, '{m}' AS model, '{g}' AS granularity, "
+                               f"'{fc}' AS forecast, {METRIC_OUT} FROM (SELECT {KEYS}, {METRICS} "
+                               f"FROM fm_{tag} GROUP BY 1, 2, 3)")
+    return _with(*ctes) + " UNION ALL ".join(selects)

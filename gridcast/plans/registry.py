@@ -25,12 +25,18 @@ from gridcast.operators.series import (count_series, select_series, select_time_
                                        series_counts)
 from gridcast.operators.split import (fold_counts, rolling_folds, split_by_position,
                                       split_by_rank)
+from gridcast.operators.stages import (DropNullsStage, LagStage, MovingAverageStage,
+                                      ResampleStage, TimeInfoStage)
+from gridcast.plans.grouped import forecast_groups, make_forecaster
+from gridcast.plans.matrix import run_matrix
 from gridcast.plans.rolling import evaluate_rolling, rolling_forecast
+from gridcast.plans.trees import evaluate_holdout
+from gridcast.streaming.rollup import rollup_stream
 from gridcast.schema import KEYS, METRIC_COLUMNS, horizon
 from gridcast.session import scratch_path
 from gridcast.sources.observations import read_aggregation, write_observations
 from gridcast.sources.sinks import read_metrics, write_metrics
-from gridcast.sources.tables import raw_events, raw_orders
+from gridcast.sources.tables import raw_events, raw_from_events, raw_orders, table
 
 K = list(KEYS)
 # The date range and series used by the registered queries
@@ -40,12 +46,29 @@ TO_DATE = "2024-01-29 23:00:00"
 ONE_SERIES = {"name": "click", "unique_id": 1, "id_object": 6}
 MANY_SERIES = [{"name": "view", "unique_id": u, "id_object": 6} for u in (0, 1, 2)]
 MIN_OBSERVATIONS = 430
+STREAM_LATENESS = "10 minutes"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols = {f.name: F.round(f.name, digits) for f in df.schema.fields
+# Fixed value: rounding offset shared with the SQL twins. Source values
+# have two decimals, so means over power-of-two counts often end exactly
+# in ...5 at the 7th decimal; with a plain half-up cut, a 1-ulp difference
+# in summation order would flip them. Cutting at 0.4998 keeps exact halves
+# away from the boundary.
+ROUND_OFFSET = 0.5002
+
+
+def round6(c: str) -> F.Column:
+    """floor(x * 1e6 + 0.5002) / 1e6 in plain double arithmetic, identical
+    in every engine (``round`` rounds the decimal string in Spark and the
+    binary value elsewhere)."""
+    x = F.col(c)
+    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + ROUND_OFFSET) / 1e6).otherwise(x)
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    cols = {f.name: round6(f.name) for f in df.schema.fields
             if isinstance(f.dataType, (DoubleType, FloatType))}
     return df.withColumns(cols) if cols else df
 
@@ -257,6 +280,67 @@ def q_trend_rolling(spark, sf):
     return rounded(evaluate_rolling(grid(spark, sf), "trend", "one_hour", "1_step"))
 
 
+def q_arx_rolling(spark, sf):
+    return rounded(evaluate_rolling(grid(spark, sf), "arx", "one_hour", "12_hour"))
+
+
+def q_trend_seasonal_rolling(spark, sf):
+    return rounded(evaluate_rolling(grid(spark, sf), "trend_seasonal", "one_hour", "12_hour"))
+
+
+def _tree_features(spark, sf):
+    return build_features(obs(spark, sf), "one_hour", h_lags=2, avg_h=2, use_hour=True)
+
+
+TREE_FEATURES = ["lag_1", "lag_2", "avg_2", "hour"]
+
+
+def q_decision_tree_forecast(spark, sf):
+    pred, _ = evaluate_holdout(_tree_features(spark, sf), TREE_FEATURES, "decision_tree")
+    return rounded(pred)
+
+
+def q_gbt_forecast(spark, sf):
+    pred, _ = evaluate_holdout(_tree_features(spark, sf), TREE_FEATURES, "gbt")
+    return rounded(pred)
+
+
+def q_tree_holdout_metrics(spark, sf):
+    _, m = evaluate_holdout(_tree_features(spark, sf), TREE_FEATURES, "decision_tree")
+    return rounded(m)
+
+
+def q_grouped_forecast(spark, sf):
+    fn = make_forecaster("mean", "one_hour", "1_step")
+    return rounded(forecast_groups(grid(spark, sf), fn))
+
+
+def q_rollup_stream(spark, sf):
+    events = table(spark, sf, "events")
+    sink, ckpt = scratch_path(spark, "rollup-sink"), scratch_path(spark, "rollup-ckpt")
+    query = rollup_stream(spark, sf, events.schema, raw_from_events, sink, ckpt, "one_hour",
+                          STREAM_LATENESS, file_glob="events.parquet")
+    query.awaitTermination()
+    return rounded(spark.read.parquet(sink))
+
+
+def q_feature_stages(spark, sf):
+    from pyspark.ml import Pipeline
+    stages = [ResampleStage(granularity="one_hour"), TimeInfoStage(info=["hour"]),
+              LagStage(lags=2), MovingAverageStage(n=2),
+              DropNullsStage(cols=["lag_1", "lag_2", "avg_2", "hour"])]
+    o = obs(spark, sf)
+    return rounded(Pipeline(stages=stages).fit(o).transform(o))
+
+
+MATRIX_MODELS = ("naive", "mean", "ar1", "trend")
+MATRIX_GRANULARITIES = ("one_hour", "fifteen_minute")
+
+
+def q_evaluation_matrix(spark, sf):
+    return rounded(run_matrix(lambda g: grid(spark, sf, g), MATRIX_MODELS, MATRIX_GRANULARITIES))
+
+
 def queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items()
             if name.startswith("q_") and callable(fn)}
