@@ -1,7 +1,7 @@
 """Column expressions on the time column (all time-zone independent).
 
-``ds`` is TIMESTAMP_NTZ throughout; epoch arithmetic is done as a
-difference to the NTZ epoch, so no session time zone can shift a tick.
+``ds`` is TIMESTAMP_NTZ throughout; epoch arithmetic uses calendar fields
+and ``timestamp_add``, so no session time zone can shift a tick.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
@@ -19,9 +18,26 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _epoch_days(c: Column) -> Column:
+    return F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+
+
 def epoch_seconds(col: str | Column = "ds") -> Column:
-    """TIMESTAMP_NTZ -> seconds since 1970-01-01 00:00 (bigint)."""
-    return F.timestamp_diff("SECOND", _epoch(), _c(col))
+    """TIMESTAMP_NTZ -> whole seconds since 1970-01-01 00:00 (bigint).
+
+    Built from the calendar fields: ``timestamp_diff`` on TIMESTAMP_NTZ goes
+    through the session time zone and loses an hour in a DST gap.
+    """
+    c = _c(col)
+    return (_epoch_days(c) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+            + F.second(c)).cast("long")
+
+
+def epoch_micros(col: str | Column = "ts") -> Column:
+    """TIMESTAMP_NTZ -> microseconds since 1970-01-01 00:00 (bigint)."""
+    c = _c(col)
+    whole = _epoch_days(c) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
 def from_epoch_seconds(col: str | Column) -> Column:

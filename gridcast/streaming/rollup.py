@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridcast.functions.time import epoch_micros
 from gridcast.schema import KEYS, Granularity
 
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
 def _to_instant(ntz: str) -> Column:
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH_NTZ), F.col(ntz)))
+    return F.timestamp_micros(epoch_micros(ntz))
 
 
 def _to_ntz(instant: Column) -> Column:
