@@ -1,9 +1,10 @@
 """Evaluation matrix (X1): models x granularities x forecast kinds as rows
 of one DataFrame instead of nested driver loops of jobs.
 
-Each configuration is a lazy plan over the same rollup; the union is one
-job, in which Spark reuses identical exchanges (the rollup and the gridded
-series of a granularity are shuffled once and shared by every branch).
+Per granularity, all running-window models and all forecast kinds are
+evaluated in one pass over the gridded series (``evaluate_rolling_many``):
+one rollup shuffle and one series shuffle per granularity, whatever the
+number of models and horizons. Regression models add one branch each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.plans.rolling import evaluate_rolling
+from gridcast.plans.rolling import SIMPLE_MODELS, evaluate_rolling, evaluate_rolling_many
 from gridcast.schema import HORIZONS, Granularity
 
 SeriesFor = Callable[[str], DataFrame]
@@ -26,14 +27,19 @@ def run_matrix(series_for: SeriesFor, models: Sequence[str], granularities: Sequ
     """``series_for(granularity)`` returns the gridded series; the result
     has one metrics row per (series, model, granularity, forecast)."""
     parts = []
+    simple = [m for m in models if m in SIMPLE_MODELS]
     for g in granularities:
         series = series_for(g)
-        for fc in forecasts:
-            if Granularity.of(g).freq not in HORIZONS[fc]:
-                continue
+        fcs = [fc for fc in forecasts if Granularity.of(g).freq in HORIZONS[fc]]
+        if simple and fcs:
+            # every simple model and forecast kind in one pass over the series
+            parts.append(evaluate_rolling_many(series, simple, g, fcs, initial_pct)
+                         .withColumn("granularity", F.lit(g)))
+        for fc in fcs:
             for m in models:
-                parts.append(evaluate_rolling(series, m, g, fc, initial_pct).withColumns(
-                    {"model": F.lit(m), "granularity": F.lit(g), "forecast": F.lit(fc)}))
+                if m not in SIMPLE_MODELS:
+                    parts.append(evaluate_rolling(series, m, g, fc, initial_pct).withColumns(
+                        {"model": F.lit(m), "granularity": F.lit(g), "forecast": F.lit(fc)}))
     if not parts:
         raise ValueError("empty evaluation matrix")
     return reduce(DataFrame.unionByName, parts)

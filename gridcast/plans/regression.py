@@ -158,15 +158,21 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
     df = (df.withColumn("_blk", blk).filter(F.col("_blk") <= F.col("n_folds"))
           .na.drop(subset=regs))
     pairs = [(z[i], z[j]) for i in range(k + 1) for j in range(i, k + 1)]
+    # hour indicators are one-hot: their cross products are zero by
+    # construction, so only the non-zero entries of the Gram are summed
+    onehot = {c for c in regs if c.startswith("hour_")}
+    live = [n for n, (a, b) in enumerate(pairs) if not (a in onehot and b in onehot and a != b)]
     last = [f"lag_{j}" for j in range(1, p_max + 1)] if model == "arx" else []
     first_row = F.struct(F.col("idx").alias("idx"), F.col("_ep").alias("ep"),
                          F.array(*[F.col(c).cast("double") for c in last] or [F.lit(0.0)]).alias("last"))
     blocks = (df.groupBy(*K, "_blk").agg(
-        *[F.sum(F.col(a) * F.col(b)).alias(f"_g{n}") for n, (a, b) in enumerate(pairs)],
+        *[F.sum(F.col(pairs[n][0]) * F.col(pairs[n][1])).alias(f"_g{n}") for n in live],
         F.count(F.lit(1)).alias("_cnt"), F.min_by(first_row, F.col("idx")).alias("_first")))
     wb = Window.partitionBy(*K).orderBy("_blk")
     upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gram = F.array(*[F.sum(f"_g{n}").over(upto) for n in range(len(pairs))])
+    live_set = set(live)
+    gram = F.array(*[F.sum(f"_g{n}").over(upto) if n in live_set else F.lit(0.0)
+                     for n in range(len(pairs))])
     folds = (blocks.select(*K, F.col("_blk").alias("fold"), gram.alias("gram"),
                            F.sum("_cnt").over(upto).alias("cnt"),
                            F.lead("_first", 1).over(wb).alias("origin"))

@@ -4,12 +4,15 @@ running window aggregate.
 Refitting at every origin on all rows before it is, for these models, an
 aggregate over ``rowsBetween(unboundedPreceding, -1)``: Spark computes such
 frames incrementally, so all folds of a series cost one ordered pass
-instead of one fit per fold. The fold table (``rolling_folds``) then picks
-each fold's state from its origin row with ``first()`` over
-``partitionBy(keys, fold)``, which the existing partitioning by series
-keys already satisfies: no extra shuffle.
+instead of one fit per fold. A model's state at a row does not depend on
+the horizon, so one pass serves every model and every forecast kind: each
+row is exploded into the (forecast, fold) pairs whose test window holds it
+(at most ceil(h / step) per kind), each fold takes its state from its
+origin row with ``first()`` over ``partitionBy(keys, forecast, fold)``, and
+the models are stacked into rows. The partitioning by series keys already
+satisfies every later window and aggregate: no extra shuffle.
 
-Models (``state`` computed at every row from the rows before it):
+Models (state computed at every row from the rows before it):
 
 ``naive``  last value y[e-1] for the whole horizon.
 ``mean``   mean of all rows before the origin.
@@ -20,79 +23,117 @@ Models (``state`` computed at every row from the rows before it):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.operators.metrics import fold_metrics
-from gridcast.operators.split import rolling_folds
+from gridcast.operators.split import fold_index
 from gridcast.schema import KEYS, Granularity, horizon
 
 SIMPLE_MODELS = ("naive", "mean", "ar1", "trend")
 
 
-def _state(df: DataFrame, model: str, keys: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ds")
+def _states(df: DataFrame, models: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(*KEYS).orderBy("ds")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    if model == "naive":
-        cols = {"_last": F.lag("y", 1).over(w)}
-    elif model == "mean":
-        cols = {"_a": F.avg("y").over(past)}
-    elif model == "ar1":
-        lag1 = F.lag("y", 1).over(w)
-        df = df.withColumn("_x", lag1)
-        cols = {"_a": F.regr_intercept("y", "_x").over(past),
-                "_b": F.regr_slope("y", "_x").over(past), "_last": F.col("_x")}
-    elif model == "trend":
-        df = df.withColumn("_x", (F.row_number().over(w) - 1).cast("double"))
-        cols = {"_a": F.regr_intercept("y", "_x").over(past),
-                "_b": F.regr_slope("y", "_x").over(past)}
-    else:
-        raise ValueError(f"unknown model {model!r}; expected one of {SIMPLE_MODELS}")
-    return df.withColumns(cols)
+    unknown = set(models) - set(SIMPLE_MODELS)
+    if unknown:
+        raise ValueError(f"unknown model {sorted(unknown)}; expected one of {SIMPLE_MODELS}")
+    df = df.withColumn("_last", F.lag("y", 1).over(w))
+    cols = {}
+    if "mean" in models:
+        cols["_mean"] = F.avg("y").over(past)
+    if "ar1" in models:
+        cols["_ar_a"] = F.regr_intercept("y", "_last").over(past)
+        cols["_ar_b"] = F.regr_slope("y", "_last").over(past)
+    if "trend" in models:
+        t = (F.row_number().over(w) - 1).cast("double")
+        df = df.withColumn("_t", t)
+        cols["_tr_a"] = F.regr_intercept("y", "_t").over(past)
+        cols["_tr_b"] = F.regr_slope("y", "_t").over(past)
+    return df.withColumns(cols) if cols else df
 
 
 def _forecast(model: str):
-    origin = Window.partitionBy(*KEYS, "fold").orderBy("idx")
+    origin = Window.partitionBy(*KEYS, "forecast", "fold").orderBy("idx")
 
     def at_origin(c):
         return F.first(c).over(origin)
 
-    d = F.col("d")
     if model == "naive":
         return at_origin("_last")
     if model == "mean":
-        return at_origin("_a")
+        return at_origin("_mean")
     if model == "ar1":
-        a, b = at_origin("_a"), at_origin("_b")
+        a, b = at_origin("_ar_a"), at_origin("_ar_b")
         # y[e+d] = a + b y[e+d-1], starting from y[e-1]
-        return F.aggregate(F.sequence(F.lit(0), d), at_origin("_last"),
+        return F.aggregate(F.sequence(F.lit(0), F.col("d")), at_origin("_last"),
                            lambda acc, _: a + b * acc)
     if model == "trend":
-        return at_origin("_a") + at_origin("_b") * F.col("idx").cast("double")
+        return at_origin("_tr_a") + at_origin("_tr_b") * F.col("idx").cast("double")
     raise ValueError(f"unknown model {model!r}")
 
 
+def _membership(name: str, step: int, rel):
+    def to_struct(fold):
+        return F.struct(F.lit(name).alias("forecast"), fold.alias("fold"),
+                        (rel - fold * step).alias("d"))
+    return to_struct
+
+
+def rolling_forecast_many(series: DataFrame, models: Sequence[str],
+                          horizons: Mapping[str, tuple[int, int]],
+                          initial_pct: int = 80) -> DataFrame:
+    """Per test row, forecast kind, fold and model: keys, forecast, model,
+    fold, d, idx, ds, y, yhat. ``horizons`` maps a forecast name to (h, step)."""
+    base = _states(series.select(*KEYS, "ds", "y"), models)
+    x = fold_index(base, 1, 1, initial_pct=initial_pct).drop("n_folds")
+    rel = F.col("idx") - F.col("initial")
+    memberships = []
+    for name, (h, step) in horizons.items():
+        span = F.col("n") - F.col("initial") - h
+        k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0)
+        lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
+        hi = F.least(k - 1, F.floor(rel / step)).cast("long")
+        seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
+            F.array().cast("array<long>"))
+        memberships.append(F.transform(seq, _membership(name, step, rel)))
+    x = (x.filter((rel >= 0) & (F.col("initial") >= 1))
+         .withColumn("_m", F.explode(F.concat(*memberships))).select("*", "_m.*").drop("_m"))
+    x = x.withColumns({f"_yhat_{m}": _forecast(m) for m in models})
+    stacked = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_yhat_{m}").alias("yhat"))
+                        for m in models])
+    x = x.withColumn("_s", F.explode(stacked)).select("*", "_s.*")
+    return x.select(*KEYS, "forecast", "model", "fold", "d", "idx", "ds", "y", "yhat")
+
+
 def rolling_forecast(series: DataFrame, model: str, h: int, step: int,
-                     initial_pct: int = 80, keys: Sequence[str] = KEYS) -> DataFrame:
+                     initial_pct: int = 80) -> DataFrame:
     """Per test row and fold: keys, fold, d, idx, ds, y, yhat."""
-    if tuple(keys) != KEYS:
-        raise ValueError("rolling_forecast is keyed by the standard series keys")
-    base = _state(series.select(*keys, "ds", "y"), model, keys)
-    folds = rolling_folds(base, h, step, initial_pct=initial_pct, keys=keys)
-    out = folds.withColumn("yhat", _forecast(model))
-    return out.select(*keys, "fold", "d", "idx", "ds", "y", "yhat")
+    out = rolling_forecast_many(series, [model], {"f": (h, step)}, initial_pct)
+    return out.select(*KEYS, "fold", "d", "idx", "ds", "y", "yhat")
+
+
+def evaluate_rolling_many(series: DataFrame, models: Sequence[str],
+                          granularity: str | Granularity, forecasts: Sequence[str],
+                          initial_pct: int = 80, level: str = "fold") -> DataFrame:
+    """Metrics per (series, forecast, model) for several models and forecast
+    kinds in one pass over the series."""
+    horizons = {fc: horizon(fc, granularity) for fc in forecasts}
+    pred = rolling_forecast_many(series, models, horizons, initial_pct)
+    return fold_metrics(pred, by=[*KEYS, "forecast", "model"], level=level)
 
 
 def evaluate_rolling(series: DataFrame, model: str, granularity: str | Granularity,
-                     forecast: str = "1_step", initial_pct: int = 80, level: str = "fold",
-                     keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rolling-origin metrics per series for one forecast kind."""
+                     forecast: str = "1_step", initial_pct: int = 80,
+                     level: str = "fold") -> DataFrame:
+    """Rolling-origin metrics per series for one model and forecast kind."""
     h, step = horizon(forecast, granularity)
     if model in SIMPLE_MODELS:
-        pred = rolling_forecast(series, model, h, step, initial_pct, keys)
+        pred = rolling_forecast(series, model, h, step, initial_pct)
     else:
         from gridcast.plans.regression import rolling_regression
         pred = rolling_regression(series, model, granularity, h, step, initial_pct)
-    return fold_metrics(pred, by=keys, level=level)
+    return fold_metrics(pred, by=KEYS, level=level)
