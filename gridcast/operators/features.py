@@ -27,21 +27,61 @@ def lag_columns(n: int) -> list[str]:
     return [f"lag_{i}" for i in range(1, n + 1)]
 
 
-def lag_features(df: DataFrame, n: int, col: str = "y",
-                 keys: Sequence[str] = KEYS) -> DataFrame:
-    """lag_1 .. lag_n of ``col`` within each series, by ``ds``."""
+def lag_features(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KEYS,
+                 method: str = "window", granularity: str | Granularity | None = None) -> DataFrame:
+    """lag_1 .. lag_n of ``col`` within each series, by ``ds``.
+
+    ``method="shift"`` (needs ``granularity``) computes them without a
+    per-series window, for series too long for one task; it requires a
+    gap-free, duplicate-free grid (the output of ``resample``).
+    """
+    if method == "shift":
+        return _shifted(df, n, col, keys, granularity, lags=True, mean=False)
     w = series_window(keys)
     return df.withColumns({f"lag_{i}": F.lag(col, i).over(w) for i in range(1, n + 1)})
 
 
-def moving_average(df: DataFrame, n: int, col: str = "y",
-                   keys: Sequence[str] = KEYS) -> DataFrame:
+def moving_average(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KEYS,
+                   method: str = "window", granularity: str | Granularity | None = None) -> DataFrame:
     """Mean of the n previous rows (current row excluded); partial frames
-    at the start of a series, null on the first row."""
+    at the start of a series, null on the first row. ``method="shift"`` as
+    in :func:`lag_features`."""
+    if method == "shift":
+        return _shifted(df, n, col, keys, granularity, lags=False, mean=True)
     w = series_window(keys).rowsBetween(-n, -1)
     return df.withColumn(f"avg_{n}", F.avg(col).over(w))
 
 
+def _shifted(df: DataFrame, n: int, col: str, keys: Sequence[str],
+             granularity: str | Granularity | None, lags: bool, mean: bool) -> DataFrame:
+    """Lags / trailing mean as one aggregate keyed by (keys, ds).
+
+    Each row is copied to the n ticks that use it as a lag (bounded n-fold
+    expansion) and tagged with the distance; grouping by (keys, target ds)
+    gathers every row's lags. The shuffle is keyed by ds as well, so a
+    single long series spreads over all tasks. Exact on a regular grid
+    without gaps or duplicates; rows whose target tick does not exist are
+    dropped by the final aggregation (they never carry a ``_self`` part).
+    """
+    if granularity is None:
+        raise ValueError("method='shift' needs the granularity of the grid")
+    g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
+    keys = list(keys)
+    others = [c for c in df.columns if c not in keys and c != "ds"]
+    x = df.select(*keys, "ds", F.struct(*others).alias("_row"),
+                  F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_j"))
+    x = x.withColumn("ds", F.timestamp_add("SECOND", F.col("_j") * g.seconds, F.col("ds")))
+    val = F.col(f"_row.{col}")
+    aggs = [F.max(F.when(F.col("_j") == 0, F.col("_row"))).alias("_self")]
+    if lags:
+        aggs += [F.max(F.when(F.col("_j") == i, val)).alias(f"lag_{i}") for i in range(1, n + 1)]
+    if mean:
+        aggs.append(F.avg(F.when(F.col("_j") > 0, val)).alias(f"avg_{n}"))
+    out = x.groupBy(*keys, "ds").agg(*aggs).filter(F.col("_self").isNotNull())
+    new = [f"lag_{i}" for i in range(1, n + 1)] if lags else [f"avg_{n}"]
+    return out.select(*keys, "ds", *[F.col(f"_self.{c}").alias(c) for c in others], *new)
+
+
 def time_features(df: DataFrame, hour: bool = True, weekend: bool = True,
                   col: str = "ds") -> DataFrame:
     """``hour`` (0-23) and ``weekend`` (1 on Saturday/Sunday) of ``col``."""
@@ -101,16 +141,26 @@ def build_features(obs: DataFrame, granularity: str | Granularity, to_date: str
 
     The date range is applied **after** the windows, so the first rows in
     range still see their lags; it cannot be pushed below them.
+
+    ``method="join"`` is the long-series mode: grid by join and lags / mean
+    by shifted aggregation, both keyed by (keys, ds), so no task holds a
+    whole series.
     """
     df = resample(obs, granularity, to_date=to_date, keys=keys, method=method)
     df = time_features(df, hour=use_hour, weekend=use_weekend)
     if log:
         df = log_transform(df, "log1p")
-    w = series_window(keys)
-    cols = {f"lag_{i}": F.lag("y", i).over(w) for i in range(1, h_lags + 1)}
-    if avg_h:
-        cols[f"avg_{avg_h}"] = F.avg("y").over(w.rowsBetween(-avg_h, -1))
-    df = df.withColumns(cols) if cols else df
+    if method == "join":
+        if h_lags:
+            df = lag_features(df, h_lags, keys=keys, method="shift", granularity=granularity)
+        if avg_h:
+            df = moving_average(df, avg_h, keys=keys, method="shift", granularity=granularity)
+    else:
+        w = series_window(keys)
+        cols = {f"lag_{i}": F.lag("y", i).over(w) for i in range(1, h_lags + 1)}
+        if avg_h:
+            cols[f"avg_{avg_h}"] = F.avg("y").over(w.rowsBetween(-avg_h, -1))
+        df = df.withColumns(cols) if cols else df
     feats = feature_columns(h_lags, avg_h, use_hour, use_weekend)
     df = drop_nulls(df, feats or None)
     if vector:

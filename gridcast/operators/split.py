@@ -16,12 +16,29 @@ from gridcast.schema import KEYS, horizon
 
 
 def split_by_rank(df: DataFrame, train_pct: float = 80, keys: Sequence[str] = KEYS,
-                  rank_col: str = "pr") -> DataFrame:
+                  rank_col: str = "pr", method: str = "window") -> DataFrame:
     """``percent_rank`` by ds; train where rank <= train_pct / 100.
 
     Gives floor(p (n - 1)) + 1 train rows, not floor(p n): see
     :func:`split_by_position` for the positional cut.
+
+    ``method="bounds"``: on a gap-free, duplicate-free grid the rank is
+    (ds - first) / (last - first), computed from a per-series aggregate
+    joined back (one row per series; AQE broadcasts it once measured small),
+    so no task has to hold a whole series. Bit-identical to the window:
+    both are the correctly rounded quotient of the same two integers.
     """
+    if method == "bounds":
+        from gridcast.functions.time import epoch_seconds
+        keys = list(keys)
+        x = df.withColumn("_ep", epoch_seconds("ds"))
+        b = x.groupBy(*keys).agg(F.min("_ep").alias("_lo"), F.max("_ep").alias("_hi"))
+        span = F.col("_hi") - F.col("_lo")
+        pr = F.when(span > 0, (F.col("_ep") - F.col("_lo")) / span).otherwise(F.lit(0.0))
+        x = x.join(b, keys).withColumn(rank_col, pr).drop("_ep", "_lo", "_hi")
+        return x.withColumn("is_train", F.col(rank_col) <= F.lit(train_pct / 100))
+    if method != "window":
+        raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy(*keys).orderBy("ds")
     return (df.withColumn(rank_col, F.percent_rank().over(w))
             .withColumn("is_train", F.col(rank_col) <= F.lit(train_pct / 100)))

@@ -179,6 +179,8 @@ def oracle_sql() -> dict[str, str]:
                          + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'lag_3')} FROM l")
     q["moving_average"] = (_with(obs(), grid(), f"l AS (SELECT *, {avg3} FROM r)")
                            + f"SELECT {KEYS}, ds, {_round('y', 'avg_3')} FROM l")
+    q["lag_features_shift"] = q["lag_features"]
+    q["moving_average_shift"] = q["moving_average"]
     q["drop_nulls"] = (_with(obs(), grid(), f"l AS (SELECT *, {lags3}, {avg3} FROM r)")
                        + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'lag_3', 'avg_3')} FROM l "
                        "WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL "
@@ -205,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
         _features() + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'avg_2', 'pr')}, hour, "
         "pr <= CAST(0.8 AS DOUBLE) AS is_train FROM (SELECT *, percent_rank() OVER "
         f"{W} AS pr FROM ff)")
+    q["features_long_series"] = q["features_flagship"]
     q["split_by_rank"] = (_with(obs(), grid())
                           + f"SELECT {KEYS}, ds, {_round('y', 'pr')}, pr <= CAST(0.8 AS DOUBLE) AS is_train "
                           f"FROM (SELECT *, percent_rank() OVER {W} AS pr FROM r)")

@@ -158,6 +158,14 @@ def q_lag_features(spark, sf):
     return rounded(lag_features(grid(spark, sf), 3))
 
 
+def q_lag_features_shift(spark, sf):
+    return rounded(lag_features(grid(spark, sf), 3, method="shift", granularity="one_hour"))
+
+
+def q_moving_average_shift(spark, sf):
+    return rounded(moving_average(grid(spark, sf), 3, method="shift", granularity="one_hour"))
+
+
 def q_moving_average(spark, sf):
     return rounded(moving_average(grid(spark, sf), 3))
 
@@ -199,6 +207,13 @@ def q_features_flagship(spark, sf):
     return rounded(split_by_rank(df, 80))
 
 
+def q_features_long_series(spark, sf):
+    """The flagship in long-series mode: no per-series window anywhere."""
+    df = build_features(obs(spark, sf), "one_hour", h_lags=2, avg_h=2, use_hour=True,
+                        method="join")
+    return rounded(split_by_rank(df, 80, method="bounds"))
+
+
 def q_split_by_rank(spark, sf):
     return rounded(split_by_rank(grid(spark, sf), 80))
 

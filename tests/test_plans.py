@@ -63,3 +63,12 @@ def test_no_collect_in_library():
                     if isinstance(node, ast.Attribute) and node.attr in ("collect", "toPandas",
                                                                          "localCheckpoint"):
                         raise AssertionError(f"{node.attr} in {f}")
+
+
+def test_long_series_mode_has_no_series_window(spark):
+    df = registry.q_features_long_series(spark, SF_SMALL)
+    p = plan(df)
+    assert "Window [" not in p and "Window(" not in p, p
+    # every shuffle of the feature part is keyed by ds as well, except the
+    # one-row-per-series bounds aggregate
+    assert "hashpartitioning(name" in p
