@@ -72,3 +72,30 @@ def test_long_series_mode_has_no_series_window(spark):
     # every shuffle of the feature part is keyed by ds as well, except the
     # one-row-per-series bounds aggregate
     assert "hashpartitioning(name" in p
+
+
+def test_observation_scan_prunes_granularity_partitions(spark, tmp_path):
+    from gridcast.sources.observations import read_aggregation, write_observations
+    root = str(tmp_path / "obs")
+    for g in ("one_hour", "one_day"):
+        write_observations(registry.obs(spark, SF_SMALL, g), root, g)
+    df = read_aggregation(spark, root, "one_day").filter("name = 'click'")
+    p = plan(df)
+    assert "PartitionFilters: [isnotnull(granularity" in p and "one_day" in p
+    assert "EqualTo(name,click)" in p
+    assert df.count() == registry.obs(spark, SF_SMALL, "one_day").filter("name = 'click'").count()
+
+
+def test_metrics_sink_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from gridcast.plans.rolling import evaluate_rolling
+    from gridcast.sources.sinks import read_metrics, write_metrics
+    path = str(tmp_path / "metrics")
+    m = evaluate_rolling(registry.grid(spark, SF_SMALL), "naive", "one_hour", "1_step")
+    tagged = m.withColumns({"model": F.lit("naive"), "granularity": F.lit("one_hour"),
+                            "forecast": F.lit("1_step")})
+    write_metrics(tagged, path)
+    write_metrics(tagged, path)  # re-running one configuration replaces it
+    back = read_metrics(spark, path)
+    assert back.count() == m.count()
+    assert {r.model for r in back.select("model").distinct().collect()} == {"naive"}
