@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -68,16 +68,27 @@ def series_counts(df: DataFrame, keys: Sequence[str] = KEYS,
 
 
 def select_time_series(df: DataFrame, min_observations: int,
-                       keys: Sequence[str] = KEYS) -> DataFrame:
+                       keys: Sequence[str] = KEYS, method: str = "window") -> DataFrame:
     """Keep series with strictly more than ``min_observations`` rows.
 
-    A grouped count followed by a semi-join: the count side has one row per
-    series, and AQE turns the join into a broadcast when its measured size
-    is small, or splits skewed partitions of the big side otherwise.
+    ``method="window"`` (default): a count over ``partitionBy(keys)`` and a
+    filter: one pass and one shuffle by series key, which later series
+    windows reuse. Meant for observation tables, where a series holds at
+    most span / granularity rows.
+    ``method="semi_join"``: grouped count (map-side partial) + semi-join,
+    for raw tables whose hot keys must not land in one task: AQE broadcasts
+    the one-row-per-series side once measured small, or splits skewed
+    partitions of the big side. It reads ``df`` twice.
     """
+    keys = list(keys)
+    if method == "window":
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        return df.withColumn("_n", n).filter(F.col("_n") > min_observations).drop("_n")
+    if method != "semi_join":
+        raise ValueError(f"unknown method {method!r}")
     qualifying = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                   .filter(F.col("_n") > min_observations).select(*keys))
-    return df.join(qualifying, list(keys), "left_semi")
+    return df.join(qualifying, keys, "left_semi")
 
 
 def count_series(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -67,3 +67,10 @@ def test_pipeline_stages_round_trip(spark, tmp_path):
     a = sorted(tuple(r) for r in model.transform(obs).collect())
     b = sorted(tuple(r) for r in again.transform(obs).collect())
     assert a == b and len(a) == 3
+
+
+def test_min_observations_semi_join_variant(spark):
+    a = series_df(spark, hourly("2020-06-24 00:00", [1.0] * 3), name="a")
+    b = series_df(spark, hourly("2020-06-24 00:00", [1.0] * 4), name="b")
+    kept = select_time_series(a.unionByName(b), 3, method="semi_join")
+    assert {r.name for r in kept.collect()} == {"b"}
