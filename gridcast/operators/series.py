@@ -12,8 +12,10 @@ from gridcast.schema import KEYS
 
 # Above this many literal keys a selection becomes a semi-join against a
 # literal DataFrame instead of an OR/IN predicate. The list lives on the
-# driver, so its size is known and bounded: broadcasting it is safe.
+# driver, so its size is known: it is broadcast up to _BROADCAST_KEYS_MAX
+# keys and left to a shuffled (AQE-planned) semi-join beyond that.
 _IN_LIST_LIMIT = 100
+_BROADCAST_KEYS_MAX = 100_000
 
 
 def _key_predicate(key: Mapping[str, object]):
@@ -56,7 +58,9 @@ def select_series(df: DataFrame, key: Mapping[str, object] | Sequence[Mapping[st
             schema = StructType([StructField(c, df.schema[c].dataType) for c in names])
             rows = [tuple(str(k[c]) if c == "unique_id" else k[c] for c in names) for k in keys]
             lit_df = df.sparkSession.createDataFrame(rows, schema)
-            out = df.join(F.broadcast(lit_df), names, "left_semi")
+            if len(rows) <= _BROADCAST_KEYS_MAX:
+                lit_df = F.broadcast(lit_df)
+            out = df.join(lit_df, names, "left_semi")
     return out.select(*columns) if columns else out
 
 

@@ -18,6 +18,7 @@ from gridcast.operators.features import assemble
 from gridcast.operators.metrics import regression_metrics
 from gridcast.operators.split import split_by_rank, train_test
 from gridcast.schema import KEYS
+from gridcast.session import ensure_checkpoint_dir
 
 TREE_MODELS = ("decision_tree", "gbt")
 
@@ -40,14 +41,23 @@ def fit_tree(train: DataFrame, kind: str = "decision_tree", features_col: str =
 
 def evaluate_holdout(features: DataFrame, feature_cols: Sequence[str], kind: str = "decision_tree",
                      train_pct: float = 80, log: bool = False, keys: Sequence[str] = KEYS,
-                     **params) -> tuple[DataFrame, DataFrame]:
+                     checkpoint: bool = True, **params) -> tuple[DataFrame, DataFrame]:
     """Percent-rank split per series, fit on train, predict test.
 
     Returns (predictions: keys, ds, y, prediction; metrics per series). With
     ``log=True`` the label was log1p-transformed and both y and the
     prediction are mapped back with expm1 before the errors.
+
+    With ``checkpoint`` (default) the assembled feature table is written
+    once to the shared checkpoint folder before fitting: the fit's passes
+    and the test predictions read it instead of recomputing rollup, grid
+    and windows, and a lost executor recomputes from the checkpoint, not
+    from the raw table.
     """
     df = assemble(split_by_rank(features, train_pct, keys), feature_cols)
+    if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     train, test = train_test(df)
     model = fit_tree(train, kind, **params)
     pred = model.transform(test).select(*keys, "ds", "y", "prediction")
