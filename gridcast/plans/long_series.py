@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.time import epoch_seconds
 from gridcast.operators.features import lag_features
 from gridcast.operators.metrics import fold_metrics
+from gridcast.plans.rolling import _membership
 from gridcast.schema import KEYS, Granularity, horizon
 
 K = list(KEYS)
@@ -102,8 +103,7 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
         hi = F.least(k - 1, F.floor(rel / step)).cast("long")
         seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
             F.array().cast("array<long>"))
-        members.append(F.transform(seq, lambda f, name=name, step=step: F.struct(
-            F.lit(name).alias("forecast"), f.alias("fold"), (rel - f * step).alias("d"))))
+        members.append(F.transform(seq, _membership(name, step, rel)))
 
     n = F.col("cum_m_one")
     ar_a, ar_b = _slope(F.col("cum_m_pn"), F.col("cum_m_px"), F.col("cum_m_py"),

@@ -266,6 +266,9 @@ def oracle_sql() -> dict[str, str]:
     q["feature_stages"] = (_features() + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'avg_2')}, "
                            "hour FROM ff")
     q["evaluation_matrix"] = evaluation_matrix_sql()
+    q["rolling_long_series"] = (
+        f"SELECT * EXCLUDE (granularity) FROM ("
+        + evaluation_matrix_sql(granularities=("one_hour",), forecasts=("1_step", "12_hour")) + ")")
     return q
 
 
@@ -276,11 +279,14 @@ _MATRIX_HORIZONS = {"one_hour": {"1_step": (1, 1), "1_hour": (1, 1), "12_hour":
 
 
 def evaluation_matrix_sql(models=("naive", "mean", "ar1", "trend"),
-                          granularities=("one_hour", "fifteen_minute")) -> str:
+                          granularities=("one_hour", "fifteen_minute"),
+                          forecasts=("1_step", "1_hour", "12_hour")) -> str:
     ctes, selects = [], []
     for g in granularities:
         ctes += [obs(g, f"obs_{g}"), grid(f"obs_{g}", g, f"r_{g}")]
         for fc, (h, step) in _MATRIX_HORIZONS[g].items():
+            if fc not in forecasts:
+                continue
             for m in models:
                 tag = f"{m}_{g}_{fc}"
                 ctes += [_PRED[m](f"r_{g}", h, step, f"p_{tag}"), fold_mean_cte(f"p_{tag}", f"fm_{tag}")]

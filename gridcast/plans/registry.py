@@ -28,6 +28,7 @@ from gridcast.operators.split import (fold_counts, rolling_folds, split_by_posit
 from gridcast.operators.stages import (DropNullsStage, LagStage, MovingAverageStage,
                                       ResampleStage, TimeInfoStage)
 from gridcast.plans.grouped import forecast_groups, make_forecaster
+from gridcast.plans.long_series import evaluate_rolling_long
 from gridcast.plans.matrix import run_matrix
 from gridcast.plans.rolling import evaluate_rolling, rolling_forecast
 from gridcast.plans.trees import evaluate_holdout
@@ -350,12 +351,21 @@ def q_feature_stages(spark, sf):
 
 MATRIX_MODELS = ("naive", "mean", "ar1", "trend")
 MATRIX_GRANULARITIES = ("one_hour", "fifteen_minute")
+LONG_FORECASTS = ("1_step", "12_hour")
 
 
 def q_evaluation_matrix(spark, sf):
     return rounded(run_matrix(lambda g: grid(spark, sf, g), MATRIX_MODELS, MATRIX_GRANULARITIES))
 
 
+def q_rolling_long_series(spark, sf):
+    """Rolling-origin evaluation of the running-window models in
+    long-series mode: grid by join, states by two-level prefix sums, no
+    per-series window anywhere."""
+    series = resample(obs(spark, sf), "one_hour", method="join")
+    return rounded(evaluate_rolling_long(series, MATRIX_MODELS, "one_hour", LONG_FORECASTS))
+
+
 def queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items()
             if name.startswith("q_") and callable(fn)}
