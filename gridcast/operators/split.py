@@ -113,6 +113,27 @@ def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80
     return x.withColumn("d", F.col("idx") - F.col("initial") - F.col("fold") * step)
 
 
+def skipped_series(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
+                   initial: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Series that get no rolling-origin fold (n < initial + h, or an
+    initial training size below 1), one row each: keys, n, initial, h and
+    the reason. The multi-series counterpart of ``on_short="raise"``: the
+    others are evaluated, these are listed. One grouped count per series."""
+    keys = list(keys)
+    x = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if initial is not None:
+        init = F.lit(int(initial)).cast("long")
+    elif initial_pct is not None:
+        init = _cut(F.col("n"), initial_pct)
+    else:
+        init = F.greatest(F.lit(1), F.floor(F.col("n") / 3)).cast("long")
+    x = x.withColumns({"initial": init, "h": F.lit(int(h)).cast("long")})
+    reason = (F.when(F.col("initial") < 1, F.lit("initial training size below 1"))
+              .when(F.col("n") < F.col("initial") + F.col("h"),
+                    F.lit("initial training size + horizon exceeds the series")))
+    return x.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def fold_counts(df: DataFrame, granularity: str, forecasts: Sequence[str] = ("1_step", "1_hour", "12_hour"),
                 initial_pct: int = 80, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per series and forecast kind: n, initial, h, step and the number of

@@ -61,3 +61,17 @@ def test_fold_counts_one_hour(spark):
     df15 = quarter_hours(spark, 665)
     got = {r.forecast: r.n_folds for r in fold_counts(df15, "fifteen_minute").collect()}
     assert got == {"1_step": 133, "1_hour": 33, "12_hour": 22}
+
+
+def test_skipped_series_lists_the_short_ones(spark):
+    from pyspark.sql import functions as F
+    from gridcast.operators.split import skipped_series
+    df = quarter_hours(spark, 5).unionByName(
+        quarter_hours(spark, 40).withColumn("unique_id", F.lit("2")))
+    got = skipped_series(df, 4, 1).collect()
+    assert [(r.unique_id, r.n, r.initial) for r in got] == [("1", 5, 4)]
+    # the same series get no fold in rolling_folds, the others keep theirs
+    folded = {r.unique_id for r in rolling_folds(df, 4, 1).select("unique_id").distinct().collect()}
+    assert folded == {"2"}
+    assert [r.reason for r in skipped_series(quarter_hours(spark, 1), 1, 1)
+            .collect()] == ["initial training size below 1"]
