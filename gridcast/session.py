@@ -24,6 +24,10 @@ SCALE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Python call-site capture for error messages: several py4j round trips
+    # per column expression while a plan is built (seconds for the wide
+    # model plans); plans and results are unaffected.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -34,6 +38,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", "8g"))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
+    # Local test data is a few MB: with AQE's default 1 MB floor every
+    # coalesced stage becomes one task, and the CPU-heavy model stages
+    # (window fits, Arrow-batched solves) then use one core of the local
+    # machine. A lower floor keeps several tasks. Cluster sessions keep
+    # their own settings; at scale partitions are sized by the advisory
+    # 64 MB target anyway.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
