@@ -52,13 +52,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only when unset."""
+    """Return the shared checkpoint folder, setting one only when unset.
+
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local
+    session (tests, bench) without one gets a temporary folder of this
+    machine; on a cluster that would scatter checkpoint files over executor
+    disks, so a missing setting is an error there.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gridcast-ckpt-"))
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder on a shared file system; "
+                             "intermediate tables and checkpoints are written there")
+        configured = tempfile.mkdtemp(prefix="gridcast-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 

@@ -74,3 +74,37 @@ def test_min_observations_semi_join_variant(spark):
     b = series_df(spark, hourly("2020-06-24 00:00", [1.0] * 4), name="b")
     kept = select_time_series(a.unionByName(b), 3, method="semi_join")
     assert {r.name for r in kept.collect()} == {"b"}
+
+
+def test_checkpoint_dir_comes_from_the_cluster_setting():
+    """A cluster session must name a shared spark.checkpoint.dir; only a
+    local session may fall back to a folder of its own machine."""
+    import pytest
+    from gridcast.session import ensure_checkpoint_dir
+
+    class Ctx:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, master, values):
+            self.sparkContext, self.conf = Ctx(master), Conf(values)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session("spark://head:7077", {}))
+    shared = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert ensure_checkpoint_dir(shared) == "hdfs:///shared/ckpt"
+    assert ensure_checkpoint_dir(Session("local[2]", {}))
