@@ -165,14 +165,20 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
     last = [f"lag_{j}" for j in range(1, p_max + 1)] if model == "arx" else []
     first_row = F.struct(F.col("idx").alias("idx"), F.col("_ep").alias("ep"),
                          F.array(*[F.col(c).cast("double") for c in last] or [F.lit(0.0)]).alias("last"))
+    # The wide Gram parts are written as SQL expressions: one call per sum
+    # and one for the whole running array, instead of several py4j round
+    # trips per column while the plan is built (same plan either way).
     blocks = (df.groupBy(*K, "_blk").agg(
-        *[F.sum(F.col(pairs[n][0]) * F.col(pairs[n][1])).alias(f"_g{n}") for n in live],
+        *[F.expr(f"sum(`{pairs[n][0]}` * `{pairs[n][1]}`) AS _g{n}") for n in live],
         F.count(F.lit(1)).alias("_cnt"), F.min_by(first_row, F.col("idx")).alias("_first")))
     wb = Window.partitionBy(*K).orderBy("_blk")
     upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     live_set = set(live)
-    gram = F.array(*[F.sum(f"_g{n}").over(upto) if n in live_set else F.lit(0.0)
-                     for n in range(len(pairs))])
+    running = (f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in K)} ORDER BY _blk "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    gram = F.expr("array(" + ", ".join(
+        f"CAST(sum(_g{n}) {running} AS DOUBLE)" if n in live_set else "CAST(0 AS DOUBLE)"
+        for n in range(len(pairs))) + ")")
     folds = (blocks.select(*K, F.col("_blk").alias("fold"), gram.alias("gram"),
                            F.sum("_cnt").over(upto).alias("cnt"),
                            F.lead("_first", 1).over(wb).alias("origin"))
