@@ -24,6 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.functions.recursion import ar1_ahead
 from gridcast.functions.time import epoch_seconds
 from gridcast.operators.features import lag_features
 from gridcast.operators.metrics import fold_metrics
@@ -120,8 +121,8 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
     c = F.col("_c")
     yhat = {"naive": F.col("_last"),
             "mean": F.col("_mean") + c,
-            "ar1": F.aggregate(F.sequence(F.lit(0), F.col("d")), F.col("_last") - c,
-                               lambda acc, _: F.col("_ar_a") + F.col("_ar_b") * acc) + c,
+            "ar1": ar1_ahead(F.col("_ar_a"), F.col("_ar_b"), F.col("_last") - c,
+                             F.col("d") + 1) + c,
             "trend": F.col("_tr_a") + F.col("_tr_b") * F.col("idx").cast("double") + c}
     stacked = F.array(*[F.struct(F.lit(m).alias("model"), yhat[m].alias("yhat")) for m in models])
     out = j.withColumn("_s", F.explode(stacked)).select("*", "_s.*")

@@ -17,7 +17,8 @@ Models (state computed at every row from the rows before it):
 ``naive``  last value y[e-1] for the whole horizon.
 ``mean``   mean of all rows before the origin.
 ``ar1``    y_t = a + b y_{t-1} by least squares (``regr_intercept`` /
-           ``regr_slope``), forecast recursively from y[e-1].
+           ``regr_slope``), forecast recursively from y[e-1] (the recursion
+           in closed form, O(1) per row whatever the horizon).
 ``trend``  y = a + b t with t the row index; forecast a + b t.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.functions.recursion import ar1_ahead
 from gridcast.operators.metrics import fold_metrics
 from gridcast.operators.split import fold_index
 from gridcast.schema import KEYS, Granularity, horizon
@@ -67,10 +69,9 @@ def _forecast(model: str):
     if model == "mean":
         return at_origin("_mean")
     if model == "ar1":
-        a, b = at_origin("_ar_a"), at_origin("_ar_b")
-        # y[e+d] = a + b y[e+d-1], starting from y[e-1]
-        return F.aggregate(F.sequence(F.lit(0), F.col("d")), at_origin("_last"),
-                           lambda acc, _: a + b * acc)
+        # y[e+d] = a + b y[e+d-1], starting from y[e-1]: d + 1 steps
+        return ar1_ahead(at_origin("_ar_a"), at_origin("_ar_b"), at_origin("_last"),
+                         F.col("d") + 1)
     if model == "trend":
         return at_origin("_tr_a") + at_origin("_tr_b") * F.col("idx").cast("double")
     raise ValueError(f"unknown model {model!r}")

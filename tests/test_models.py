@@ -178,3 +178,21 @@ def test_long_series_mode_equals_windowed_rolling(spark):
         assert (g[3] is None) == (yhat is None), k
         if yhat is not None:
             assert abs(g[3] - yhat) <= 1e-7 * max(1.0, abs(yhat)), (k, g[3], yhat)
+
+
+def test_ar1_closed_form_equals_the_iteration(spark):
+    from pyspark.sql import functions as F
+    from gridcast.functions.recursion import ar1_ahead
+    cases = [(a, b, y0, k) for a in (0.0, 1.5, -2.0) for b in
+             (0.0, 1.0, 1 - 1e-9, 1 + 1e-7, 0.6, -0.7, 0.999, 1.02, -1.0, 2.0)
+             for y0 in (3.0, -1.0) for k in (1, 2, 12, 48)]
+    df = spark.createDataFrame(cases, "a double, b double, y0 double, k int")
+    got = df.select("a", "b", "y0", "k", ar1_ahead(F.col("a"), F.col("b"), F.col("y0"),
+                                                   F.col("k")).alias("x")).collect()
+    for r in got:
+        want = r.y0
+        for _ in range(r.k):
+            want = r.a + r.b * want
+        assert abs(r.x - want) <= 1e-9 * max(1.0, abs(want)), (r, want)
+    nulls = spark.createDataFrame([(None, 0.5, 1.0, 3)], "a double, b double, y0 double, k int")
+    assert nulls.select(ar1_ahead(F.col("a"), F.col("b"), F.col("y0"), F.col("k"))).first()[0] is None
