@@ -67,7 +67,12 @@ def fold_index(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
                initial: int | None = None, keys: Sequence[str] = KEYS,
                on_short: str = "skip") -> DataFrame:
     """Add ``idx`` (row number from 0 by ds), ``n``, ``initial`` and
-    ``n_folds`` to every row of every series (see :func:`rolling_folds`)."""
+    ``n_folds`` to every row of every series (see :func:`rolling_folds`).
+
+    Rows that ``resample(off_grid="keep")`` flagged as off the grid (null
+    ``ds``) take no part in folds and are left out here."""
+    if "on_grid" in df.columns:
+        df = df.filter(F.col("on_grid"))
     w = Window.partitionBy(*keys).orderBy("ds")
     x = (df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))

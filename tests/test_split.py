@@ -75,3 +75,15 @@ def test_skipped_series_lists_the_short_ones(spark):
     assert folded == {"2"}
     assert [r.reason for r in skipped_series(quarter_hours(spark, 1), 1, 1)
             .collect()] == ["initial training size below 1"]
+
+
+def test_off_grid_rows_take_no_part_in_folds(spark):
+    from gridcast.operators.resample import resample
+    t0 = datetime(2020, 6, 24, 1)
+    rows = [(t0 + timedelta(hours=i), float(i)) for i in range(20)]
+    rows.append((t0 + timedelta(hours=3, minutes=30), 99.0))  # off the hourly grid
+    kept = resample(series_df(spark, rows), "one_hour", off_grid="keep")
+    dropped = resample(series_df(spark, rows), "one_hour")
+    a = sorted((r.fold, r.idx, r.y) for r in rolling_folds(kept, 2, 1).collect())
+    b = sorted((r.fold, r.idx, r.y) for r in rolling_folds(dropped, 2, 1).collect())
+    assert a == b and len(a) > 0
