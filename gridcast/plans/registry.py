@@ -337,7 +337,7 @@ def q_rollup_stream(spark, sf):
     query = rollup_stream(spark, sf, events.schema, raw_from_events, sink, ckpt, "one_hour",
                           STREAM_LATENESS, file_glob="events.parquet")
     query.awaitTermination()
-    return rounded(spark.read.parquet(sink))
+    return rounded(read_aggregation(spark, sink, "one_hour", with_counts=True))
 
 
 def q_feature_stages(spark, sf):

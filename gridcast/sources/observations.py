@@ -14,18 +14,28 @@ from pyspark.sql import functions as F
 from gridcast.schema import KEYS, Granularity
 
 
-def write_observations(obs: DataFrame, root: str, granularity: str | Granularity) -> None:
+def to_sink_layout(obs: DataFrame, granularity: str | Granularity) -> DataFrame:
+    """Observations (keys, ds, y[, n, total]) in the sink layout; used by the
+    batch writer and by the streaming rollup alike."""
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
-    out = obs.select(*KEYS, F.col("ds").alias("window_end"), F.col("y").alias("average_count"),
-                     *[c for c in ("n", "total") if c in obs.columns],
-                     F.lit(g.name).alias("granularity"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("granularity").parquet(root))
+    return obs.select(*KEYS, F.col("ds").alias("window_end"), F.col("y").alias("average_count"),
+                      *[c for c in ("n", "total") if c in obs.columns],
+                      F.lit(g.name).alias("granularity"))
+
+
+def write_observations(obs: DataFrame, root: str, granularity: str | Granularity) -> None:
+    (to_sink_layout(obs, granularity).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("granularity").parquet(root))
 
 
 def read_aggregation(spark: SparkSession, root: str,
-                     granularity: str | Granularity = "one_hour") -> DataFrame:
-    """Scan one granularity as ``name, unique_id, id_object, ds, y``."""
+                     granularity: str | Granularity = "one_hour",
+                     with_counts: bool = False) -> DataFrame:
+    """Scan one granularity as ``name, unique_id, id_object, ds, y`` (plus
+    the additive ``n, total`` with ``with_counts``). Reads a batch-written
+    root or a streaming sink alike."""
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
+    extra = ["n", "total"] if with_counts else []
     return (spark.read.parquet(root).filter(F.col("granularity") == g.name)
-            .select(*KEYS, F.col("window_end").alias("ds"), F.col("average_count").alias("y")))
+            .select(*KEYS, F.col("window_end").alias("ds"), F.col("average_count").alias("y"),
+                    *extra))

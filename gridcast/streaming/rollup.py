@@ -4,7 +4,9 @@ observation table.
 ``readStream`` -> series mapping -> event time as TIMESTAMP (watermarks
 refuse TIMESTAMP_NTZ; the conversion goes through epoch microseconds, so
 no session time zone shifts a window) -> ``withWatermark`` ->
-``groupBy(keys, window)`` -> append to a parquet sink. A window is written
+``groupBy(keys, window)`` -> append to a parquet sink in the observation
+layout (``window_end``, ``average_count``, ``n``, ``total``, partitioned by
+``granularity``), which ``read_aggregation`` scans. A window is written
 once the watermark passes its end; state for older windows is dropped, so
 the state size is bounded by the lateness, not by the stream length.
 Checkpoints go to the shared checkpoint folder, so a restarted query
@@ -21,6 +23,7 @@ from pyspark.sql.types import StructType
 
 from gridcast.functions.time import epoch_micros
 from gridcast.schema import KEYS, Granularity
+from gridcast.sources.observations import to_sink_layout
 
 _EPOCH_NTZ = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
@@ -53,14 +56,16 @@ def rollup_stream(spark: SparkSession, source: str, schema: StructType,
     """Start the rollup stream from the parquet files in directory ``source``
     (optionally only those matching ``file_glob``); with
     ``available_now`` it processes what is there and stops. Returns the
-    StreamingQuery."""
+    StreamingQuery. The sink folder belongs to the stream (its file log
+    lists the committed files); read it with ``read_aggregation``."""
     reader = spark.readStream.schema(schema)
     if file_glob:
         reader = reader.option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    out = rollup_stream_df(mapper(reader.parquet(source)), granularity, lateness)
-    writer = (out.writeStream.outputMode("append").format("parquet")
+    out = to_sink_layout(rollup_stream_df(mapper(reader.parquet(source)), granularity, lateness),
+                         granularity)
+    writer = (out.writeStream.outputMode("append").format("parquet").partitionBy("granularity")
               .option("path", sink).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
         processingTime="1 minute")

@@ -3,6 +3,7 @@ import os
 from conftest import SF_SMALL
 from gridcast.operators.rollup import rollup_batch, rollup_coarsen
 from gridcast.session import scratch_path
+from gridcast.sources.observations import read_aggregation
 from gridcast.sources.tables import raw_events, raw_from_events, table
 from gridcast.streaming.rollup import rollup_stream
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def test_stream_rollup_equals_batch_on_closed_windows(spark):
     q = rollup_stream(spark, SF_SMALL, events.schema, raw_from_events, sink, ckpt,
                       "one_hour", "10 minutes", file_glob="events.parquet")
     q.awaitTermination()
-    streamed = spark.read.parquet(sink)
+    streamed = read_aggregation(spark, sink, "one_hour", with_counts=True)
     watermark = events.agg(F.max("ts")).first()[0]
     batch = rollup_batch(raw_events(spark, SF_SMALL), "one_hour")
     closed = batch.filter(F.col("ds") <= F.lit(watermark) - F.expr("INTERVAL 10 MINUTES"))
@@ -26,7 +27,7 @@ def test_stream_rollup_equals_batch_on_closed_windows(spark):
     q2 = rollup_stream(spark, SF_SMALL, events.schema, raw_from_events, sink, ckpt,
                        "one_hour", "10 minutes", file_glob="events.parquet")
     q2.awaitTermination()
-    assert spark.read.parquet(sink).count() == streamed.count()
+    assert read_aggregation(spark, sink, "one_hour").count() == streamed.count()
 
 
 def test_coarsen_equals_direct_rollup(spark):
