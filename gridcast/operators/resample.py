@@ -77,15 +77,19 @@ def resample(obs: DataFrame, granularity: str | Granularity = "one_hour",
 def _resample_window(obs, g, to_date, from_date, anchor, off_grid, fill, keys):
     step = g.seconds
     series = Window.partitionBy(*keys)
+    ordered = series.orderBy("_ep")
+    # bounds over the whole series, but on the same ordering as the lead /
+    # row_number window below: one sort of the series serves both windows
+    # (the on-grid filter in between keeps the order)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     start = (epoch_seconds(_ts_lit(from_date)) if anchor == "from_date" and from_date
-             else F.min(epoch_seconds("ds")).over(series))
-    end = epoch_seconds(_ts_lit(to_date)) if to_date else F.max(epoch_seconds("ds")).over(series)
-    x = obs.select(*keys, "ds", "y", epoch_seconds("ds").alias("_ep"),
-                   start.alias("_st"), end.alias("_en"))
+             else F.min("_ep").over(whole))
+    end = epoch_seconds(_ts_lit(to_date)) if to_date else F.max("_ep").over(whole)
+    x = obs.select(*keys, "ds", "y", epoch_seconds("ds").alias("_ep"))
+    x = x.select(*keys, "ds", "y", "_ep", start.alias("_st"), end.alias("_en"))
     x = x.withColumn("on_grid", ((F.col("_ep") - F.col("_st")) % step) == 0)
 
     on = x.filter("on_grid")
-    ordered = series.orderBy("_ep")
     nxt = F.lead("_ep").over(ordered)
     first = F.row_number().over(ordered) == 1
     n_pre = F.when(first, (F.col("_ep") - F.col("_st")) / step).otherwise(0).cast("long")

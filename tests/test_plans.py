@@ -35,6 +35,9 @@ def test_feature_plan_has_two_shuffles(spark):
     # one for the rollup (keys, window), one for the series windows (keys)
     assert p.count("Exchange hashpartitioning") == 2, p
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+    # one sort of the observations (grid bounds and lead share it), one of
+    # the gap-filled grid (lags, trailing mean and rank share it)
+    assert p.count("Sort [") == 2, p
 
 
 def test_rolling_evaluation_adds_no_shuffle(spark):
