@@ -190,5 +190,31 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
         "gram", "gram0", "cnt0", "origin.last", "origin.ep", "origin.idx")).alias("d", "yhat"))
     pred = pred.withColumn("d", F.col("d").cast("long"))
     tests = rolling_folds(series.select(*K, "ds", "y"), h, step, initial_pct=initial_pct)
-    return (tests.join(pred, K + ["fold", "d"], "inner")
+    return pair_by_fold(tests.select(*K, "fold", "d", "idx", "ds", "y"),
+                        pred.select(*K, "fold", "d", "yhat"))
+
+
+def pair_by_fold(tests: DataFrame, pred: DataFrame) -> DataFrame:
+    """Inner pairing of test rows with forecasts on (keys, fold, d), each
+    side holding at most one row per key.
+
+    A join on (keys, fold, d) would shuffle both sides on those columns,
+    and the fold means (keys, fold) and the metrics (keys) after it would
+    shuffle again. Instead both sides are unioned and moved once by the
+    series keys; the pairing aggregate, the fold means and the metrics are
+    keyed by supersets of them and need no further exchange. (The forecast
+    side comes out of an Arrow UDF, which does not report its partitioning,
+    so one exchange is needed either way.) A series' rows here are bounded
+    by its test span times ceil(h / step), like every series window.
+    """
+    none = {"idx": "bigint", "ds": "timestamp_ntz", "y": "double", "yhat": "double"}
+    t = tests.select(*K, "fold", "d", "idx", "ds", "y", F.lit(None).cast("double").alias("yhat"),
+                     F.lit(1).alias("_t"), F.lit(0).alias("_p"))
+    p = pred.select(*K, "fold", "d", *[F.lit(None).cast(none[c]).alias(c) for c in ("idx", "ds", "y")],
+                    "yhat", F.lit(0).alias("_t"), F.lit(1).alias("_p"))
+    both = t.unionByName(p).repartition(*K).groupBy(*K, "fold", "d").agg(
+        *[F.max(c).alias(c) for c in ("idx", "ds", "y")],
+        F.max(F.when(F.col("_p") == 1, F.col("yhat"))).alias("yhat"),
+        F.sum("_t").alias("_t"), F.sum("_p").alias("_p"))
+    return (both.filter((F.col("_t") > 0) & (F.col("_p") > 0))
             .select(*K, "fold", "d", "idx", "ds", "y", "yhat"))

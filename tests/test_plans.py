@@ -102,3 +102,19 @@ def test_metrics_sink_round_trip(spark, tmp_path):
     back = read_metrics(spark, path)
     assert back.count() == m.count()
     assert {r.model for r in back.select("model").distinct().collect()} == {"naive"}
+
+
+def test_regression_forecasts_pair_with_one_shuffle(spark):
+    """Planned as at scale (no broadcast): rollup, series and one pairing
+    exchange by series keys; fold means and metrics add none."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(registry.q_trend_seasonal_rolling(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [l for l in p.splitlines() if "Exchange hashpartitioning" in l
+                 and "ReusedExchange" not in l]
+    assert len(exchanges) == 3, p
+    assert "SortMergeJoin" not in p
