@@ -7,9 +7,11 @@ duplicate-free (the output of ``resample``), so a row's position is
 
 Running states are exclusive prefix sums of a few moments, computed as a
 two-level scan: per (series, chunk) totals -> per-series running offsets
-over the chunks (n / chunk rows) -> running sums inside each chunk. Every
-shuffle is keyed by (series, chunk) or (series, forecast, fold); the only
-per-series pieces are one-row bounds and the chunk offsets.
+over the chunks (n / chunk rows) -> running sums inside each chunk. A fold
+takes its state from its origin row (its d = 0 test row) by a window over
+the fold. Every shuffle is keyed by (series, ds), (series, chunk) or
+(series, forecast, fold); the only per-series pieces are one-row bounds
+and the chunk offsets.
 
 States from the sums over rows [0, e):
 ``naive`` y[e-1]; ``mean`` sum(y) / n; ``ar1`` least squares of y_t on
@@ -92,32 +94,31 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
     x = prefix_sums(x.withColumns(mom), K, "idx", list(mom), chunk)
 
     rel = F.col("idx") - F.col("initial")
-    origins, members = [], []
+    members = []
     for name, (h, step) in horizons.items():
         span = F.col("n") - F.col("initial") - h
         k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0)
-        is_origin = (rel >= 0) & (rel % step == 0) & (F.floor(rel / step) < k)
-        origins.append(F.when(is_origin, F.array(F.struct(
-            F.lit(name).alias("forecast"), F.floor(rel / step).cast("long").alias("fold"))))
-            .otherwise(F.array().cast("array<struct<forecast:string,fold:bigint>>")))
         lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
         hi = F.least(k - 1, F.floor(rel / step)).cast("long")
         seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
             F.array().cast("array<long>"))
         members.append(F.transform(seq, _membership(name, step, rel)))
 
+    # Every row's own exclusive prefix sums are the model state of a fold
+    # whose origin it is; the origin of a fold is its d = 0 test row, so
+    # the state reaches the fold's other rows by first() over the fold
+    # (at most h rows), with no join and no second pass over the series.
     n = F.col("cum_m_one")
     ar_a, ar_b = _slope(F.col("cum_m_pn"), F.col("cum_m_px"), F.col("cum_m_py"),
                         F.col("cum_m_pxx"), F.col("cum_m_pxy"))
     tr_a, tr_b = _slope(n, F.col("cum_m_t"), F.col("cum_m_y"), F.col("cum_m_tt"),
                         F.col("cum_m_ty"))
-    state = (x.withColumn("_o", F.explode(F.concat(*origins))).select(
-        *K, "_o.forecast", "_o.fold", F.col("_x").alias("_last"), F.col("_c"),
-        (F.col("cum_m_y") / n).alias("_mean"), ar_a.alias("_ar_a"), ar_b.alias("_ar_b"),
-        tr_a.alias("_tr_a"), tr_b.alias("_tr_b")))
+    state = {"_last": F.col("_x"), "_mean": F.col("cum_m_y") / n, "_ar_a": ar_a,
+             "_ar_b": ar_b, "_tr_a": tr_a, "_tr_b": tr_b}
     tests = (x.filter(rel >= 0).withColumn("_m", F.explode(F.concat(*members)))
-             .select(*K, "idx", "ds", "y", "_m.*"))
-    j = tests.join(state, K + ["forecast", "fold"])
+             .select(*K, "idx", "ds", "y", "_c", "_m.*", *[v.alias(c) for c, v in state.items()]))
+    origin = Window.partitionBy(*K, "forecast", "fold").orderBy("d")
+    j = tests.withColumns({c: F.first(c).over(origin) for c in state})
     c = F.col("_c")
     yhat = {"naive": F.col("_last"),
             "mean": F.col("_mean") + c,
