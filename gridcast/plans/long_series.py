@@ -30,7 +30,7 @@ from gridcast.functions.recursion import ar1_ahead
 from gridcast.functions.time import epoch_seconds
 from gridcast.operators.features import lag_features
 from gridcast.operators.metrics import fold_metrics
-from gridcast.plans.rolling import _membership
+from gridcast.plans.rolling import fold_membership
 from gridcast.schema import KEYS, Granularity, horizon
 
 K = list(KEYS)
@@ -102,7 +102,7 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
         hi = F.least(k - 1, F.floor(rel / step)).cast("long")
         seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
             F.array().cast("array<long>"))
-        members.append(F.transform(seq, _membership(name, step, rel)))
+        members.append(F.transform(seq, fold_membership(name, step, rel)))
 
     # Every row's own exclusive prefix sums are the model state of a fold
     # whose origin it is; the origin of a fold is its d = 0 test row, so

@@ -77,7 +77,9 @@ def _forecast(model: str):
     raise ValueError(f"unknown model {model!r}")
 
 
-def _membership(name: str, step: int, rel):
+def fold_membership(name: str, step: int, rel):
+    """Lambda for ``F.transform`` over a row's fold ids: one struct
+    (forecast, fold, d) per fold whose test window holds the row."""
     def to_struct(fold):
         return F.struct(F.lit(name).alias("forecast"), fold.alias("fold"),
                         (rel - fold * step).alias("d"))
@@ -100,7 +102,7 @@ def rolling_forecast_many(series: DataFrame, models: Sequence[str],
         hi = F.least(k - 1, F.floor(rel / step)).cast("long")
         seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
             F.array().cast("array<long>"))
-        memberships.append(F.transform(seq, _membership(name, step, rel)))
+        memberships.append(F.transform(seq, fold_membership(name, step, rel)))
     x = (x.filter((rel >= 0) & (F.col("initial") >= 1))
          .withColumn("_m", F.explode(F.concat(*memberships))).select("*", "_m.*").drop("_m"))
     x = x.withColumns({f"_yhat_{m}": _forecast(m) for m in models})
