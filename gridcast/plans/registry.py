@@ -29,7 +29,7 @@ from gridcast.operators.stages import (DropNullsStage, LagStage, MovingAverageSt
                                       ResampleStage, TimeInfoStage)
 from gridcast.plans.grouped import forecast_groups, make_forecaster
 from gridcast.plans.long_series import evaluate_rolling_long
-from gridcast.plans.matrix import run_matrix
+from gridcast.plans.matrix import coarsened_series, run_matrix
 from gridcast.plans.rolling import evaluate_rolling, rolling_forecast
 from gridcast.plans.trees import evaluate_holdout
 from gridcast.streaming.rollup import rollup_stream
@@ -355,7 +355,14 @@ LONG_FORECASTS = ("1_step", "12_hour")
 
 
 def q_evaluation_matrix(spark, sf):
-    return rounded(run_matrix(lambda g: grid(spark, sf, g), MATRIX_MODELS, MATRIX_GRANULARITIES))
+    # The raw table is scanned and rolled up once: the finest observations
+    # are written to the shared scratch folder (the observation table of
+    # the production flow) and every granularity is derived from them.
+    root = scratch_path(spark, "matrix-observations")
+    write_observations(obs(spark, sf, "fifteen_minute"), root, "fifteen_minute")
+    finest = read_aggregation(spark, root, "fifteen_minute", with_counts=True)
+    series_for = coarsened_series(finest, "fifteen_minute")
+    return rounded(run_matrix(series_for, MATRIX_MODELS, MATRIX_GRANULARITIES))
 
 
 def q_rolling_long_series(spark, sf):
