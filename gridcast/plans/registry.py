@@ -78,6 +78,18 @@ def obs(spark: SparkSession, sf: str, g: str = "one_hour") -> DataFrame:
     return rollup_batch(raw_events(spark, sf), g)
 
 
+def written_obs(spark: SparkSession, sf: str, g: str = "one_hour") -> DataFrame:
+    """Observations rolled up once from the raw table and written to the
+    shared scratch folder (the observation table of the production flow).
+    Plans that read their input twice (join-based grid, off-grid union,
+    long-series mode) then scan this compact table twice, not the raw one:
+    their two branches prune and filter the rollup differently, so Spark
+    could not share one raw scan and shuffle between them."""
+    root = scratch_path(spark, f"observations-{g}")
+    write_observations(obs(spark, sf, g), root, g)
+    return read_aggregation(spark, root, g)
+
+
 def grid(spark: SparkSession, sf: str, g: str = "one_hour") -> DataFrame:
     return resample(obs(spark, sf, g), g)
 
@@ -130,13 +142,14 @@ def q_resample_grid(spark, sf):
 
 
 def q_resample_grid_join(spark, sf):
-    return rounded(resample(obs(spark, sf), "one_hour", method="join"))
+    return rounded(resample(written_obs(spark, sf), "one_hour", method="join"))
 
 
 def q_resample_keep_off_grid(spark, sf):
     # quarter-hour observations put on an hourly grid: three in four are off it
-    return rounded(resample(obs(spark, sf, "fifteen_minute"), "one_hour", to_date=TO_DATE,
-                            from_date=FROM_DATE, anchor="from_date", off_grid="keep"))
+    return rounded(resample(written_obs(spark, sf, "fifteen_minute"), "one_hour",
+                            to_date=TO_DATE, from_date=FROM_DATE, anchor="from_date",
+                            off_grid="keep"))
 
 
 def q_resample_from_date(spark, sf):
@@ -145,7 +158,7 @@ def q_resample_from_date(spark, sf):
 
 
 def q_range_before_fill(spark, sf):
-    return rounded(resample(obs(spark, sf, "fifteen_minute"), "fifteen_minute",
+    return rounded(resample(written_obs(spark, sf, "fifteen_minute"), "fifteen_minute",
                             to_date=TO_DATE, from_date=FROM_DATE, anchor="from_date",
                             method="join"))
 
@@ -210,7 +223,7 @@ def q_features_flagship(spark, sf):
 
 def q_features_long_series(spark, sf):
     """The flagship in long-series mode: no per-series window anywhere."""
-    df = build_features(obs(spark, sf), "one_hour", h_lags=2, avg_h=2, use_hour=True,
+    df = build_features(written_obs(spark, sf), "one_hour", h_lags=2, avg_h=2, use_hour=True,
                         method="join")
     return rounded(split_by_rank(df, 80, method="bounds"))
 
@@ -369,7 +382,7 @@ def q_rolling_long_series(spark, sf):
     """Rolling-origin evaluation of the running-window models in
     long-series mode: grid by join, states by two-level prefix sums, no
     per-series window anywhere."""
-    series = resample(obs(spark, sf), "one_hour", method="join")
+    series = resample(written_obs(spark, sf), "one_hour", method="join")
     return rounded(evaluate_rolling_long(series, MATRIX_MODELS, "one_hour", LONG_FORECASTS))
 
 
