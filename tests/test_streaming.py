@@ -49,3 +49,20 @@ def test_rollup_independent_of_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert base == other
+
+
+def test_coarsened_series_equal_direct_rollup_grids(spark):
+    """The evaluation matrix reads the raw table once: coarser grids come
+    from the finest rollup and equal grids of direct rollups."""
+    import pytest
+    from gridcast.operators.resample import resample
+    from gridcast.plans.matrix import coarsened_series
+    raw = raw_events(spark, SF_SMALL)
+    series_for = coarsened_series(rollup_batch(raw, "fifteen_minute"), "fifteen_minute")
+    for g in ("fifteen_minute", "one_hour", "one_day"):
+        a = series_for(g).select("name", "unique_id", "ds", F.round("y", 9).alias("y"))
+        b = resample(rollup_batch(raw, g), g).select("name", "unique_id", "ds",
+                                                     F.round("y", 9).alias("y"))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, g
+    with pytest.raises(ValueError):
+        coarsened_series(rollup_batch(raw, "one_hour"), "one_hour")("fifteen_minute")
