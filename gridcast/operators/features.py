@@ -68,18 +68,22 @@ def _shifted(df: DataFrame, n: int, col: str, keys: Sequence[str],
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
     keys = list(keys)
     others = [c for c in df.columns if c not in keys and c != "ds"]
-    x = df.select(*keys, "ds", F.struct(*others).alias("_row"),
-                  F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_j"))
+    x = df.select(*keys, "ds", *others, F.explode(F.sequence(F.lit(0), F.lit(n))).alias("_j"))
     x = x.withColumn("ds", F.timestamp_add("SECOND", F.col("_j") * g.seconds, F.col("ds")))
-    val = F.col(f"_row.{col}")
-    aggs = [F.max(F.when(F.col("_j") == 0, F.col("_row"))).alias("_self")]
+    own = F.col("_j") == 0
+    # the row's own columns one by one (not as one struct): with fixed-width
+    # columns every buffer is fixed-width and Spark aggregates by hash, with
+    # no sort of the (n + 1)-fold copies on either side of the shuffle
+    aggs = [F.max(F.when(own, F.lit(1))).alias("_self")]
+    aggs += [F.max(F.when(own, F.col(c))).alias(c) for c in others]
     if lags:
-        aggs += [F.max(F.when(F.col("_j") == i, val)).alias(f"lag_{i}") for i in range(1, n + 1)]
+        aggs += [F.max(F.when(F.col("_j") == i, F.col(col))).alias(f"lag_{i}")
+                 for i in range(1, n + 1)]
     if mean:
-        aggs.append(F.avg(F.when(F.col("_j") > 0, val)).alias(f"avg_{n}"))
+        aggs.append(F.avg(F.when(F.col("_j") > 0, F.col(col))).alias(f"avg_{n}"))
     out = x.groupBy(*keys, "ds").agg(*aggs).filter(F.col("_self").isNotNull())
     new = [f"lag_{i}" for i in range(1, n + 1)] if lags else [f"avg_{n}"]
-    return out.select(*keys, "ds", *[F.col(f"_self.{c}").alias(c) for c in others], *new)
+    return out.select(*keys, "ds", *others, *new)
 
 
 def time_features(df: DataFrame, hour: bool = True, weekend: bool = True,
