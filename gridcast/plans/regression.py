@@ -163,14 +163,20 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
     onehot = {c for c in regs if c.startswith("hour_")}
     live = [n for n, (a, b) in enumerate(pairs) if not (a in onehot and b in onehot and a != b)]
     last = [f"lag_{j}" for j in range(1, p_max + 1)] if model == "arx" else []
-    first_row = F.struct(F.col("idx").alias("idx"), F.col("_ep").alias("ep"),
-                         F.array(*[F.col(c).cast("double") for c in last] or [F.lit(0.0)]).alias("last"))
     # The wide Gram parts are written as SQL expressions: one call per sum
     # and one for the whole running array, instead of several py4j round
     # trips per column while the plan is built (same plan either way).
+    # The block's first row (the next fold's origin) is taken field by field
+    # with scalar min_by: every aggregation buffer stays fixed-width, so the
+    # blocks aggregate by hash instead of sorting all rows.
+    firsts = [F.min("idx").alias("_f_idx"), F.min_by("_ep", "idx").alias("_f_ep")]
+    firsts += [F.min_by(F.col(c).cast("double"), F.col("idx")).alias(f"_f_{c}") for c in last]
     blocks = (df.groupBy(*K, "_blk").agg(
         *[F.expr(f"sum(`{pairs[n][0]}` * `{pairs[n][1]}`) AS _g{n}") for n in live],
-        F.count(F.lit(1)).alias("_cnt"), F.min_by(first_row, F.col("idx")).alias("_first")))
+        F.count(F.lit(1)).alias("_cnt"), *firsts))
+    first_row = F.struct(F.col("_f_idx").alias("idx"), F.col("_f_ep").alias("ep"),
+                         F.array(*[F.col(f"_f_{c}") for c in last] or [F.lit(0.0)]).alias("last"))
+    blocks = blocks.withColumn("_first", first_row)
     wb = Window.partitionBy(*K).orderBy("_blk")
     upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     live_set = set(live)
