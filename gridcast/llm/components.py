@@ -9,37 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.session import scratch_path
+from gridcast.session import forget, written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every linked node, the root being the smallest node of
     its component. ``links`` has columns a and b; nulls and self-links go."""
     spark = links.sparkSession
-
-    def written(df: DataFrame) -> DataFrame:
-        at = scratch_path(spark, "links")
-        df.write.parquet(at)
-        return spark.read.parquet(at)
-
-    edges = written(links.where(F.col("a") != F.col("b"))
-                    .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    edges, path = written(links.where(F.col("a") != F.col("b")).select(
+        F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "links")
     for _ in range(max_rounds):
-        if not edges.take(1):
-            break
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct())
-        large = written(large)
+        both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+        low = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
+        large = (both.join(low, "hi").where("lo > hi and lo <> m")
+                 .select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                  .unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
-        edges = written(small)
+        last = path
+        edges, path = written(small, "links")
+        forget(spark, last)
         # stars: every node points to one root, and no root points on
-        n = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("hi").alias("k")).first()
-        if n["n"] == n["k"] and not edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").take(1):
+        ends = F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("out")),
+                       F.struct(F.col("lo").alias("node"), F.lit(0).alias("out")))
+        odd = (edges.select(F.explode(ends).alias("e")).groupBy("e.node")
+               .agg(F.sum("e.out").alias("out"), F.min("e.out").alias("low"))
+               .agg(F.count_if((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("low") == 0))).alias("n")))
+        if not odd.first()["n"]:
             break
     else:
         raise RuntimeError(f"no stars after {max_rounds} rounds")
