@@ -2,8 +2,9 @@
 shared scratch folder every written intermediate goes to.
 
 Library code never creates a session; it receives one. The scratch folder
-is always the cluster's ``spark.checkpoint.dir`` (a shared file system on a
-real cluster); only when it is unset, as in unit tests, do we pick one.
+is always the session's ``spark.checkpoint.dir`` (a shared file system on a
+cluster); only where that is unset do we use a folder of the session's
+warehouse, which is shared as well.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale as much as locally: AQE re-plans shuffles
 # from measured sizes (broadcast only when the measured side is small,
@@ -35,7 +36,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "gridcast") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "8g"))
+               .config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridcast-ckpt-")))
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     # Local test data is a few MB: with AQE's default 1 MB floor every
@@ -52,24 +54,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting one only when unset.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local
-    session (tests, bench) without one gets a temporary folder of this
-    machine; on a cluster that would scatter checkpoint files over executor
-    disks, so a missing setting is an error there.
-    """
+    """Return the shared checkpoint folder: the one of the context, else
+    ``spark.checkpoint.dir``, else a folder of the warehouse."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder on a shared file system; "
-                             "intermediate tables and checkpoints are written there")
-        configured = tempfile.mkdtemp(prefix="gridcast-ckpt-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_scratch")
     return sc.getCheckpointDir()
 
 
@@ -77,3 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "gridcast", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared scratch folder and read again, and
+    its path: cuts the lineage, and a lost executor reads the table anew."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this session's queries left for their lazy
+    results to read; call it once the results are taken."""
+    forget(spark, os.path.join(ensure_checkpoint_dir(spark), "gridcast"))
