@@ -6,7 +6,7 @@ and ``timestamp_add``, so no session time zone can shift a tick.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,11 @@ def epoch_micros(col: str | Column = "ts") -> Column:
     return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
 
 
+def from_epoch_micros(col: str | Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 -> TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", _c(col), _epoch())
+
+
 def from_epoch_seconds(col: str | Column) -> Column:
     """Seconds since 1970-01-01 00:00 -> TIMESTAMP_NTZ."""
     return F.timestamp_add("SECOND", _c(col), _epoch())
@@ -62,3 +67,19 @@ def weekend_sat_sun(col: str | Column = "ds") -> Column:
 def week_day(col: str | Column = "ds") -> Column:
     """Day of week, 0 = Monday .. 6 = Sunday."""
     return F.weekday(_c(col))
+
+
+def ts_lit(value: str) -> Column:
+    return F.lit(value).cast("timestamp_ntz")
+
+
+def range_filter(df: DataFrame, from_date: str | None = None,
+                 to_date: str | None = None, col: str = "ds") -> DataFrame:
+    """Both ends included; ``None`` = unbounded. On a stored ``ds`` the bounds
+    reach the scan; on the output of a rollup they stay above it, so give them
+    to ``rollup_batch`` instead."""
+    if from_date is not None:
+        df = df.filter(F.col(col) >= ts_lit(from_date))
+    if to_date is not None:
+        df = df.filter(F.col(col) <= ts_lit(to_date))
+    return df

@@ -8,14 +8,16 @@ all windows sharing that spec run in one Window operator on one shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.functions.time import hour_of_day, weekend_sat_sun
+from gridcast.functions.time import (epoch_micros, from_epoch_micros, hour_of_day, range_filter, ts_lit,
+                                     weekend_sat_sun)
 from gridcast.functions.time import week_day as week_day_of
 from gridcast.functions.transforms import log_transform
-from gridcast.operators.resample import range_filter, resample
+from gridcast.operators.resample import resample
 from gridcast.schema import KEYS, Granularity
 
 
@@ -36,7 +38,7 @@ def lag_features(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KE
     gap-free, duplicate-free grid (the output of ``resample``).
     """
     if method == "shift":
-        return _shifted(df, n, col, keys, granularity, lags=True, mean=False)
+        return _shifted(df, n, col, keys, granularity, lags=n, mean=0)
     w = series_window(keys)
     return df.withColumns({f"lag_{i}": F.lag(col, i).over(w) for i in range(1, n + 1)})
 
@@ -47,17 +49,18 @@ def moving_average(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] =
     at the start of a series, null on the first row. ``method="shift"`` as
     in :func:`lag_features`."""
     if method == "shift":
-        return _shifted(df, n, col, keys, granularity, lags=False, mean=True)
+        return _shifted(df, n, col, keys, granularity, lags=0, mean=n)
     w = series_window(keys).rowsBetween(-n, -1)
     return df.withColumn(f"avg_{n}", F.avg(col).over(w))
 
 
 def _shifted(df: DataFrame, n: int, col: str, keys: Sequence[str],
-             granularity: str | Granularity | None, lags: bool, mean: bool) -> DataFrame:
-    """Lags / trailing mean as one aggregate keyed by (keys, ds).
+             granularity: str | Granularity | None, lags: int, mean: int) -> DataFrame:
+    """Lags (the first ``lags``) and trailing mean (of ``mean`` rows) as one
+    aggregate keyed by (keys, ds).
 
-    Each row is copied to the n ticks that use it as a lag (bounded n-fold
-    expansion) and tagged with the distance; grouping by (keys, target ds)
+    Each row is copied to the n ticks that use it (bounded n-fold expansion)
+    and tagged with the distance; grouping by (keys, target ds)
     gathers every row's lags. The shuffle is keyed by ds as well, so a
     single long series spreads over all tasks. Exact on a regular grid
     without gaps or duplicates; rows whose target tick does not exist are
@@ -76,13 +79,11 @@ def _shifted(df: DataFrame, n: int, col: str, keys: Sequence[str],
     # no sort of the (n + 1)-fold copies on either side of the shuffle
     aggs = [F.max(F.when(own, F.lit(1))).alias("_self")]
     aggs += [F.max(F.when(own, F.col(c))).alias(c) for c in others]
-    if lags:
-        aggs += [F.max(F.when(F.col("_j") == i, F.col(col))).alias(f"lag_{i}")
-                 for i in range(1, n + 1)]
+    new = {f"lag_{i}": F.max(F.when(F.col("_j") == i, F.col(col))) for i in range(1, lags + 1)}
     if mean:
-        aggs.append(F.avg(F.when(F.col("_j") > 0, F.col(col))).alias(f"avg_{n}"))
+        new[f"avg_{mean}"] = F.avg(F.when(F.col("_j").between(1, mean), F.col(col)))
+    aggs += [v.alias(c) for c, v in new.items()]
     out = x.groupBy(*keys, "ds").agg(*aggs).filter(F.col("_self").isNotNull())
-    new = [f"lag_{i}" for i in range(1, n + 1)] if lags else [f"avg_{n}"]
     return out.select(*keys, "ds", *others, *new)
 
 
@@ -135,30 +136,46 @@ def feature_columns(h_lags: int = 0, avg_h: int = 0, use_hour: bool = False,
             + (["hour"] if use_hour else []) + (["weekend"] if use_weekend else []))
 
 
+def lookback(granularity: str | Granularity, from_date: str, h_lags: int, avg_h: int) -> str:
+    """The first ``ds`` that rows from ``from_date`` on can depend on."""
+    g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
+    back = (datetime.fromisoformat(from_date) - timedelta(seconds=g.seconds * (max(h_lags, avg_h) + 1)))
+    return back.isoformat(sep=" ")
+
+
 def build_features(obs: DataFrame, granularity: str | Granularity, to_date: str | None = None,
                    from_date: str | None = None, h_lags: int = 0, avg_h: int = 0,
                    use_hour: bool = False, use_weekend: bool = False, log: bool = False,
                    vector: bool = False, keys: Sequence[str] = KEYS,
-                   method: str = "window") -> DataFrame:
+                   method: str = "window", starts: DataFrame | None = None) -> DataFrame:
     """Gap fill -> time info -> log1p -> lags -> trailing mean -> drop rows
     with a null feature -> optional vector -> ``[from_date, to_date]``.
 
     The date range is applied **after** the windows, so the first rows in
-    range still see their lags; it cannot be pushed below them.
+    range still see their lags. With ``starts`` (keys, ``start``: each series'
+    first observation, see ``series_starts``) the grid is built only from the
+    last ticks that these lags need: give ``rollup_batch`` the bound of
+    :func:`lookback` and no earlier raw row is read. Rows are the same, as
+    ``starts`` keeps the phase and tells which series began before.
 
     ``method="join"`` is the long-series mode: grid by join and lags / mean
     by shifted aggregation, both keyed by (keys, ds), so no task holds a
     whole series.
     """
-    df = resample(obs, granularity, to_date=to_date, keys=keys, method=method)
+    g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
+    if starts is not None and from_date is not None:
+        bound = epoch_micros(ts_lit(lookback(g, from_date, h_lags, avg_h)))
+        step, begin = g.seconds * 1_000_000, epoch_micros("start")
+        late = F.greatest(F.ceil((bound - begin) / step), F.lit(0))
+        starts = starts.select(*keys, from_epoch_micros(begin + late * step).alias("start"))
+        obs = range_filter(obs, lookback(g, from_date, h_lags, avg_h), None)
+    df = resample(obs, g, to_date=to_date, keys=keys, method=method, series=starts if from_date else None)
     df = time_features(df, hour=use_hour, weekend=use_weekend)
     if log:
         df = log_transform(df, "log1p")
     if method == "join":
-        if h_lags:
-            df = lag_features(df, h_lags, keys=keys, method="shift", granularity=granularity)
-        if avg_h:
-            df = moving_average(df, avg_h, keys=keys, method="shift", granularity=granularity)
+        if h_lags or avg_h:
+            df = _shifted(df, max(h_lags, avg_h), "y", keys, g, lags=h_lags, mean=avg_h)
     else:
         w = series_window(keys)
         cols = {f"lag_{i}": F.lag("y", i).over(w) for i in range(1, h_lags + 1)}

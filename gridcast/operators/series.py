@@ -6,64 +6,51 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from gridcast.schema import KEYS
 
-# Above this many literal keys a selection becomes a semi-join against a
-# literal DataFrame instead of an OR/IN predicate. The list lives on the
-# driver, so its size is known: it is broadcast up to _BROADCAST_KEYS_MAX
-# keys and left to a shuffled (AQE-planned) semi-join beyond that.
-_IN_LIST_LIMIT = 100
-_BROADCAST_KEYS_MAX = 100_000
 
-
-def _key_predicate(key: Mapping[str, object]):
-    cond = F.lit(True)
-    for k, v in key.items():
-        cond = cond & (F.col(k) == F.lit(v).cast("string") if k == "unique_id"
-                       else F.col(k) == F.lit(v))
-    return cond
+def _typed(df: DataFrame, col: str, value: str):
+    """A key value as a literal of the column's type."""
+    return F.lit(str(value)).cast(df.schema[col].dataType)
 
 
 def select_series(df: DataFrame, key: Mapping[str, object] | Sequence[Mapping[str, object]],
                   columns: Sequence[str] | None = None) -> DataFrame:
-    """Keep one series (a mapping) or many (a list of mappings).
-
-    Equality and IN predicates reach the parquet scan as pushed filters.
-    ``unique_id`` is a string; int arguments are cast.
+    """Keep one series (a mapping) or many (a list of mappings, all over the
+    same columns).
+
+    Values are cast to the column's type once, whatever they are given as. A
+    mapping is an equality predicate. A list, of any length, is a semi-join
+    with the typed literal table of its keys (Spark broadcasts it if small),
+    under the predicate that each column holds one of the listed values:
+    both reach the parquet scan as pushed filters.
     """
-    if isinstance(key, Mapping):
-        out = df.filter(_key_predicate(key))
-    else:
-        keys = list(key)
-        if not keys:
-            raise ValueError("empty key list")
-        names = list(keys[0])
-        if len(keys) <= _IN_LIST_LIMIT:
-            cond = F.lit(False)
-            # one IN per column set that varies, equality on the fixed ones
-            fixed = {c for c in names if len({str(k[c]) for k in keys}) == 1}
-            if len(names) - len(fixed) <= 1:
-                cond = _key_predicate({c: keys[0][c] for c in fixed})
-                for c in names:
-                    if c not in fixed:
-                        vals = [str(k[c]) if c == "unique_id" else k[c] for k in keys]
-                        cond = cond & F.col(c).isin(vals)
-            else:
-                for k in keys:
-                    cond = cond | _key_predicate(k)
-            out = df.filter(cond)
-        else:
-            schema = StructType([StructField(c, df.schema[c].dataType) for c in names])
-            rows = [tuple(str(k[c]) if c == "unique_id" else k[c] for c in names) for k in keys]
-            lit_df = df.sparkSession.createDataFrame(rows, schema)
-            if len(rows) <= _BROADCAST_KEYS_MAX:
-                lit_df = F.broadcast(lit_df)
-            out = df.join(lit_df, names, "left_semi")
+    keys = [key] if isinstance(key, Mapping) else list(key)
+    if not keys:
+        raise ValueError("empty key list")
+    names = list(keys[0])
+    if any(set(k) != set(names) for k in keys):
+        raise ValueError("the keys of one selection must have the same columns")
+    out = df
+    for c in names:
+        listed = list(dict.fromkeys(str(_present(c, k[c])) for k in keys))
+        typed = [_typed(df, c, v) for v in listed]
+        out = out.filter(F.col(c) == typed[0] if len(typed) == 1 else F.col(c).isin(typed))
+    if not isinstance(key, Mapping):
+        literal = df.sparkSession.createDataFrame(
+            [tuple(str(k[c]) for c in names) for k in keys], ", ".join(f"`{c}` string" for c in names))
+        literal = literal.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in names]).distinct()
+        out = out.join(literal, names, "left_semi")
     return out.select(*columns) if columns else out
 
 
+def _present(col: str, value: object) -> object:
+    if value is None:
+        raise ValueError(f"no value for key column {col!r}")
+    return value
+
+
 def series_counts(df: DataFrame, keys: Sequence[str] = KEYS,
                   count_col: str = "n_obs") -> DataFrame:
     """Rows per series, largest first (A2, O2)."""

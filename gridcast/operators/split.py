@@ -7,7 +7,7 @@ not a generator.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,34 +63,73 @@ def _cut(n: Column, pct: int) -> Column:
     return F.floor(n * F.lit(int(pct)) / F.lit(100)).cast("long")
 
 
+def gridded(df: DataFrame) -> DataFrame:
+    """The rows on the grid: those that ``resample(off_grid="keep")`` flagged
+    as off it (null ``ds``) take no part in folds or fits."""
+    return df.filter(F.col("on_grid")).drop("on_grid") if "on_grid" in df.columns else df
+
+
+def _fold_count(h: int, step: int, on_short: str) -> Column:
+    """Folds of a series from ``n`` and ``initial``; a series too short for
+    one has none, or fails the job with ``on_short="raise"``."""
+    if on_short not in ("skip", "raise"):
+        raise ValueError(f"unknown on_short {on_short!r}")
+    span = F.col("n") - F.col("initial") - h
+    k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0).cast("long")
+    if on_short == "raise":
+        k = F.when((F.col("initial") >= 1) & (span >= 0), k).otherwise(
+            F.raise_error(F.lit("initial training size + horizon exceeds the series")))
+    return k
+
+
+def _folds_of_row(h: int, n_folds: Column, step: int) -> Column:
+    """Ids of the folds whose test window holds a row (at most ceil(h / step))."""
+    rel = F.col("idx") - F.col("initial")
+    lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
+    hi = F.least(n_folds - 1, F.floor(rel / step)).cast("long")
+    return F.when((rel >= 0) & (F.col("initial") >= 1) & (lo <= hi), F.sequence(lo, hi)).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def explode_folds(df: DataFrame, horizons: Mapping[str, tuple[int, int]],
+                  on_short: str = "skip") -> DataFrame:
+    """One row per (row, forecast, fold) whose test window holds the row, from
+    columns ``idx``, ``n`` and ``initial``: adds ``forecast``, ``fold`` and
+    ``d`` (position in the horizon). Used by every rolling evaluation."""
+    if on_short == "raise":  # checked on every row, also those in no test window
+        longest = [_fold_count(h, step, on_short) >= 0 for h, step in horizons.values()]
+        for ok in longest:
+            df = df.filter(ok)
+    rel = F.col("idx") - F.col("initial")
+
+    def member(name: str, step: int):
+        return lambda fold: F.struct(F.lit(name).alias("forecast"), fold.alias("fold"),
+                                     (rel - fold * step).alias("d"))
+
+    parts = [F.transform(_folds_of_row(h, _fold_count(h, step, "skip"), step), member(name, step))
+             for name, (h, step) in horizons.items()]
+    return (df.filter((rel >= 0) & (F.col("initial") >= 1))
+            .withColumn("_m", F.explode(F.concat(*parts))).select("*", "_m.*").drop("_m"))
+
+
 def fold_index(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
                initial: int | None = None, keys: Sequence[str] = KEYS,
                on_short: str = "skip") -> DataFrame:
     """Add ``idx`` (row number from 0 by ds), ``n``, ``initial`` and
-    ``n_folds`` to every row of every series (see :func:`rolling_folds`).
-
-    Rows that ``resample(off_grid="keep")`` flagged as off the grid (null
-    ``ds``) take no part in folds and are left out here."""
-    if "on_grid" in df.columns:
-        df = df.filter(F.col("on_grid"))
+    ``n_folds`` to every row of every series (see :func:`rolling_folds`)."""
     w = Window.partitionBy(*keys).orderBy("ds")
-    x = (df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
+    x = (gridded(df).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
          .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    x = x.withColumn("initial", _initial(initial_pct, initial))
+    return x.withColumn("n_folds", _fold_count(h, step, on_short))
+
+
+def _initial(initial_pct: int | None, initial: int | None) -> Column:
     if initial is not None:
-        init = F.lit(int(initial)).cast("long")
-    elif initial_pct is not None:
-        init = _cut(F.col("n"), initial_pct)
-    else:
-        init = F.greatest(F.lit(1), F.floor(F.col("n") / 3)).cast("long")
-    x = x.withColumn("initial", init)
-    span = F.col("n") - F.col("initial") - h
-    k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0).cast("long")
-    if on_short == "raise":
-        k = F.when((F.col("initial") >= 1) & (span >= 0), k).otherwise(
-            F.raise_error(F.lit("initial training size + horizon exceeds the series")))
-    elif on_short != "skip":
-        raise ValueError(f"unknown on_short {on_short!r}")
-    return x.withColumn("n_folds", k)
+        return F.lit(int(initial)).cast("long")
+    if initial_pct is not None:
+        return _cut(F.col("n"), initial_pct)
+    return F.greatest(F.lit(1), F.floor(F.col("n") / 3)).cast("long")
 
 
 def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
@@ -105,17 +144,11 @@ def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80
     ``d`` (position in the horizon, 0..h-1) and ``n_folds``. A row belongs to
     at most ceil(h / step) folds, so the expansion is bounded.
 
-    Series shorter than initial + h have no fold; ``on_short="raise"``
-    fails the job on them instead (the single-series behaviour).
+    Series shorter than initial + h have no fold (:func:`skipped_series`
+    lists them); ``on_short="raise"`` fails the job on them instead.
     """
     x = fold_index(df, h, step, initial_pct, initial, keys, on_short)
-    rel = F.col("idx") - F.col("initial")
-    lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
-    hi = F.least(F.col("n_folds") - 1, F.floor(rel / step)).cast("long")
-    x = x.filter((rel >= 0) & (F.col("initial") >= 1)).withColumn("_lo", lo).withColumn("_hi", hi)
-    x = x.filter(F.col("_lo") <= F.col("_hi"))
-    x = x.withColumn("fold", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-    return x.withColumn("d", F.col("idx") - F.col("initial") - F.col("fold") * step)
+    return explode_folds(x, {"f": (h, step)}, on_short).drop("forecast")
 
 
 def skipped_series(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
@@ -125,13 +158,8 @@ def skipped_series(df: DataFrame, h: int, step: int, initial_pct: int | None = 8
     the reason. The multi-series counterpart of ``on_short="raise"``: the
     others are evaluated, these are listed. One grouped count per series."""
     keys = list(keys)
-    x = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    if initial is not None:
-        init = F.lit(int(initial)).cast("long")
-    elif initial_pct is not None:
-        init = _cut(F.col("n"), initial_pct)
-    else:
-        init = F.greatest(F.lit(1), F.floor(F.col("n") / 3)).cast("long")
+    x = gridded(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    init = _initial(initial_pct, initial)
     x = x.withColumns({"initial": init, "h": F.lit(int(h)).cast("long")})
     reason = (F.when(F.col("initial") < 1, F.lit("initial training size below 1"))
               .when(F.col("n") < F.col("initial") + F.col("h"),
@@ -144,7 +172,7 @@ def fold_counts(df: DataFrame, granularity: str, forecasts: Sequence[str] = ("1_
     """Per series and forecast kind: n, initial, h, step and the number of
     folds (W7). The horizon table is a literal array exploded per series
     row, not a join."""
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    per = gridded(df).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     table = F.array(*[F.struct(F.lit(f).alias("forecast"), F.lit(horizon(f, granularity)[0]).alias("h"),
                                F.lit(horizon(f, granularity)[1]).alias("step")) for f in forecasts])
     x = per.select(*keys, "n", F.explode(table).alias("hz")).select(*keys, "n", "hz.*")

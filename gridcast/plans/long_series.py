@@ -30,7 +30,8 @@ from gridcast.functions.recursion import ar1_ahead
 from gridcast.functions.time import epoch_seconds
 from gridcast.operators.features import lag_features
 from gridcast.operators.metrics import fold_metrics
-from gridcast.plans.rolling import fold_membership
+from gridcast.operators.split import explode_folds
+from gridcast.plans.rolling import in_logs, out_of_logs
 from gridcast.schema import KEYS, Granularity, horizon
 
 K = list(KEYS)
@@ -65,14 +66,15 @@ def _slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple
 def rolling_forecast_long(series: DataFrame, models: Sequence[str],
                           horizons: Mapping[str, tuple[int, int]],
                           granularity: str | Granularity, initial_pct: int = 80,
-                          chunk: int = 4096) -> DataFrame:
+                          chunk: int = 4096, log: str | None = None,
+                          on_short: str = "skip") -> DataFrame:
     """Same output as ``rolling_forecast_many``: keys, forecast, model, fold,
     d, idx, ds, y, yhat."""
     unknown = set(models) - set(LONG_SERIES_MODELS)
     if unknown:
         raise ValueError(f"unknown model {sorted(unknown)}")
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
-    base = series.select(*K, "ds", "y").withColumn("_ep", epoch_seconds("ds"))
+    base = in_logs(series, log).withColumn("_ep", epoch_seconds("ds"))
     bounds = base.groupBy(*K).agg(F.min("_ep").alias("_lo"), F.max("_ep").alias("_hi"),
                                   F.avg("y").alias("_c"))
     x = base.join(bounds, K)
@@ -93,17 +95,6 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
            "m_t": t, "m_tt": t * t, "m_ty": t * yc}
     x = prefix_sums(x.withColumns(mom), K, "idx", list(mom), chunk)
 
-    rel = F.col("idx") - F.col("initial")
-    members = []
-    for name, (h, step) in horizons.items():
-        span = F.col("n") - F.col("initial") - h
-        k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0)
-        lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
-        hi = F.least(k - 1, F.floor(rel / step)).cast("long")
-        seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
-            F.array().cast("array<long>"))
-        members.append(F.transform(seq, fold_membership(name, step, rel)))
-
     # Every row's own exclusive prefix sums are the model state of a fold
     # whose origin it is; the origin of a fold is its d = 0 test row, so
     # the state reaches the fold's other rows by first() over the fold
@@ -115,8 +106,8 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
                         F.col("cum_m_ty"))
     state = {"_last": F.col("_x"), "_mean": F.col("cum_m_y") / n, "_ar_a": ar_a,
              "_ar_b": ar_b, "_tr_a": tr_a, "_tr_b": tr_b}
-    tests = (x.filter(rel >= 0).withColumn("_m", F.explode(F.concat(*members)))
-             .select(*K, "idx", "ds", "y", "_c", "_m.*", *[v.alias(c) for c, v in state.items()]))
+    tests = explode_folds(x, horizons, on_short).select(
+        *K, "idx", "ds", "y", "_c", "forecast", "fold", "d", *[v.alias(c) for c, v in state.items()])
     origin = Window.partitionBy(*K, "forecast", "fold").orderBy("d")
     j = tests.withColumns({c: F.first(c).over(origin) for c in state})
     c = F.col("_c")
@@ -127,12 +118,14 @@ def rolling_forecast_long(series: DataFrame, models: Sequence[str],
             "trend": F.col("_tr_a") + F.col("_tr_b") * F.col("idx").cast("double") + c}
     stacked = F.array(*[F.struct(F.lit(m).alias("model"), yhat[m].alias("yhat")) for m in models])
     out = j.withColumn("_s", F.explode(stacked)).select("*", "_s.*")
-    return out.select(*K, "forecast", "model", "fold", "d", "idx", "ds", "y", "yhat")
+    return out_of_logs(out.select(*K, "forecast", "model", "fold", "d", "idx", "ds", "y", "yhat"), log)
 
 
 def evaluate_rolling_long(series: DataFrame, models: Sequence[str],
                           granularity: str | Granularity, forecasts: Sequence[str],
-                          initial_pct: int = 80, level: str = "fold") -> DataFrame:
+                          initial_pct: int = 80, level: str = "fold", log: str | None = None,
+                          on_short: str = "skip") -> DataFrame:
     horizons = {fc: horizon(fc, granularity) for fc in forecasts}
-    pred = rolling_forecast_long(series, models, horizons, granularity, initial_pct)
+    pred = rolling_forecast_long(series, models, horizons, granularity, initial_pct, log=log,
+                                 on_short=on_short)
     return fold_metrics(pred, by=[*K, "forecast", "model"], level=level)

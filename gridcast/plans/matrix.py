@@ -4,7 +4,9 @@ of one DataFrame instead of nested driver loops of jobs.
 Per granularity, all running-window models and all forecast kinds are
 evaluated in one pass over the gridded series (``evaluate_rolling_many``):
 one rollup shuffle and one series shuffle per granularity, whatever the
-number of models and horizons. Regression models add one branch each.
+number of models and horizons. Regression models add one branch each; tree
+models are fitted once per granularity on lag / mean / hour features of the
+same grid and evaluated on the ordered holdout (forecast kind ``holdout``).
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.plans.rolling import SIMPLE_MODELS, evaluate_rolling, evaluate_rolling_many
+from gridcast.operators.features import (drop_nulls, feature_columns, lag_features, moving_average,
+                                         time_features)
+from gridcast.plans.trees import TREE_MODELS, evaluate_holdout
 from gridcast.schema import HORIZONS, Granularity
 
 SeriesFor = Callable[[str], DataFrame]
@@ -47,7 +52,7 @@ def coarsened_series(finest: DataFrame, finest_granularity: str, **resample_kw)
 
 def run_matrix(series_for: SeriesFor, models: Sequence[str], granularities: Sequence[str],
                forecasts: Sequence[str] = ("1_step", "1_hour", "12_hour"),
-               initial_pct: int = 80) -> DataFrame:
+               initial_pct: int = 80, tree_params: dict | None = None) -> DataFrame:
     """``series_for(granularity)`` returns the gridded series; the result
     has one metrics row per (series, model, granularity, forecast)."""
     parts = []
@@ -59,9 +64,15 @@ def run_matrix(series_for: SeriesFor, models: Sequence[str], granularities: Sequ
             # every simple model and forecast kind in one pass over the series
             parts.append(evaluate_rolling_many(series, simple, g, fcs, initial_pct)
                          .withColumn("granularity", F.lit(g)))
+        trees = [m for m in models if m in TREE_MODELS]
+        if trees:
+            cols = feature_columns(2, 2, True)
+            table = drop_nulls(time_features(moving_average(lag_features(series, 2), 2), weekend=False), cols)
+            parts += [evaluate_holdout(table, cols, m, initial_pct, **(tree_params or {}))[1].withColumns(
+                {"model": F.lit(m), "granularity": F.lit(g), "forecast": F.lit("holdout")}) for m in trees]
         for fc in fcs:
             for m in models:
-                if m not in SIMPLE_MODELS:
+                if m not in SIMPLE_MODELS and m not in TREE_MODELS:
                     parts.append(evaluate_rolling(series, m, g, fc, initial_pct).withColumns(
                         {"model": F.lit(m), "granularity": F.lit(g), "forecast": F.lit(fc)}))
     if not parts:

@@ -117,6 +117,42 @@ def trend_pred(src: str, h: int, step: int, name: str = "p") -> str:
             f"FROM {name}_f)")
 
 
+def least_squares_pred(src: str, h: int, columns: dict[str, str]) -> str:
+    """CTEs up to ``fm`` (fold means) of a least-squares forecaster refitted
+    at every origin (step 1): running sums of the products of the columns
+    and the centred target, one Gaussian elimination step per CTE, and the
+    forecast from the test row's own columns (so lags need h = 1)."""
+    x = list(columns)
+    k = len(x)
+    cols = ", ".join(f"{e.replace('{W}', W)} AS {c}" for c, e in columns.items())
+    full = " AND ".join(f"{c} IS NOT NULL" for c in x)
+
+    def total(a: str, b: str) -> str:
+        return f"sum(CASE WHEN {full} THEN {a} * {b} END) OVER {PAST}"
+
+    terms = [f"{total(x[i], x[j])} AS a0_{i}_{j}" for i in range(k) for j in range(k)]
+    terms += [f"{total(x[i], 'z')} AS a0_{i}_{k}" for i in range(k)]
+    ctes = [
+        f"ls_n AS (SELECT *, row_number() OVER {W} - 1 AS i, CAST(floor(count(*) OVER ({PART}) * 80 / 100) AS BIGINT) AS i0 FROM {src})",
+        f"ls_c AS (SELECT *, avg(y) FILTER (WHERE i < i0) OVER ({PART}) AS c FROM ls_n)",
+        f"ls_x AS (SELECT *, y - c AS z, {cols} FROM ls_c)",
+        f"ls_0 AS (SELECT *, {', '.join(terms)} FROM ls_x)"]
+    for p in range(k):
+        rows = [f"a{p}_{p}_{j} AS a{p + 1}_{p}_{j}" for j in range(p, k + 1)]
+        rows += [f"a{p}_{i}_{j} - a{p}_{i}_{p} * a{p}_{p}_{j} / a{p}_{p}_{p} AS a{p + 1}_{i}_{j}"
+                 for i in range(p + 1, k) for j in range(p + 1, k + 1)]
+        ctes.append(f"ls_{p + 1} AS (SELECT *, {', '.join(rows)} FROM ls_{p})")
+    last = f"ls_{k}"
+    for i in reversed(range(k)):
+        rest = "".join(f" - a{i + 1}_{i}_{j} * b{j}" for j in range(i + 1, k))
+        ctes.append(f"ls_b{i} AS (SELECT *, (a{i + 1}_{i}_{k}{rest}) / a{i + 1}_{i}_{i} AS b{i} FROM {last})")
+        last = f"ls_b{i}"
+    at = ", ".join(f"first_value(b{i}) OVER ({PART}, fold ORDER BY idx) AS o{i}" for i in range(k))
+    value = " + ".join(f"o{i} * {x[i]}" for i in range(k))
+    return ", ".join([*ctes, folds(last, h, 1), f"ls_o AS (SELECT *, {at} FROM f)",
+                      f"p AS (SELECT *, c + {value} AS yhat FROM ls_o)", fold_mean_cte("p")])
+
+
 def _features(end: str = "max(ds)", where: str = "TRUE") -> str:
     return (_with(obs(), grid(end=end, where=where),
                   f"f AS (SELECT *, CAST(hour(ds) AS INTEGER) AS hour, lag(y, 1) OVER {W} AS lag_1, "
@@ -142,11 +178,16 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT {KEYS}, time_bucket(INTERVAL '3600 seconds', ts) + INTERVAL '3600 seconds' AS ds, "
         f"{_r6('sum(value) / count(value)')} AS y, count(value) AS n, {_r6('sum(value)')} AS total "
         f"FROM base GROUP BY 1, 2, 3, 4")
-    q["read_observations"] = _with(obs("fifteen_minute")) + f"SELECT {KEYS}, ds, {_round('y')} FROM obs"
+    q["read_observations"] = _with(obs()) + f"SELECT {KEYS}, ds, {_round('y')} FROM obs"
     q["select_series"] = (_with(obs()) + f"SELECT ds, {_round('y')} FROM obs "
                           "WHERE name = 'click' AND unique_id = '1' AND id_object = 6")
     q["select_many"] = (_with(obs()) + f"SELECT {KEYS}, ds, {_round('y')} FROM obs "
                         "WHERE name = 'view' AND unique_id IN ('0', '1', '2') AND id_object = 6")
+    q["select_long_list"] = (_with(obs()) + f"SELECT {KEYS}, ds, {_round('y')} FROM obs "
+                             "WHERE name IN ('view', 'click')")
+    q["min_raw_rows"] = (
+        "WITH e AS (SELECT event_type AS name, CAST(user_id % 3 AS VARCHAR) AS unique_id, CAST(6 AS INTEGER) AS id_object, "
+        f"ts, value FROM events) SELECT * FROM e WHERE ({KEYS}) IN (SELECT ({KEYS}) FROM e GROUP BY {KEYS} HAVING count(*) > 650)")
     q["series_counts"] = _with(obs("one_minute")) + f"SELECT {KEYS}, count(*) AS n_obs FROM obs GROUP BY 1, 2, 3"
     minobs = (f"m AS (SELECT * FROM obs WHERE ({KEYS}) IN (SELECT ({KEYS}) FROM obs "
               f"GROUP BY {KEYS} HAVING count(*) > 430))")
@@ -167,6 +208,10 @@ def oracle_sql() -> dict[str, str]:
         f"g.unique_id = o.unique_id AND g.id_object = o.id_object AND g.ds = o.ds")
     q["resample_from_date"] = (_with(obs(), grid(start=FROM_DATE, end=TO_DATE, where=in_range))
                                + f"SELECT {KEYS}, ds, {_round('y')} FROM r")
+    for name, start, end in (("resample_off_phase", "2024-01-02 00:30:00", "2024-01-05 23:30:00"),
+                             ("resample_empty_range", "2024-03-01 00:00:00", "2024-03-02 12:00:00")):
+        q[name] = (_with(obs()) + f"SELECT {KEYS}, unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{end}', "
+                   f"{_iv(3600)})) AS ds, CAST(0.1 AS DOUBLE) AS y FROM (SELECT DISTINCT {KEYS} FROM obs)")
     q["range_before_fill"] = (_with(obs("fifteen_minute"), grid(g="fifteen_minute", start=FROM_DATE,
                                                                  end=TO_DATE, where=in_range))
                               + f"SELECT {KEYS}, ds, {_round('y')} FROM r")
@@ -221,15 +266,51 @@ def oracle_sql() -> dict[str, str]:
                            "count(*) FILTER (WHERE pr <= m * 25 / 100) AS n_train "
                            "FROM k, (VALUES (1), (2), (3), (4)) t(m) GROUP BY 1, 2, 3, 4")
     q["rolling_folds"] = (_with(obs("fifteen_minute"),
-                                grid(g="fifteen_minute", start=FROM_DATE, end=TO_DATE, where=in_range),
-                                folds("r", 4, 4))
+                                grid(g="fifteen_minute"), folds("r", 4, 4))
                           + f"SELECT {KEYS}, fold, d, idx, ds, {_round('y')} FROM f")
-    q["fold_counts"] = (_with(obs(), grid(), f"c AS (SELECT {KEYS}, count(*) AS n FROM r GROUP BY 1, 2, 3)")
-                        + f"SELECT {KEYS}, n, forecast, CAST(h AS INTEGER) AS h, CAST(step AS INTEGER) "
-                        "AS step, CAST(floor(n * 80 / 100) AS BIGINT) AS initial, "
-                        "CASE WHEN n - floor(n * 80 / 100) - h >= 0 "
-                        "THEN CAST((n - floor(n * 80 / 100) - h) // step + 1 AS BIGINT) ELSE 0 END AS n_folds "
-                        "FROM c, (VALUES ('1_step', 1, 1), ('1_hour', 1, 1), ('12_hour', 12, 1)) t(forecast, h, step)")
+    def counts(*ctes: str, table: str) -> str:
+        return (_with(*ctes, f"c AS (SELECT {KEYS}, count(*) AS n FROM r GROUP BY 1, 2, 3)")
+                + f"SELECT {KEYS}, n, forecast, CAST(h AS INTEGER) AS h, CAST(step AS INTEGER) "
+                "AS step, CAST(floor(n * 80 / 100) AS BIGINT) AS initial, "
+                "CASE WHEN n - floor(n * 80 / 100) - h >= 0 "
+                "THEN (n - CAST(floor(n * 80 / 100) AS BIGINT) - h) // step + 1 ELSE 0 END AS n_folds "
+                f"FROM c, (VALUES {table}) t(forecast, h, step)")
+
+    q["fold_counts"] = counts(obs(), grid(), table="('1_step', 1, 1), ('1_hour', 1, 1), ('12_hour', 12, 1)")
+    q["fold_counts_fifteen_minute"] = counts(obs("fifteen_minute"), grid(g="fifteen_minute"),
+                                             table="('1_step', 1, 1), ('1_hour', 4, 4), ('12_hour', 48, 4)")
+    daily = q["rollup_one_day"].removeprefix("WITH ").split(" SELECT " + KEYS)[0]
+    q["fold_counts_one_day"] = counts(daily, grid("d", "one_day"), table="('1_step', 1, 1)")
+    q["skipped_series"] = _with(obs()) + (
+        f"SELECT {KEYS}, n, initial, CAST(10 AS BIGINT) AS h, 'initial training size + horizon exceeds the series' AS reason "
+        f"FROM (SELECT {KEYS}, count(*) AS n, CAST(floor(count(*) * 98 / 100) AS BIGINT) AS initial FROM obs GROUP BY 1, 2, 3) "
+        "WHERE n < initial + 10 AND initial >= 1")
+    keep = [obs("fifteen_minute"), grid(g="one_hour")]
+    q["keep_grid_folds"] = _with(*keep, naive_pred("r", 12, 1, "p1"), fold_mean_cte("p1", "m1"),
+                                 mean_pred("r", 12, 1, "p2"), fold_mean_cte("p2", "m2")) + " UNION ALL ".join(
+        f"SELECT {KEYS}, '12_hour' AS forecast, '{m}' AS model, {METRIC_OUT} FROM (SELECT {KEYS}, {METRICS} FROM {t} GROUP BY 1, 2, 3)"
+        for m, t in (("naive", "m1"), ("mean", "m2")))
+    for name, h, pred, into, back in (("rolling_naive_log", 12, naive_pred, "ln(y)", "exp({})"),
+                                      ("ar1_rolling_log", 1, ar1_pred, "ln(1 + y)", "exp({}) - 1")):
+        q[name] = (_with(obs(), grid(name="r0"), f"r AS (SELECT {KEYS}, ds, {into} AS y FROM r0)", pred("r", h, 1, "p0"),
+                         f"p AS (SELECT * REPLACE ({back.format('y')} AS y, {back.format('yhat')} AS yhat) FROM p0)",
+                         fold_mean_cte("p")) + fold_metric_sql("fm"))
+    q["align_predictions"] = _with(obs(), grid()) + (
+        f"SELECT {KEYS}, ds, {_round('y', 'yhat')} FROM (SELECT *, lag(y) OVER {W} AS yhat FROM r) WHERE yhat IS NOT NULL")
+    q["tree_test_rows"] = _features() + (
+        f"SELECT {KEYS}, ds, {_round('y')} FROM (SELECT *, percent_rank() OVER {W} AS pr FROM ff) "
+        "WHERE NOT (pr <= CAST(0.8 AS DOUBLE))")
+    q["log_stage"] = _with(obs(), grid(), "l AS (SELECT * REPLACE (ln(1 + y) AS y) FROM r)") + (
+        f"SELECT {KEYS}, ds, {_round('y')} FROM l")
+    q["assembled_features"] = _features() + (
+        "SELECT " + KEYS + ", ds, f_lag_1, f_lag_2, f_avg_2, f_hour FROM (SELECT " + KEYS + ", ds, "
+        + ", ".join(f"{_r6(c)} AS f_{c}" for c in ("lag_1", "lag_2", "avg_2")) + ", CAST(hour AS DOUBLE) AS f_hour FROM ff)")
+    q["ar2_rolling"] = (_with(obs(), grid(), least_squares_pred(
+        "r", 1, {"x0": "1.0", "x1": "lag(y, 1) OVER {W} - c", "x2": "lag(y, 2) OVER {W} - c"})) + fold_metric_sql("fm"))
+    wave = "2 * pi() * date_diff('second', TIMESTAMP '1970-01-01 00:00:00', ds) / 86400"
+    q["trend_daily_rolling"] = (_with(obs(), grid(), least_squares_pred(
+        "r", 12, {"x0": "1.0", "x1": "(i - i0 / 2.0) / i0", "x2": f"sin({wave})", "x3": f"cos({wave})"})) + fold_metric_sql("fm"))
+    q["evaluation_matrix_one_minute"] = evaluation_matrix_sql(("naive", "mean", "trend"), ("one_minute",), ("1_step", "1_hour"))
     holdout = (f"t AS (SELECT * FROM (SELECT *, lag(y, 1) OVER {W} AS yhat, "
                f"percent_rank() OVER {W} AS pr FROM r) WHERE NOT (pr <= CAST(0.8 AS DOUBLE)))")
     q["regression_metrics"] = (_with(obs(), grid(), holdout)
@@ -261,8 +342,7 @@ def oracle_sql() -> dict[str, str]:
         _with(obs(), grid(), mean_pred("r", 1, 1), fold_mean_cte("p"))
         + f"SELECT {KEYS}, {_r6('mape')} AS MAPE, {_r6('rmse')} AS RMSE, {_r6('mse')} AS MSE, "
         f"{_r6('mae')} AS MAE FROM (SELECT {KEYS}, {METRICS} FROM fm GROUP BY 1, 2, 3)")
-    q["rollup_stream"] = (_with(obs()) + f"SELECT {KEYS}, ds, {roll}, n FROM obs "
-                          "WHERE ds <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'")
+    q["rollup_stream"] = q["rollup_one_hour"]
     q["feature_stages"] = (_features() + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'avg_2')}, "
                            "hour FROM ff")
     q["evaluation_matrix"] = evaluation_matrix_sql()
@@ -274,7 +354,8 @@ def oracle_sql() -> dict[str, str]:
 
 _PRED = {"naive": naive_pred, "mean": mean_pred, "ar1": ar1_pred, "trend": trend_pred}
 # Fixed values: (h, step) per forecast kind at one hour and fifteen minutes.
-_MATRIX_HORIZONS = {"one_hour": {"1_step": (1, 1), "1_hour": (1, 1), "12_hour": (12, 1)},
+_MATRIX_HORIZONS = {"one_minute": {"1_step": (1, 1), "1_hour": (60, 60)},
+                    "one_hour": {"1_step": (1, 1), "1_hour": (1, 1), "12_hour": (12, 1)},
                     "fifteen_minute": {"1_step": (1, 1), "1_hour": (4, 4), "12_hour": (48, 4)}}
 
 

@@ -1,19 +1,27 @@
 """Rolling-origin least-squares forecasters with many regressors (M4, M5,
 M7): an autoregression with exogenous calendar columns (``arx``) and a
-trend plus daily / weekly Fourier model (``trend_seasonal``).
+(piecewise) trend plus daily / weekly Fourier model (``trend_seasonal``).
 
 Refit-per-origin without refitting: fold i trains on rows [0, e_i), and
 rows are cut into blocks at the origins (block 0 = [0, e_0), block i =
 [e_{i-1}, e_i)). One grouped aggregate gives each block's Gram matrix Z'Z
-of z = [x, y] (map-side partial sums, one row per block), a running sum
-over the blocks of a series gives every fold's normal equations, and an
-Arrow-batched pandas UDF solves each fold's small ridge system and runs
-the h-step forecast (recursive for the AR terms). Train rows are never
-copied per fold; the only per-fold data is one Gram row.
-
-The AR order of ``arx`` is picked once per series by AIC on the first
-training window (fold 0), then kept for every fold, with coefficients
-refitted per fold. All orders are sub-matrices of the largest Gram.
+of z = [x, y] (map-side partial sums, one row per fold, with the fold's
+origin row beside it). Every fold's normal equations are a running sum of
+the blocks, taken in two levels: totals per (series, chunk of blocks), their
+exclusive running sums over the chunks, and a running sum inside each chunk
+in numpy, where the chunk's folds are solved and forecast. No task holds more
+than a chunk's Grams, however long a series is.
+
+Columns are centred and scaled per series by statistics of the first training
+window, and each normal matrix is brought to unit diagonal and solved by a
+pseudo-inverse with a rank cut. So a forecast follows the unit and the origin
+of y, is the plain least-squares one where the columns are independent, and
+the minimum-norm one where they are not.
+
+The AR order of ``arx`` (0 to ``p_max``, or exactly ``p_max`` with
+``pick=False``) is chosen once per series by AIC on the first training window
+and kept for every fold; coefficients are refitted per fold. All orders are
+sub-matrices of the largest Gram.
 """
 
 from __future__ import annotations
@@ -25,202 +33,216 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
 
 from gridcast.functions.time import epoch_seconds
 from gridcast.operators.features import exogenous_columns, exogenous_features
-from gridcast.operators.split import fold_index, rolling_folds
+from gridcast.operators.split import explode_folds, fold_index
+from gridcast.plans.rolling import in_logs, out_of_logs
 from gridcast.schema import KEYS, Granularity
 
 K = list(KEYS)
 REGRESSION_MODELS = ("arx", "trend_seasonal")
+#: blocks of a series that one task solves together
+CHUNK = 512
+#: share of the largest eigenvalue under which a direction counts as absent
+RANK_CUT = 1e-11
 _DAY, _WEEK = 86400.0, 604800.0
 
 
-def _design(series: DataFrame, model: str, g: Granularity, p_max: int,
-            harmonics: tuple[int, int]) -> tuple[DataFrame, list[str]]:
-    w = Window.partitionBy(*K).orderBy("ds")
-    base = series.select(*K, "ds", "y").withColumn("_ep", epoch_seconds("ds"))
+def _waves(harmonics: tuple[int, int]) -> list[tuple[str, float]]:
+    """(column suffix, angular speed per second) of the Fourier terms."""
+    return [(f"{tag}{k}", 2 * math.pi * k / period) for period, tag, nk in (
+        (_DAY, "d", harmonics[0]), (_WEEK, "w", harmonics[1])) for k in range(1, nk + 1)]
+
+
+def _design(base: DataFrame, model: str, p: int, harmonics: tuple[int, int],
+            changepoints: int, calendar: bool) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows, exogenous columns, lag columns); ``base`` has idx, initial, _ep
+    and the scaled target _z."""
     if model == "arx":
-        df = exogenous_features(base)
-        lags = {f"lag_{j}": F.lag("y", j).over(w) for j in range(1, p_max + 1)}
-        return df.withColumns(lags), exogenous_columns() + list(lags)
+        lags = {f"_lag_{j}": F.lag("_z", j).over(Window.partitionBy(*K).orderBy("ds")) for j in range(1, p + 1)}
+        df = base.withColumns(lags) if lags else base
+        if not calendar:
+            return df.withColumn("one", F.lit(1.0)), ["one"], list(lags)
+        df = exogenous_features(df).withColumn("week_day", (F.col("week_day") - 3) / 2.0)
+        return df, exogenous_columns(), list(lags)
     if model == "trend_seasonal":
-        t = (F.row_number().over(w) - 1) * F.lit(g.seconds / _DAY)
-        cols = {"one": F.lit(1.0), "t": t}
-        for period, tag, nk in ((_DAY, "d", harmonics[0]), (_WEEK, "w", harmonics[1])):
-            for k in range(1, nk + 1):
-                arg = F.col("_ep") * F.lit(2 * math.pi * k / period)
-                cols[f"sin_{tag}{k}"] = F.sin(arg)
-                cols[f"cos_{tag}{k}"] = F.cos(arg)
-        return base.withColumns(cols), list(cols)
+        span = F.greatest(F.col("initial"), F.lit(1)).cast("double")
+        cols = {"one": F.lit(1.0), "t": F.col("idx") / span - 0.5}
+        for j in range(1, changepoints + 1):
+            cols[f"t_{j}"] = F.greatest(F.col("idx") / span - j / (changepoints + 1.0), F.lit(0.0))
+        for tag, speed in _waves(harmonics):
+            cols[f"sin_{tag}"] = F.sin(F.col("_ep") * F.lit(speed))
+            cols[f"cos_{tag}"] = F.cos(F.col("_ep") * F.lit(speed))
+        return base.withColumns(cols), list(cols), []
     raise ValueError(f"unknown model {model!r}; expected one of {REGRESSION_MODELS}")
 
 
-def _future_x(model: str, ep: np.ndarray, idx: np.ndarray, d: int, step: int,
-              harmonics: tuple[int, int]) -> np.ndarray:
-    """Regressors (without AR terms) of the row d steps after the origin;
-    the same definitions as the Spark columns, from the epoch only."""
+def _future_x(model: str, ep: np.ndarray, idx: np.ndarray, initial: np.ndarray, d: int, step: int,
+              harmonics: tuple[int, int], changepoints: int, calendar: bool) -> np.ndarray:
+    """Exogenous columns of the row d steps after the origin: the same
+    definitions as the Spark columns, from the epoch and the position only."""
     e = ep + d * step
     if model == "arx":
-        hour = (e // 3600) % 24
-        wd = (e // 86400 + 3) % 7  # 1970-01-01 was a Thursday; 0 = Monday
+        if not calendar:
+            return np.ones((len(e), 1))
+        hour, day = (e // 3600) % 24, (e // 86400 + 3) % 7  # 1970-01-01 was a Thursday; 0 = Monday
         out = np.zeros((len(e), 26))
         out[np.arange(len(e)), hour.astype(int)] = 1.0
-        out[:, 24] = (wd >= 5).astype(float)
-        out[:, 25] = wd
+        out[:, 24] = day >= 5
+        out[:, 25] = (day - 3) / 2.0
         return out
-    cols = [np.ones(len(e)), (idx + d) * (step / _DAY)]
-    for period, nk in ((_DAY, harmonics[0]), (_WEEK, harmonics[1])):
-        for k in range(1, nk + 1):
-            arg = e * (2 * math.pi * k / period)
-            cols += [np.sin(arg), np.cos(arg)]
+    span = np.maximum(initial, 1).astype(float)
+    cols = [np.ones(len(e)), (idx + d) / span - 0.5]
+    cols += [np.maximum((idx + d) / span - j / (changepoints + 1.0), 0.0) for j in range(1, changepoints + 1)]
+    for _, speed in _waves(harmonics):
+        cols += [np.sin(e * speed), np.cos(e * speed)]
     return np.stack(cols, axis=1)
 
 
-def _solver(model: str, k: int, p_max: int, h: int, step: int, ridge: float,
-            harmonics: tuple[int, int]):
-    m = k + 1
-    iu = np.triu_indices(m)
-    n_exog = k - p_max if model == "arx" else k
-
-    def unpack(col: pd.Series) -> np.ndarray:
-        flat = np.stack(col.to_numpy())
-        G = np.zeros((len(flat), m, m))
-        G[:, iu[0], iu[1]] = flat
-        G[:, iu[1], iu[0]] = flat
-        return G
-
-    def fit(G: np.ndarray, cols: np.ndarray):
-        XtX = G[:, cols][:, :, cols]
-        Xty = G[:, cols, k]
-        scale = np.maximum(np.trace(XtX, axis1=1, axis2=2) / len(cols), 1e-12)
-        A = XtX + (ridge * scale)[:, None, None] * np.eye(len(cols))
-        beta = np.linalg.solve(A, Xty[..., None])[..., 0]
-        rss = (G[:, k, k] - 2 * np.einsum("bi,bi->b", beta, Xty)
-               + np.einsum("bi,bij,bj->b", beta, XtX, beta))
-        return beta, rss
-
-    @pandas_udf(ArrayType(DoubleType()))
-    def solve_and_forecast(gram: pd.Series, gram0: pd.Series, cnt0: pd.Series,
-                           last: pd.Series, ep: pd.Series, idx: pd.Series) -> pd.Series:
-        G = unpack(gram)
-        ep_ = ep.to_numpy(dtype=np.int64)
-        idx_ = idx.to_numpy(dtype=np.float64)
-        B = len(G)
-        if model == "trend_seasonal":
-            beta, _ = fit(G, np.arange(k))
-            yhat = np.stack([np.einsum("bi,bi->b", _future_x(model, ep_, idx_, d, step, harmonics), beta)
-                             for d in range(h)], axis=1)
-            return pd.Series(list(yhat))
-        # order choice by AIC on the first training window
-        G0, n0 = unpack(gram0), np.maximum(cnt0.to_numpy(dtype=np.float64), 1.0)
-        exog = np.arange(n_exog)
-        aic = np.full((B, p_max), np.inf)
-        for p in range(1, p_max + 1):
-            cols = np.concatenate([exog, n_exog + np.arange(p)])
-            _, rss = fit(G0, cols)
-            aic[:, p - 1] = n0 * np.log(np.maximum(rss, 1e-300) / n0) + 2 * len(cols)
-        order = aic.argmin(axis=1) + 1
-        beta = np.zeros((B, k))
-        for p in np.unique(order):
-            sel = order == p
-            cols = np.concatenate([exog, n_exog + np.arange(p)])
-            b, _ = fit(G[sel], cols)
-            full = np.zeros((sel.sum(), k))
-            full[:, cols] = b
-            beta[sel] = full
-        hist = np.stack(last.to_numpy()).astype(np.float64)  # y[e-1], y[e-2], ...
-        out = np.empty((B, h))
-        for d in range(h):
-            x = _future_x(model, ep_, idx_, d, step, harmonics)
-            out[:, d] = np.einsum("bi,bi->b", x, beta[:, :n_exog]) + np.einsum(
-                "bi,bi->b", hist, beta[:, n_exog:])
-            hist = np.concatenate([out[:, d:d + 1], hist[:, :-1]], axis=1)
-        return pd.Series(list(out))
+def solve_normal(gram: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, residual sums of squares) of the last column on the
+    given ones, for a stack of Gram matrices."""
+    xx, xy, yy = gram[:, cols][:, :, cols], gram[:, cols, -1], gram[:, -1, -1]
+    size = np.sqrt(np.einsum("bii->bi", xx))
+    size = np.where(size > 0, size, 1.0)
+    w, v = np.linalg.eigh(xx / (size[:, :, None] * size[:, None, :]))
+    inv = np.where(w > RANK_CUT * np.maximum(w[:, -1:], 1e-300), 1.0 / np.where(w > 0, w, 1.0), 0.0)
+    beta = np.einsum("bij,bj,bkj,bk->bi", v, inv, v, xy / size, optimize=True) / size
+    rss = yy - 2 * np.einsum("bi,bi->b", beta, xy) + np.einsum("bi,bij,bj->b", beta, xx, beta)
+    return beta, np.maximum(rss, 0.0)
+
 
-    return solve_and_forecast
+def _unpack(flat: np.ndarray, m: int, live: list[tuple[int, int]]) -> np.ndarray:
+    gram = np.zeros((len(flat), m, m))
+    for n, (i, j) in enumerate(live):
+        gram[:, i, j] = gram[:, j, i] = flat[:, n]
+    return gram
 
 
 def rolling_regression(series: DataFrame, model: str, granularity: str | Granularity,
-                       h: int, step: int, initial_pct: int = 80, p_max: int = 3,
-                       ridge: float = 1e-6, harmonics: tuple[int, int] = (3, 3)) -> DataFrame:
-    """Per test row and fold: keys, fold, d, idx, ds, y, yhat."""
+                       h: int, step: int, initial_pct: int = 80, p_max: int = 3, pick: bool = True,
+                       harmonics: tuple[int, int] = (3, 3), changepoints: int = 0,
+                       calendar: bool = True, difference: bool = False, log: str | None = None,
+                       on_short: str = "skip", chunk: int = CHUNK) -> DataFrame:
+    """Per test row and fold: keys, fold, d, idx, ds, y, yhat.
+
+    ``changepoints``: kinks of the trend, evenly spaced over the first
+    training window; ``difference``: ``arx`` on y[t] - y[t-1], forecasts
+    summed up from the last value; ``calendar=False``: intercept instead of
+    the calendar columns; ``log``: fit in logs, results on the original scale.
+    """
+    if model not in REGRESSION_MODELS:
+        raise ValueError(f"unknown model {model!r}; expected one of {REGRESSION_MODELS}")
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
-    df, regs = _design(series, model, g, p_max, harmonics)
-    k = len(regs)
-    z = regs + ["y"]
-    df = fold_index(df, h, step, initial_pct)
-    blk = F.when(F.col("idx") < F.col("initial"), 0).otherwise(
-        F.floor((F.col("idx") - F.col("initial")) / step) + 1).cast("long")
-    # rows whose AR terms are not yet defined (the first p of a series) carry
-    # no equation; origins lie past them, so no fold loses its origin row
-    df = (df.withColumn("_blk", blk).filter(F.col("_blk") <= F.col("n_folds"))
-          .na.drop(subset=regs))
-    pairs = [(z[i], z[j]) for i in range(k + 1) for j in range(i, k + 1)]
+    order_max, difference = (p_max, difference) if model == "arx" else (0, False)
+    rows = fold_index(in_logs(series, log), h, step, initial_pct, on_short=on_short)
+    tests = explode_folds(rows, {"f": (h, step)}, on_short).select(*K, "fold", "d", "idx", "ds", "y")
+
+    whole = Window.partitionBy(*K)
+    last = F.lag("y", 1).over(Window.partitionBy(*K).orderBy("ds"))
+    rows = rows.withColumn("_last", last)
+    target = F.col("y") - F.col("_last") if difference else F.col("y")
+    early = F.when(F.col("idx") < F.col("initial"), target)
+    rows = rows.withColumns({"_ep": epoch_seconds("ds"), "_c": F.avg(early).over(whole),
+                             "_s": F.stddev_pop(early).over(whole)})
+    rows = rows.withColumns({"_c": F.lit(0.0) if difference else F.coalesce("_c", F.lit(0.0)),
+                             "_s": F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)})
+    rows = rows.withColumn("_z", (target - F.col("_c")) / F.col("_s"))
+    df, exog, lags = _design(rows, model, order_max, harmonics, changepoints, calendar)
+    z = [*exog, *lags, "_z"]
+    m, n_exog = len(z), len(exog)
     # hour indicators are one-hot: their cross products are zero by
-    # construction, so only the non-zero entries of the Gram are summed
-    onehot = {c for c in regs if c.startswith("hour_")}
-    live = [n for n, (a, b) in enumerate(pairs) if not (a in onehot and b in onehot and a != b)]
-    last = [f"lag_{j}" for j in range(1, p_max + 1)] if model == "arx" else []
-    # The wide Gram parts are written as SQL expressions: one call per sum
-    # and one for the whole running array, instead of several py4j round
-    # trips per column while the plan is built (same plan either way).
-    # The block's first row (the next fold's origin) is taken field by field
-    # with scalar min_by: every aggregation buffer stays fixed-width, so the
-    # blocks aggregate by hash instead of sorting all rows.
-    firsts = [F.min("idx").alias("_f_idx"), F.min_by("_ep", "idx").alias("_f_ep")]
-    firsts += [F.min_by(F.col(c).cast("double"), F.col("idx")).alias(f"_f_{c}") for c in last]
-    blocks = (df.groupBy(*K, "_blk").agg(
-        *[F.expr(f"sum(`{pairs[n][0]}` * `{pairs[n][1]}`) AS _g{n}") for n in live],
-        F.count(F.lit(1)).alias("_cnt"), *firsts))
-    first_row = F.struct(F.col("_f_idx").alias("idx"), F.col("_f_ep").alias("ep"),
-                         F.array(*[F.col(f"_f_{c}") for c in last] or [F.lit(0.0)]).alias("last"))
-    blocks = blocks.withColumn("_first", first_row)
-    wb = Window.partitionBy(*K).orderBy("_blk")
-    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live_set = set(live)
-    running = (f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in K)} ORDER BY _blk "
-               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    gram = F.expr("array(" + ", ".join(
-        f"CAST(sum(_g{n}) {running} AS DOUBLE)" if n in live_set else "CAST(0 AS DOUBLE)"
-        for n in range(len(pairs))) + ")")
-    folds = (blocks.select(*K, F.col("_blk").alias("fold"), gram.alias("gram"),
-                           F.sum("_cnt").over(upto).alias("cnt"),
-                           F.lead("_first", 1).over(wb).alias("origin"))
-             .filter(F.col("origin").isNotNull()))
-    folds = folds.withColumns({"gram0": F.first("gram").over(wb.orderBy("fold")),
-                               "cnt0": F.first("cnt").over(wb.orderBy("fold"))})
-    solve = _solver(model, k, p_max, h, g.seconds, ridge, harmonics)
-    pred = folds.select(*K, "fold", F.posexplode(solve(
-        "gram", "gram0", "cnt0", "origin.last", "origin.ep", "origin.idx")).alias("d", "yhat"))
-    pred = pred.withColumn("d", F.col("d").cast("long"))
-    tests = rolling_folds(series.select(*K, "ds", "y"), h, step, initial_pct=initial_pct)
-    return pair_by_fold(tests.select(*K, "fold", "d", "idx", "ds", "y"),
-                        pred.select(*K, "fold", "d", "yhat"))
+    # construction, so only the other entries of the Gram are summed
+    onehot = {c for c in exog if c.startswith("hour_")}
+    live = [(i, j) for i in range(m) for j in range(i, m)
+            if i == j or not (z[i] in onehot and z[j] in onehot)]
+
+    # A row adds to its block's Gram; the first row of block f + 1 is also
+    # fold f's origin and goes to that fold as well.
+    rel = F.col("idx") - F.col("initial")
+    block = F.when(rel < 0, 0).otherwise(F.floor(rel / step) + 1).cast("long")
+    origin = (rel >= 0) & (F.pmod(rel, F.lit(step)) == 0)
+    parts = F.concat(F.array(F.struct(block.alias("fold"), F.lit(False).alias("o"))), F.when(origin, F.array(F.struct(
+        F.floor(rel / step).cast("long").alias("fold"), F.lit(True).alias("o")))).otherwise(
+        F.array().cast("array<struct<fold:bigint,o:boolean>>")))
+    seen = df.withColumn("_p", F.explode(parts)).select("*", "_p.*").filter(F.col("fold") < F.col("n_folds"))
+    # rows whose AR terms are not yet defined (the first of a series) carry no
+    # equation
+    whole_row = " AND ".join(f"`{c}` IS NOT NULL" for c in [*lags, "_z"])
+    seen = seen.withColumn("_eq", F.expr(f"NOT o AND {whole_row}"))
+    sums = ", ".join(f"coalesce(sum(CASE WHEN _eq THEN `{z[i]}` * `{z[j]}` END), 0D)" for i, j in live)
+    fields = {"ep": "_ep", "idx": "idx", "initial": "initial", "c": "_c", "s": "_s", "last": "_last"}
+    blocks = (seen.groupBy(*K, "fold").agg(
+        F.expr(f"array({sums}) AS g"), F.count_if("_eq").cast("double").alias("cnt"),
+        *[F.max(F.when(F.col("o"), F.col(c))).alias(n) for n, c in fields.items()],
+        *[F.max(F.when(F.col("o"), F.col(c))).alias(f"_recent_{j}") for j, c in enumerate(lags, 1)])
+        .withColumn("_chunk", F.floor(F.col("fold") / chunk).cast("long")))
+    size = len(live)
+    totals = blocks.groupBy(*K, "_chunk").agg(
+        F.expr("array(" + ", ".join(f"sum(g[{n}])" for n in range(size)) + ") AS g"),
+        F.max(F.when(F.col("fold") == 0, F.col("g"))).alias("g0"),
+        F.max(F.when(F.col("fold") == 0, F.col("cnt"))).alias("n0"))
+
+    @pandas_udf("int")
+    def choose(g0: pd.Series, n0: pd.Series) -> pd.Series:
+        out = np.full(len(g0), order_max, np.int32)
+        some = np.flatnonzero(g0.notna().to_numpy()) if pick and order_max else np.zeros(0, np.int64)
+        if len(some):
+            gram = _unpack(np.stack(g0.iloc[some].to_numpy()), m, live)
+            n = np.maximum(n0.iloc[some].to_numpy(dtype=float), 1.0)
+            floor = np.maximum(gram[:, -1, -1], 1e-300) * 1e-12
+            aic = [n * np.log(np.maximum(solve_normal(gram, np.arange(n_exog + p))[1], floor) / n) + 2 * (n_exog + p)
+                   for p in range(order_max + 1)]
+            out[some] = np.argmin(np.stack(aic, 1), axis=1)
+        return pd.Series(out)
+
+    before = ("OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in K)
+              + " ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    starts = (totals.withColumn("_order", F.when(F.col("g0").isNotNull(), choose("g0", "n0")))
+              .select(*K, "_chunk", F.expr("array(" + ", ".join(
+                  f"coalesce(sum(g[{n}]) {before}, 0D)" for n in range(size)) + ") AS g"),
+                  F.max("_order").over(whole).alias("p")))
+    names = [*K, "fold", "yhat"]
+
+    def solve(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(start):
+            return pd.DataFrame(columns=names)
+        pdf = pdf.sort_values("fold")
+        flat = np.cumsum(np.stack(pdf["g"].to_numpy()), axis=0) + np.asarray(start["g"].iloc[0])
+        order = int(start["p"].iloc[0] or 0)
+        beta, _ = solve_normal(_unpack(flat, m, live), np.arange(n_exog + order))
+        ep, idx, initial = (pdf[c].to_numpy(dtype=np.int64) for c in ("ep", "idx", "initial"))
+        c, s, level = (pdf[k].to_numpy(dtype=float) for k in ("c", "s", "last"))
+        # z of the rows before the origin, newest first (lags of the origin row)
+        hist = np.nan_to_num(np.stack([pdf[f"_recent_{j}"].to_numpy(dtype=float) for j in range(1, order + 1)], 1)
+                             if order else np.zeros((len(pdf), 0)))
+        out = np.empty((len(pdf), h))
+        for d in range(h):
+            x = _future_x(model, ep, idx, initial, d, g.seconds, harmonics, changepoints, calendar)
+            value = np.einsum("bi,bi->b", x, beta[:, :n_exog]) + np.einsum("bi,bi->b", hist, beta[:, n_exog:])
+            if order:
+                hist = np.concatenate([value[:, None], hist[:, :-1]], axis=1)
+            value = value * s + c
+            level = level + value if difference else value
+            out[:, d] = level
+        keep = pdf[[*K, "fold"]].reset_index(drop=True)
+        keep["yhat"] = list(out)
+        return keep
+
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in K) + ", fold long, yhat array<double>"
+    by = [*K, "_chunk"]
+    pred = blocks.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(solve, schema)
+    out = pair_by_fold(tests, pred)
+    return out_of_logs(out, log)
 
 
 def pair_by_fold(tests: DataFrame, pred: DataFrame) -> DataFrame:
-    """Inner pairing of test rows with forecasts on (keys, fold, d), each
-    side holding at most one row per key.
-
-    A join on (keys, fold, d) would shuffle both sides on those columns,
-    and the fold means (keys, fold) and the metrics (keys) after it would
-    shuffle again. Instead both sides are unioned and moved once by the
-    series keys; the pairing aggregate, the fold means and the metrics are
-    keyed by supersets of them and need no further exchange. (The forecast
-    side comes out of an Arrow UDF, which does not report its partitioning,
-    so one exchange is needed either way.) A series' rows here are bounded
-    by its test span times ceil(h / step), like every series window.
-    """
-    none = {"idx": "bigint", "ds": "timestamp_ntz", "y": "double", "yhat": "double"}
-    t = tests.select(*K, "fold", "d", "idx", "ds", "y", F.lit(None).cast("double").alias("yhat"),
-                     F.lit(1).alias("_t"), F.lit(0).alias("_p"))
-    p = pred.select(*K, "fold", "d", *[F.lit(None).cast(none[c]).alias(c) for c in ("idx", "ds", "y")],
-                    "yhat", F.lit(0).alias("_t"), F.lit(1).alias("_p"))
-    both = t.unionByName(p).repartition(*K).groupBy(*K, "fold", "d").agg(
-        *[F.max(c).alias(c) for c in ("idx", "ds", "y")],
-        F.max(F.when(F.col("_p") == 1, F.col("yhat"))).alias("yhat"),
-        F.sum("_t").alias("_t"), F.sum("_p").alias("_p"))
-    return (both.filter((F.col("_t") > 0) & (F.col("_p") > 0))
-            .select(*K, "fold", "d", "idx", "ds", "y", "yhat"))
+    """Test rows with their fold's forecasts: an inner join on (keys, fold),
+    each fold's forecasts being one array, and the row's place in it. The
+    fold means after it are keyed by the same columns and move nothing."""
+    on = [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in K] + [F.col("t.fold") == F.col("p.fold")]
+    return (tests.alias("t").join(pred.alias("p"), on)
+            .select(*[F.col(f"t.{c}").alias(c) for c in (*K, "fold", "d", "idx", "ds", "y")],
+                    F.get(F.col("p.yhat"), F.col("t.d").cast("int")).alias("yhat")))

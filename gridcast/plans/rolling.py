@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.recursion import ar1_ahead
 from gridcast.operators.metrics import fold_metrics
-from gridcast.operators.split import fold_index
+from gridcast.functions.transforms import inverse_transform, log_transform
+from gridcast.operators.split import explode_folds, fold_index, gridded
 from gridcast.schema import KEYS, Granularity, horizon
 
 SIMPLE_MODELS = ("naive", "mean", "ar1", "trend")
@@ -77,66 +78,65 @@ def _forecast(model: str):
     raise ValueError(f"unknown model {model!r}")
 
 
-def fold_membership(name: str, step: int, rel):
-    """Lambda for ``F.transform`` over a row's fold ids: one struct
-    (forecast, fold, d) per fold whose test window holds the row."""
-    def to_struct(fold):
-        return F.struct(F.lit(name).alias("forecast"), fold.alias("fold"),
-                        (rel - fold * step).alias("d"))
-    return to_struct
+def in_logs(series: DataFrame, log: str | None) -> DataFrame:
+    """The on-grid rows (keys, ds, y) that every rolling evaluation starts
+    from, the target in logs (``log1p`` or ``log``) if asked."""
+    rows = gridded(series).select(*KEYS, "ds", "y")
+    return log_transform(rows, log) if log else rows
+
+
+def out_of_logs(pred: DataFrame, log: str | None) -> DataFrame:
+    """Actual values and forecasts back on the original scale, before any
+    error is taken."""
+    return inverse_transform(pred, log, cols=("y", "yhat")) if log else pred
 
 
 def rolling_forecast_many(series: DataFrame, models: Sequence[str],
                           horizons: Mapping[str, tuple[int, int]],
-                          initial_pct: int = 80) -> DataFrame:
+                          initial_pct: int = 80, log: str | None = None,
+                          on_short: str = "skip") -> DataFrame:
     """Per test row, forecast kind, fold and model: keys, forecast, model,
     fold, d, idx, ds, y, yhat. ``horizons`` maps a forecast name to (h, step)."""
-    base = _states(series.select(*KEYS, "ds", "y"), models)
+    base = _states(in_logs(series, log), models)
     x = fold_index(base, 1, 1, initial_pct=initial_pct).drop("n_folds")
-    rel = F.col("idx") - F.col("initial")
-    memberships = []
-    for name, (h, step) in horizons.items():
-        span = F.col("n") - F.col("initial") - h
-        k = F.when(span >= 0, F.floor(span / step) + 1).otherwise(0)
-        lo = F.greatest(F.lit(0), F.ceil((rel - h + 1) / step)).cast("long")
-        hi = F.least(k - 1, F.floor(rel / step)).cast("long")
-        seq = F.when((rel >= 0) & (lo <= hi), F.sequence(lo, hi)).otherwise(
-            F.array().cast("array<long>"))
-        memberships.append(F.transform(seq, fold_membership(name, step, rel)))
-    x = (x.filter((rel >= 0) & (F.col("initial") >= 1))
-         .withColumn("_m", F.explode(F.concat(*memberships))).select("*", "_m.*").drop("_m"))
+    x = explode_folds(x, horizons, on_short)
     x = x.withColumns({f"_yhat_{m}": _forecast(m) for m in models})
     stacked = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_yhat_{m}").alias("yhat"))
                         for m in models])
     x = x.withColumn("_s", F.explode(stacked)).select("*", "_s.*")
-    return x.select(*KEYS, "forecast", "model", "fold", "d", "idx", "ds", "y", "yhat")
+    return out_of_logs(x.select(*KEYS, "forecast", "model", "fold", "d", "idx", "ds", "y", "yhat"), log)
 
 
 def rolling_forecast(series: DataFrame, model: str, h: int, step: int,
-                     initial_pct: int = 80) -> DataFrame:
+                     initial_pct: int = 80, log: str | None = None,
+                     on_short: str = "skip") -> DataFrame:
     """Per test row and fold: keys, fold, d, idx, ds, y, yhat."""
-    out = rolling_forecast_many(series, [model], {"f": (h, step)}, initial_pct)
+    out = rolling_forecast_many(series, [model], {"f": (h, step)}, initial_pct, log, on_short)
     return out.select(*KEYS, "fold", "d", "idx", "ds", "y", "yhat")
 
 
 def evaluate_rolling_many(series: DataFrame, models: Sequence[str],
                           granularity: str | Granularity, forecasts: Sequence[str],
-                          initial_pct: int = 80, level: str = "fold") -> DataFrame:
+                          initial_pct: int = 80, level: str = "fold", log: str | None = None,
+                          on_short: str = "skip") -> DataFrame:
     """Metrics per (series, forecast, model) for several models and forecast
     kinds in one pass over the series."""
     horizons = {fc: horizon(fc, granularity) for fc in forecasts}
-    pred = rolling_forecast_many(series, models, horizons, initial_pct)
+    pred = rolling_forecast_many(series, models, horizons, initial_pct, log, on_short)
     return fold_metrics(pred, by=[*KEYS, "forecast", "model"], level=level)
 
 
 def evaluate_rolling(series: DataFrame, model: str, granularity: str | Granularity,
                      forecast: str = "1_step", initial_pct: int = 80,
-                     level: str = "fold") -> DataFrame:
-    """Rolling-origin metrics per series for one model and forecast kind."""
+                     level: str = "fold", log: str | None = None, on_short: str = "skip",
+                     **options) -> DataFrame:
+    """Rolling-origin metrics per series for one model and forecast kind;
+    ``options`` go to the regression models."""
     h, step = horizon(forecast, granularity)
     if model in SIMPLE_MODELS:
-        pred = rolling_forecast(series, model, h, step, initial_pct)
+        pred = rolling_forecast(series, model, h, step, initial_pct, log, on_short)
     else:
         from gridcast.plans.regression import rolling_regression
-        pred = rolling_regression(series, model, granularity, h, step, initial_pct)
+        pred = rolling_regression(series, model, granularity, h, step, initial_pct, log=log,
+                                  on_short=on_short, **options)
     return fold_metrics(pred, by=KEYS, level=level)

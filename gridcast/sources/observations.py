@@ -30,12 +30,16 @@ def write_observations(obs: DataFrame, root: str, granularity: str | Granularity
 
 def read_aggregation(spark: SparkSession, root: str,
                      granularity: str | Granularity = "one_hour",
-                     with_counts: bool = False) -> DataFrame:
+                     with_counts: bool = False, partial: bool = False) -> DataFrame:
     """Scan one granularity as ``name, unique_id, id_object, ds, y`` (plus
     the additive ``n, total`` with ``with_counts``). Reads a batch-written
-    root or a streaming sink alike."""
+    root or a streaming sink alike; ``partial`` adds up the partial sums of a
+    partial-mode stream."""
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
     extra = ["n", "total"] if with_counts else []
-    return (spark.read.parquet(root).filter(F.col("granularity") == g.name)
-            .select(*KEYS, F.col("window_end").alias("ds"), F.col("average_count").alias("y"),
-                    *extra))
+    rows = (spark.read.parquet(root).filter(F.col("granularity") == g.name)
+            .withColumnsRenamed({"window_end": "ds", "average_count": "y"}))
+    if partial:
+        rows = (rows.groupBy(*KEYS, "ds").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+                .withColumn("y", F.when(F.col("n") > 0, F.col("total") / F.col("n"))))
+    return rows.select(*KEYS, "ds", "y", *extra)

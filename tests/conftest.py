@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gridcast.session import local_session  # noqa: E402
+from gridcast.session import forget_scratch, local_session  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_CHECK = "/root/testdata/sf0.01"
@@ -16,6 +16,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     s = local_session(4, shuffle_partitions=4, app="gridcast-tests")
     yield s
+    forget_scratch(s)
     s.stop()
 
 

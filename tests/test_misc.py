@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -76,15 +77,14 @@ def test_min_observations_semi_join_variant(spark):
     assert {r.name for r in kept.collect()} == {"b"}
 
 
-def test_checkpoint_dir_comes_from_the_cluster_setting():
-    """A cluster session must name a shared spark.checkpoint.dir; only a
-    local session may fall back to a folder of its own machine."""
-    import pytest
+def test_checkpoint_dir_comes_from_the_session():
+    """The session's setting, else a folder of its (shared) warehouse; never
+    a folder of one machine, and the same rule for every master."""
     from gridcast.session import ensure_checkpoint_dir
 
     class Ctx:
-        def __init__(self, master):
-            self.master, self.dir = master, None
+        def __init__(self):
+            self.dir = None
 
         def getCheckpointDir(self):
             return self.dir
@@ -94,17 +94,41 @@ def test_checkpoint_dir_comes_from_the_cluster_setting():
 
     class Conf:
         def __init__(self, values):
-            self.values = values
+            self.values = {"spark.sql.warehouse.dir": "hdfs:///shared/warehouse", **values}
 
         def get(self, key, default=None):
             return self.values.get(key, default)
 
     class Session:
-        def __init__(self, master, values):
-            self.sparkContext, self.conf = Ctx(master), Conf(values)
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        ensure_checkpoint_dir(Session("spark://head:7077", {}))
-    shared = Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
-    assert ensure_checkpoint_dir(shared) == "hdfs:///shared/ckpt"
-    assert ensure_checkpoint_dir(Session("local[2]", {}))
+        def __init__(self, values):
+            self.sparkContext, self.conf = Ctx(), Conf(values)
+
+    assert ensure_checkpoint_dir(Session({"spark.checkpoint.dir": "hdfs:///shared/ckpt"})) == "hdfs:///shared/ckpt"
+    assert ensure_checkpoint_dir(Session({})) == "hdfs:///shared/warehouse/_scratch"
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from gridcast.session import forget, written
+    df, path = written(spark.range(5), "t-written")
+    assert df.count() == 5 and os.path.exists(path.removeprefix("file:"))
+    forget(spark, path)
+    assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_selection_has_one_path_for_any_list(spark):
+    import pytest
+    from gridcast.operators.series import select_series
+    df = spark.createDataFrame([("a", "1", 1, 1.0), ("b", "1", 1, 2.0), ("b", "2", 1, 3.0)],
+                               "name string, unique_id string, id_object int, y double")
+    for extra in (0, 200):
+        keys = [{"name": "b", "unique_id": 1, "id_object": "1"}]
+        keys += [{"name": f"n{i}", "unique_id": i, "id_object": i} for i in range(extra)]
+        assert [r.y for r in select_series(df, keys).collect()] == [2.0]
+    twice = [{"name": "a"}, {"name": "a"}]
+    assert [r.y for r in select_series(df, twice).collect()] == [1.0]
+    with pytest.raises(ValueError, match="same columns"):
+        select_series(df, [{"name": "a"}, {"name": "b", "unique_id": 1}])
+    with pytest.raises(ValueError, match="no value"):
+        select_series(df, {"name": None})
+    with pytest.raises(ValueError, match="empty"):
+        select_series(df, [])

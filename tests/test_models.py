@@ -50,40 +50,189 @@ def _calendar(ep):
     return x
 
 
-def test_arx_matches_per_fold_refit(spark):
-    rng = np.random.default_rng(3)
+def _hourly_with_profile(n, seed=3):
+    rng = np.random.default_rng(seed)
+    e = [0.0]
+    for _ in range(n - 1):
+        e.append(0.6 * e[-1] + rng.normal())
+    return np.array([10 + 3 * math.sin(2 * math.pi * i / 24) + e[i] for i in range(n)])
+
+
+def _refit_arx(y, ep, initial, h, step, p_max, pick=True, difference=False):
+    """Forecasts per (fold, d) by a direct ``lstsq`` at every origin."""
+    z = np.concatenate([[np.nan], np.diff(y)]) if difference else y
+    lag = np.stack([np.concatenate([np.full(j, np.nan), z[:-j]]) for j in range(1, p_max + 1)], 1)
+    X = np.concatenate([np.array([_calendar(t) for t in ep]), lag], 1)
+    whole = ~np.isnan(X).any(1) & ~np.isnan(z)
+
+    def fit(upto, p):
+        rows = np.flatnonzero(whole[:upto])
+        A = X[rows][:, :26 + p]
+        beta = np.linalg.lstsq(A, z[rows], rcond=None)[0]
+        return beta, float(((z[rows] - A @ beta) ** 2).sum()), len(rows)
+
+    def aic(p):
+        _, rss, n = fit(initial, p)
+        return n * math.log(rss / n) + 2 * (26 + p)
+
+    p = min(range(p_max + 1), key=aic) if pick else p_max
+    out = {}
+    for fold, e in enumerate(range(initial, len(y) - h + 1, step)):
+        beta, _, _ = fit(e, p)
+        hist, level = list(z[e - 1:e - 1 - p:-1]), y[e - 1]
+        for d in range(h):
+            value = _calendar(ep[e + d]) @ beta[:26] + np.dot(hist, beta[26:])
+            hist = ([value] + hist)[:p]
+            level = level + value if difference else value
+            out[fold, d] = level
+    return out
+
+
+@pytest.mark.parametrize("scale,shift,difference", [(1, 0, False), (1000, 0, False), (1, 100_000, False), (1, 0, True)])
+def test_arx_matches_per_fold_least_squares(spark, scale, shift, difference):
+    n, h, step, p_max = 500, 12, 5, 3
     t0 = datetime(2020, 6, 24)
-    n, h, step, p_max, ridge = 120, 3, 2, 2, 1e-6
-    y = [10 + 3 * math.sin(2 * math.pi * i / 24) + rng.normal() for i in range(n)]
+    y = _hourly_with_profile(n) * scale + shift
     df = series_df(spark, [(t0 + timedelta(hours=i), v) for i, v in enumerate(y)])
-    got = preds(rolling_regression(df, "arx", "one_hour", h, step, p_max=p_max, ridge=ridge))
-    y = np.array(y)
-    ep = np.array([int((t0 + timedelta(hours=i) - datetime(1970, 1, 1)).total_seconds())
-                   for i in range(n)])
-    X = np.array([np.concatenate([_calendar(ep[i]), [y[i - 1], y[i - 2]]])
-                  if i >= p_max else np.full(26 + p_max, np.nan) for i in range(n)])
-
-    def fit(rows, cols):
-        A, b = X[rows][:, cols], y[rows]
-        XtX = A.T @ A
-        lam = ridge * max(np.trace(XtX) / len(cols), 1e-12)
-        beta = np.linalg.solve(XtX + lam * np.eye(len(cols)), A.T @ b)
-        return beta, float(((b - A @ beta) ** 2).sum())
+    got = preds(rolling_regression(df, "arx", "one_hour", h, step, p_max=p_max, difference=difference, chunk=4))
+    ep = np.array([int((t0 + timedelta(hours=i) - datetime(1970, 1, 1)).total_seconds()) for i in range(n)])
+    want = _refit_arx(y, ep, n * 80 // 100, h, step, p_max, difference=difference)
+    assert {k[1:] for k in got} == set(want)
+    for (_, fold, d), (_, yhat) in got.items():
+        assert abs(yhat - want[fold, d]) <= 1e-6 * max(1.0, abs(want[fold, d])), (fold, d)
+
+
+def test_arx_uses_the_hour_profile(spark):
+    """The forecast error stays near the noise, whatever the unit of y."""
+    t0, n = datetime(2020, 6, 24), 600
+    errors = []
+    for scale, shift in ((1, 0), (1000, 0), (1, 100_000)):
+        y = _hourly_with_profile(n, 5) * scale + shift
+        df = series_df(spark, [(t0 + timedelta(hours=i), v) for i, v in enumerate(y)])
+        got = preds(rolling_regression(df, "arx", "one_hour", 12, 12))
+        errors.append(math.sqrt(np.mean([(a - b) ** 2 for a, b in got.values()])) / scale)
+    assert max(errors) < 1.6 and max(errors) - min(errors) < 1e-5
+
 
+def test_trend_seasonal_recovers_ten_years_of_its_own_model(spark):
+    t0 = datetime(2010, 1, 1)
+    rows = [(t0 + timedelta(days=i), 100 + 0.24 * i + 10 * math.sin(2 * math.pi * i / 7)) for i in range(3653)]
+    got = preds(rolling_regression(series_df(spark, rows), "trend_seasonal", "one_day", 1, 30, harmonics=(0, 3)))
+    assert len(got) > 20 and max(abs(a - b) for a, b in got.values()) < 1e-6
+
+
+def test_trend_seasonal_follows_changepoints(spark):
+    t0, n = datetime(2020, 1, 1), 1000
     initial = n * 80 // 100
-    first = np.arange(p_max, initial)
-    aic = [len(first) * math.log(fit(first, list(range(26)) + list(range(26, 26 + p))) [1] / len(first))
-           + 2 * (26 + p) for p in (1, 2)]
-    p = int(np.argmin(aic)) + 1
-    cols = list(range(26)) + list(range(26, 26 + p))
-    for (_, fold, d), (_, yhat) in got.items():
-        e = initial + fold * step
-        beta, _ = fit(np.arange(p_max, e), cols)
-        hist = [y[e - 1], y[e - 2]]
-        for k in range(d + 1):
-            val = _calendar(ep[e + k]) @ beta[:26] + np.dot(hist[:p], beta[26:])
-            hist = [val] + hist[:-1]
-        assert abs(val - yhat) < 1e-6, (fold, d)
+    kink = [i + (5.0 * max(i - initial / 2, 0)) for i in range(n)]
+    df = series_df(spark, [(t0 + timedelta(hours=i), v) for i, v in enumerate(kink)])
+    got = preds(rolling_regression(df, "trend_seasonal", "one_hour", 12, 12, changepoints=1))
+    assert max(abs(a - b) for a, b in got.values()) < 1e-5
+    bent = preds(rolling_regression(df, "trend_seasonal", "one_hour", 12, 12))
+    assert max(abs(a - b) for a, b in bent.values()) > 10
+
+
+def test_regression_chunks_do_not_matter(spark):
+    df = registry.grid(spark, SF_SMALL)
+
+    def run(**kw):
+        out = rolling_regression(df, "trend_seasonal", "one_hour", 12, 1, harmonics=(1, 0), **kw).collect()
+        return {(r.name, r.unique_id, r.fold, r.d): r.yhat for r in out}
+
+    a, b = run(chunk=7), run()
+    assert a.keys() == b.keys() and len(a) > 100
+    assert all(math.isclose(a[k], b[k], rel_tol=1e-7, abs_tol=1e-7) for k in a)
+
+
+def test_constant_and_short_series_have_forecasts(spark):
+    for values in ([5.0] * 60, [1.0, 2.0, 3.0, 4.0, 5.0]):
+        df = series_df(spark, hourly("2020-06-24 00:00", values))
+        for model in ("arx", "trend_seasonal"):
+            got = preds(rolling_regression(df, model, "one_hour", 1, 1))
+            assert got and all(b is not None and math.isfinite(b) for _, b in got.values())
+            if values[0] == values[1]:
+                assert all(abs(a - b) < 1e-9 for a, b in got.values())
+
+
+def test_off_grid_rows_take_no_part_in_any_model(spark):
+    from gridcast.operators.resample import resample
+    from gridcast.plans.long_series import rolling_forecast_long
+    y = _hourly_with_profile(120)
+    rows = [(datetime(2020, 6, 24) + timedelta(hours=i), v) for i, v in enumerate(y)]
+    rows += [(datetime(2020, 6, 24, 0, 30) + timedelta(hours=7 * i), 500.0) for i in range(17)]
+    df = series_df(spark, rows)
+    keep, drop = (resample(df, "one_hour", off_grid=p) for p in ("keep", "drop"))
+    for model in ("naive", "mean", "ar1", "trend", "arx", "trend_seasonal"):
+        a, b = (evaluate_rolling(x, model, "one_hour", "12_hour").collect() for x in (keep, drop))
+        assert len(a) == len(b) == 1 and all(math.isclose(a[0][c], b[0][c], rel_tol=1e-9) for c in ("mse", "mae", "mape")), model
+        assert a[0]["n"] == b[0]["n"]
+    a, b = (rolling_forecast_long(x, ("mean", "ar1"), {"f": (3, 1)}, "one_hour").count() for x in (keep, drop))
+    assert a == b > 0
+
+
+@pytest.mark.parametrize("log", ["log", "log1p"])
+def test_log_option_inverts_before_the_errors(spark, log):
+    from gridcast.plans.long_series import rolling_forecast_long
+    into, back = (math.log, math.exp) if log == "log" else (math.log1p, math.expm1)
+    y = list(np.exp(np.random.default_rng(4).normal(2, 0.5, 60)))
+    df = series_df(spark, hourly("2020-06-24 00:00", y))
+    got = preds(rolling_forecast(df, "mean", 2, 1, log=log))
+    for (_, fold, d), (actual, yhat) in got.items():
+        e = 48 + fold
+        assert math.isclose(actual, y[e + d], rel_tol=1e-9)
+        assert math.isclose(yhat, back(np.mean([into(v) for v in y[:e]])), rel_tol=1e-9)
+    long = {(r.fold, r.d): r.yhat for r in rolling_forecast_long(df, ("mean",), {"f": (2, 1)}, "one_hour", log=log).collect()}
+    assert all(math.isclose(long[k[1:]], v[1], rel_tol=1e-9) for k, v in got.items())
+    grouped = forecast_groups(df, make_forecaster("mean", "one_hour", "1_step", log=log)).first()
+    rolled = evaluate_rolling(df, "mean", "one_hour", "1_step", log=log).first()
+    assert math.isclose(grouped.MSE, rolled.mse, rel_tol=1e-9)
+    reg = preds(rolling_regression(df, "trend_seasonal", "one_hour", 2, 1, log=log))
+    assert all(math.isclose(v[0], y[48 + k[1] + k[2]], rel_tol=1e-9) for k, v in reg.items())
+
+
+def test_on_short_reaches_every_evaluation(spark):
+    from gridcast.plans.long_series import evaluate_rolling_long
+    df = series_df(spark, hourly("2020-06-24 00:00", [1.0, 2.0, 3.0]))
+    calls = [lambda o: evaluate_rolling(df, "mean", "one_hour", "12_hour", on_short=o),
+             lambda o: evaluate_rolling(df, "arx", "one_hour", "12_hour", on_short=o),
+             lambda o: evaluate_rolling_long(df, ("mean",), "one_hour", ("12_hour",), on_short=o),
+             lambda o: forecast_groups(df, make_forecaster("mean", "one_hour", "12_hour", on_short=o))]
+    for call in calls:
+        assert call("skip").count() == 0
+        with pytest.raises(Exception, match="exceeds the series"):
+            call("raise").collect()
+
+
+@pytest.mark.parametrize("model", ["naive", "mean", "trend", "ar1"])
+def test_grouped_models_equal_the_rolling_ones(spark, model):
+    grid = registry.grid(spark, SF_SMALL)
+    g = {(r.name, r.unique_id): (r.MAPE, r.RMSE, r.MSE, r.MAE)
+         for r in forecast_groups(grid, make_forecaster(model, "one_hour", "12_hour")).collect()}
+    m = {(r.name, r.unique_id): (r.mape, r.rmse, r.mse, r.mae)
+         for r in evaluate_rolling(grid, model, "one_hour", "12_hour").collect()}
+    assert g.keys() == m.keys() and len(g) > 0
+    for k in g:
+        assert all(math.isclose(x, z, rel_tol=1e-6) for x, z in zip(g[k], m[k]))
+
+
+def test_grouped_forecaster_date_range(spark):
+    rows = hourly("2020-06-24 00:00", list(range(100)))
+    part = forecast_groups(series_df(spark, rows), make_forecaster(
+        "naive", "one_hour", from_date="2020-06-25 00:00:00", to_date="2020-06-26 23:00:00")).first()
+    want = forecast_groups(series_df(spark, rows[24:72]), make_forecaster("naive", "one_hour")).first()
+    assert part == want
+
+
+def test_trees_per_series_and_with_a_key_feature(spark):
+    feats = registry._tree_features(spark, SF_SMALL)
+    keys = registry.MANY_SERIES[:2]
+    pred, metrics = evaluate_holdout(feats, registry.TREE_FEATURES, "decision_tree", per_series=keys)
+    alone, _ = evaluate_holdout(registry.select_series(feats, keys[0]), registry.TREE_FEATURES, "decision_tree")
+    assert metrics.count() == 2
+    first = pred.filter(f"unique_id = '{keys[0]['unique_id']}'")
+    assert first.exceptAll(alone).count() == 0 == alone.exceptAll(first).count()
+    keyed, _ = evaluate_holdout(feats, registry.TREE_FEATURES, "decision_tree", key_feature=True)
+    assert keyed.count() == evaluate_holdout(feats, registry.TREE_FEATURES, "decision_tree")[0].count()
 
 
 def test_trend_seasonal_recovers_a_sinusoid(spark):

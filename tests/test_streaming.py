@@ -30,6 +30,46 @@ def test_stream_rollup_equals_batch_on_closed_windows(spark):
     assert read_aggregation(spark, sink, "one_hour").count() == streamed.count()
 
 
+def _daily_files(spark, folder):
+    """Three days of hourly rows, one file a day, not in the order of time."""
+    from datetime import datetime, timedelta
+    for i, day in enumerate((2, 0, 1)):
+        rows = [("a", "1", 6, datetime(2024, 1, 1 + day) + timedelta(hours=h, minutes=5), float(h)) for h in range(24)]
+        spark.createDataFrame(rows, "name string, unique_id string, id_object int, ts timestamp_ntz, value double").coalesce(
+            1).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _run(spark, folder, schema, **kw):
+    sink, ckpt = scratch_path(spark, "t-sink"), scratch_path(spark, "t-ckpt")
+    q = rollup_stream(spark, folder, schema, lambda df: df, sink, ckpt, "one_hour", **kw)
+    q.awaitTermination()
+    return q, sink
+
+
+def test_partial_mode_loses_no_late_row(spark, tmp_path):
+    raw = _daily_files(spark, str(tmp_path / "in"))
+    want = rollup_batch(raw, "one_hour")
+    for files in (None, 1):
+        _, sink = _run(spark, str(tmp_path / "in"), raw.schema, max_files_per_trigger=files, mode="partial")
+        got = read_aggregation(spark, sink, "one_hour", with_counts=True, partial=True).select(*want.columns)
+        assert got.count() == 72
+        assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+def test_append_mode_tells_what_it_drops_and_what_is_open(spark, tmp_path):
+    from gridcast.streaming.rollup import dropped_rows, open_windows
+    raw = _daily_files(spark, str(tmp_path / "in"))
+    q, sink = _run(spark, str(tmp_path / "in"), raw.schema, max_files_per_trigger=None, lateness="3 days")
+    written = read_aggregation(spark, sink, "one_hour").count() if os.path.exists(sink + "/granularity=one_hour") else 0
+    assert dropped_rows(q) == 0
+    assert written + open_windows(q, raw).count() == 72
+    q, sink = _run(spark, str(tmp_path / "in"), raw.schema, max_files_per_trigger=1, lateness="10 minutes")
+    kept = read_aggregation(spark, sink, "one_hour", with_counts=True)
+    lost = 72 - kept.agg(F.sum("n")).first()[0] - open_windows(q, raw).agg(F.sum("n")).first()[0]
+    assert lost == dropped_rows(q)
+
+
 def test_coarsen_equals_direct_rollup(spark):
     raw = raw_events(spark, SF_SMALL)
     fine = rollup_batch(raw, "fifteen_minute")
