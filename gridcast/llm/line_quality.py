@@ -25,7 +25,7 @@ from gridcast.llm.crf import Crf, fit
 from gridcast.llm.texts import map_texts, rewrite_texts
 
 #: bound on the labelled documents that the model is fitted to
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 3000
 
 _CLASS = np.zeros(256, np.uint8)
 _SIGN, _PIPE, _BANG, _UPPER, _LOWER, _DIGIT = 1, 2, 3, 4, 5, 6
@@ -92,7 +92,14 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     ahead[at + per - 1] = none
     third = _OWN * (_BINS + 1)
     bias = np.full((len(own), 1), 3 * third)
-    return np.concatenate([own, back + third, ahead + 2 * third, bias], 1), per, np.maximum(size, 1)
+    every = np.concatenate([own, back + third, ahead + 2 * third, bias], 1).astype(np.int16)
+    return every, per, np.maximum(size, 1)
+
+
+def _in_parts(texts: list[str], size: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, some at a time."""
+    parts = [line_features(texts[i:i + size]) for i in range(0, len(texts), size)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _good_share(crf: Crf, x: np.ndarray, per: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -126,7 +133,7 @@ def fit_texts(texts: list[str], quality: np.ndarray, rounds: int = 100) -> Model
     if not len(q) or q.min() == q.max():
         return Model(fit(np.zeros((0, 1), np.int64), np.zeros(0), np.zeros(0), N_FEATURES, 2), 0.5,
                      float(q[0]) if len(q) else 0.5)
-    x, per, size = line_features(texts)
+    x, per, size = _in_parts(texts)
     seq = np.where(q == 1, 0.5 / (q == 1).sum(), 0.5 / (q == 0).sum())
     y = np.repeat(q, per)
     crf = fit(x, per, y, N_FEATURES, 2, rounds, token_weight=seq)

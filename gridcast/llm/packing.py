@@ -32,6 +32,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.llm.texts import slices
 from gridcast.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -98,7 +99,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, raw in enumerate(coder.encode(texts)):

@@ -9,11 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: bytes of text that a worker holds as Python objects at once, about; a
+#: longer text stands alone
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut by the size of the texts in column ``at``, so that a
+    worker's memory does not depend on how long the texts of a batch are."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // SLICE_BYTES
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, outputs: str,
               work: Callable[[list[str]], list]) -> DataFrame:
     """(id, outputs): ``work`` gets the texts of one batch and returns one
@@ -24,7 +43,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, outputs: str,
     kinds = arrow_types(picked, outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = work(texts)
             yield pa.RecordBatch.from_arrays(
@@ -45,7 +64,7 @@ def rewrite_texts(docs: DataFrame, text_col: str,
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             old = batch.column(at).to_pylist()
             new, kept = work(old)
             arrays, names = list(batch.columns), batch.schema.names
