@@ -148,7 +148,7 @@ def fit_texts(texts: list[str], quality: np.ndarray, rounds: int = 100) -> Model
     cuts = np.clip((edges[1:] + edges[:-1]) / 2, 0.01, 0.99)
     s1, s0 = np.sort(share[q == 1]), np.sort(share[q == 0])
     hit = (1 - np.searchsorted(s1, cuts) / len(s1)) + np.searchsorted(s0, cuts) / len(s0)
-    best = np.flatnonzero(hit >= hit.max() - 1e-12)
+    best = np.flatnonzero(hit >= hit.max() - 0.002)  # the middle of the cuts that are as good
     return Model(crf, float(cuts[best[0]] + cuts[best[-1]]) / 2)
 
 
