@@ -8,7 +8,8 @@ from conftest import SF_SMALL
 
 FAST = ["rollup_one_hour", "resample_grid", "resample_keep_off_grid", "features_flagship",
         "rolling_folds", "fold_counts", "ar1_rolling", "trend_rolling", "train_fraction",
-        "exogenous_features", "epoch_roundtrip"]
+        "exogenous_features", "epoch_roundtrip", "resample_off_phase", "resample_empty_range",
+        "skipped_series", "keep_grid_folds", "rollup_stream", "select_long_list", "range_after_features"]
 
 
 def test_entry_smoke(spark):
