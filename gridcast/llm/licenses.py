@@ -70,21 +70,37 @@ def template_rows(templates=TEMPLATES, threshold: float = THRESHOLD) -> list[tup
     return out
 
 
-def units(text: Column) -> Column:
-    """Normalised units of a text as structs (unit, place, body)."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+_UNIT = "array<struct<unit:string,place:bigint,body:string,size:int>>"
 
-    def listed(parts: Column, unit: str) -> Column:
-        return F.transform(parts, lambda p, i: F.struct(
-            F.lit(unit).alias("unit"), i.cast("long").alias("place"), F.trim(p).alias("body")))
 
-    none = F.array().cast("array<struct<unit:string,place:bigint,body:string>>")
-    lines, blocks = F.split(clean, "\n"), F.split(clean, r"\n *\n[ \n]*")
-    whole = F.array(F.regexp_replace(clean, r"[ \n]+", " "))
-    blocks = F.transform(blocks, lambda b: F.regexp_replace(b, "[ \n]+", " "))
-    return F.concat(listed(lines, "line"),
-                    F.when(F.size(blocks) > 1, listed(blocks, "block")).otherwise(none),
-                    F.when(F.size(lines) > 1, listed(whole, "text")).otherwise(none))
+def normalised(text: Column) -> Column:
+    """Lower case, all but letters, digits and line breaks as single spaces."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def bigrams_in(body: Column) -> Column:
+    return F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit("")))
+
+
+def units(clean: Column, lines: Column, low: int, high: int) -> Column:
+    """Units of a text as structs (unit, place, body, size), only those whose
+    number of bigrams is within the bounds. ``lines`` are the trimmed lines of
+    the normalised text. Blocks and the whole are built only where they can
+    count."""
+    def fits(parts: Column, unit: str) -> Column:
+        every = F.transform(parts, lambda p, i: F.struct(
+            F.lit(unit).alias("unit"), i.cast("long").alias("place"), p.alias("body"), bigrams_in(p).alias("size")))
+        return F.filter(every, lambda u: u["size"].between(low, high))
+
+    none = F.array().cast(_UNIT)
+    words = F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.when(x == "", 0).otherwise(bigrams_in(x) + 1))
+    whole = F.array(F.concat_ws(" ", F.filter(lines, lambda x: x != "")))
+    blocks = F.transform(F.split(clean, r"\n *\n[ \n]*"), lambda b: F.trim(F.regexp_replace(b, "[ \n]+", " ")))
+    return F.concat(fits(lines, "line").cast(_UNIT),
+                    F.when(F.exists(lines, lambda x: x == "") & (F.size(F.split(clean, r"\n *\n[ \n]*")) > 1),
+                           fits(blocks, "block").cast(_UNIT)).otherwise(none),
+                    F.when((F.size(lines) > 1) & (words - 1).between(low, high),
+                           fits(whole, "text").cast(_UNIT)).otherwise(none))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -98,14 +114,19 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
         sorted(by_size.items()),
         "size int, options array<struct<template:int,license:string,n:int,kinds:array<string>,times:array<int>>>")
     low, high = min(by_size, default=0), max(by_size, default=-1)
-    found = (docs.select(F.col(id_col).alias("doc_id"), F.explode(units(F.coalesce(F.col(text_col), F.lit("")))).alias("u"))
-             .select("doc_id", "u.unit", "u.place", "u.body")
-             .withColumn("size", F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))))
-             .where(F.col("size").between(low, high)))
+    # each step reads the one before several times, so Spark keeps them apart
+    # and computes each once
+    clean = docs.select(F.col(id_col).alias("doc_id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("clean"))
+    lines = clean.withColumn("lines", F.transform(F.split("clean", "\n"), lambda x: F.trim(x)))
+    found = lines.select("doc_id", F.explode(units(F.col("clean"), F.col("lines"), low, high)).alias("u")).select("doc_id", "u.*")
     words = F.split("body", " ")
-    pairs = found.join(F.broadcast(table), "size").withColumn("words", words).withColumn("pairs", F.zip_with(
+    pairs = found.withColumn("words", words).withColumn("pairs", F.zip_with(
         F.slice("words", F.lit(1), F.col("size")), F.slice("words", F.lit(2), F.col("size")),
         lambda a, b: F.concat_ws(" ", a, b)))
+    # a unit without any bigram of any template has Dice 0 with all of them
+    known = sorted({k for r in template_rows(templates, threshold) for k in r[4]})
+    pairs = pairs.where(F.arrays_overlap("pairs", F.array(*map(F.lit, known)))) if known else pairs
+    pairs = pairs.join(F.broadcast(table), "size")
 
     def shared(option: Column) -> Column:
         return F.aggregate(F.arrays_zip(option["kinds"].alias("kinds"), option["times"].alias("times")), F.lit(0),
