@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from gridcast.llm.texts import map_texts
+from gridcast.llm.texts import map_texts, per_worker
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: bounds on what a worker keeps: encoded pieces and answered pairs
@@ -154,11 +153,6 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(read_ranks(path), pattern)
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN,
                      id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by one space),
@@ -166,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     path = path or public_tokenizers.path(VOCABULARY)
 
     def work(texts: list[str]) -> list[list]:
-        bpe = coder(path, pattern)
+        bpe = per_worker(("byte bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
         ids = [bpe.encode(t) for t in texts]
         sha = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
         back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]

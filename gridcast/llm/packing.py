@@ -22,9 +22,10 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcast.llm.texts import slices
+from gridcast.llm.texts import per_worker, slices
 from gridcast.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 4096
 #: bound on the words that a worker keeps
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: pieces that a numbering task gets, about
 NUMBERED = 20_000
 #: plan rows up to which the plan is broadcast (48 bytes each)
 BROADCAST_ROWS = 400_000
 
 
+#: a run of Latin letters, then ASCII signs but no apostrophe: two pre-tokens
+#: at most, and the run's ids end with the only end-of-word id
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+#: letters of ASCII and Latin-1 (in UTF-8), digits, ASCII white space, . and ,
+_SIMPLE = (bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + b" \t\n\x0b\x0c\r.,\xc3"
+           + bytes(c for c in range(0x80, 0xC0) if c not in (0x97, 0xB7)))
+_DOUBLE = (b"..", b",,", b".,", b",.")
+
+
 class WordIds:
     """Ids of whole texts by a tokenizer that drops white space: a word's ids
-    do not depend on its neighbours, so each word is encoded once. Ids are
+    do not depend on its neighbours, so each word is encoded once, and the
+    letters of a plain word once for all its signs and cases. Ids are
     little-endian unsigned 32-bit."""
 
     def __init__(self, path: str):
@@ -56,24 +69,65 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the characters that stand for bytes: printable ones for themselves,
+        # the others numbered from 256 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [c for c in range(256) if c not in shown]
+        self.place = {c: 256 + i for i, c in enumerate(hidden)}
         self.memo: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
+    def _keep(self, memo: dict[bytes, bytes], some: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, last = ids.tobytes(), 0
+        for w, e in zip(some, (ends * 4).tolist()):
+            memo[w] = raw[last:e]
+            last = e
+
+    def _learn_runs(self, runs: list[bytes]) -> None:
+        """A run is one pre-token, so the merges alone give its ids."""
+        merges, memo, place = self.tokenizer.model.tokenize, self.memo, self.place
+        for r in runs:
+            text = r.decode() if r.isascii() else r.decode().lower().encode().decode("latin-1").translate(place)
+            memo[r] = array("I", [t.id for t in merges(text)]).tobytes()
+
+    def _learn_words(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 2000):
             some = words[i:i + 2000]
             got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in some],
                                         is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4").tobytes()
-            own = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-            ends = np.searchsorted(own, np.arange(len(some)), side="right") * 4
-            last = 0
-            for w, e in zip(some, ends.tolist()):
-                self.memo[w] = ids[last:e]
-                last = e
+            own = np.array(got.word_ids, np.int64)
+            self._keep(self.memo, some, np.array(got.ids, "<u4"),
+                       np.searchsorted(own, np.arange(len(some)), side="right"))
+
+    def learn(self, words: list[bytes]) -> None:
+        plain, other = [], []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                other.append(w)
+        memo = self.memo
+        self._learn_words(other + [s for s in dict.fromkeys(s for _, _, s in plain) if s and s not in memo])
+        self._learn_runs([r for r in dict.fromkeys(r for _, r, _ in plain) if r not in memo])
+        memo.update((w, memo[r] + memo[s] if s else memo[r]) for w, r, s in plain if w != r)
+
+    def words(self, text: str) -> list[bytes]:
+        """The text in words whose ids follow one another. Case is dropped by
+        the tokenizer, so it goes first (but for texts that could spell a
+        special token). Full stops and commas are pre-tokens of their own where
+        no sign stands beside them; in texts of letters, digits, stops and
+        commas that can be seen at once, and they are split off."""
+        raw = text.encode("utf-8", "replace")
+        if b"<|" in raw:
+            return raw.split()
+        raw = raw.lower()
+        if not raw.translate(None, _SIMPLE) and not any(p in raw for p in _DOUBLE):
+            raw = raw.replace(b".", b" . ").replace(b",", b" , ")
+        return raw.split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            words = text.encode("utf-8", "replace").split()
+            words = self.words(text)
             try:
                 yield b"".join(map(self.memo.__getitem__, words))
             except KeyError:
@@ -83,11 +137,6 @@ class WordIds:
                 yield b"".join(map(self.memo.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
                id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, on request, ids."""
@@ -98,7 +147,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(path)
+        coder = per_worker(("word ids", path), lambda: WordIds(path))
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -7,6 +7,8 @@ run again. A null text counts as the empty text.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +35,17 @@ def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatc
                 yield batch.slice(a, b - a)
 
 
+def per_worker(key: tuple, make: Callable):
+    """One object per Python worker process, kept from task to task.
+    Functions arrive by value with each task, so their own globals do not
+    last; a module entry of the process does."""
+    kept = sys.modules.setdefault("_gridcast_worker", types.ModuleType("_gridcast_worker")).__dict__
+    name = repr(key)
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, outputs: str,
               work: Callable[[list[str]], list]) -> DataFrame:
     """(id, outputs): ``work`` gets the texts of one batch and returns one
