@@ -32,7 +32,7 @@ from gridcast.session import scratch_path
 
 #: cells of each of the three tables, in the fingerprint and in its retries
 CELLS = 12
-RETRY = (96,)
+RETRY = (24, 96)
 ROUNDS = 8
 _DIGEST = (1 << 40) - 1
 
@@ -83,11 +83,11 @@ def subtract(a: list[Column], b: list[Column]) -> list[Column]:
 
 def single(cell) -> tuple[Column, Column]:
     """(the digest, whether the cell holds copies of that one digest only)."""
-    n = F.when(cell["n"] == 0, F.lit(1).cast("long")).otherwise(cell["n"])
-    key = F.call_function("div", cell["k"], n)
-    pure = ((cell["n"] != 0) & (key >= 0) & (key <= F.lit(_DIGEST)) & (key * cell["n"] == cell["k"])
-            & (check_sum(key) * cell["n"] == cell["s"]))
-    return key, pure
+    n, k, s = cell["n"], cell["k"], cell["s"]
+    part = F.call_function("div", k, F.when(n == 0, F.lit(1).cast("long")).otherwise(n))
+    pure = (F.when(n == 0, F.lit(False)).when(n == 1, check_sum(k) == s).when(n == -1, check_sum(-k) == -s)
+            .otherwise((part * n == k) & (check_sum(part) * n == s)))
+    return F.when(n == 1, k).when(n == -1, -k).otherwise(part), pure
 
 
 def peel(diff: list[Column], cells: int, rounds: int = ROUNDS) -> Column:
