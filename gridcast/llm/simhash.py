@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm.components import connected_components
@@ -266,8 +266,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns
-    as they are. Of repeated rows with that id one stays."""
-    keep = near_duplicates(docs, id_col=id_col, **options).select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What a row is told apart and ordered by: its id (nulls last), its text
+    by SHA-256 (nulls last), a hash of its other columns."""
+    others = [F.col(f.name) for f in docs.schema.fields if f.name not in (id_col, text_col)
+              and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
+                    F.col(text_col).isNull().alias("no_text"), F.unhex(F.sha2(text, 256)).alias("text"),
+                    F.xxhash64(F.lit(0), *others).alias("rest"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component, columns as they are: the first by
+    ``row_key``, so ids may be null or stand on several texts. Only rows with
+    the same key count as one."""
+    keyed = docs.withColumn("_row", row_key(docs, id_col, text_col))
+    keep = near_duplicates(keyed, id_col="_row", text_col=text_col, **options).select(
+        F.col("component_id").alias("_keep")).distinct()
+    return (keyed.join(keep, F.col("_row").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["_row"])
+            .select(*docs.columns))

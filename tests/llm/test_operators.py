@@ -438,6 +438,12 @@ def test_repeated_ids_keep_one_row(spark):
     assert sorted((r["doc_id"] or 99) for r in simhash.drop_near_duplicates(df).collect()) == [1, 99]
 
 
+def test_near_duplicates_keep_the_text_of_each_component(spark):
+    texts, ids = ["a b c d e", "f g h", "a b c d e", "i j k", "i j k", "l m n"], [5, 5, 3, None, None, None]
+    kept = simhash.drop_near_duplicates(frame(spark, texts, ids).repartition(3)).collect()
+    assert sorted((r["text"], r["doc_id"] or 0) for r in kept) == [("a b c d e", 3), ("f g h", 5), ("i j k", 0), ("l m n", 0)]
+
+
 # ---- shared ---------------------------------------------------------------
 
 def test_crf_against_enumeration():
