@@ -306,6 +306,16 @@ def test_secret_operator(spark, docs):
     assert added == [[("secret", 22, 62)], []]
 
 
+def test_secret_crf_reads_lines_with_a_cue_word():
+    model = secret_scan.train()
+    lines = [("Authorization: Bearer ", "AbCdEfGhIjKlMnOpQrStUvWxYz"), ("private_key = ", "QwErTyUiOpAsDfGhJkLzXcVb"),
+             ("secret_key = ", "hunter2x9"), ("db password is ", "Tr0ub4dor&3")]
+    got = secret_scan.spans_of([a + b for a, b in lines], model)[1]
+    assert got == [[("secret", len(a), len(a + b))] for a, b in lines]
+    plain = ["the secret garden was quiet", "The password must be changed every 90 days.", "press any key to go on", "secret_key = value"]
+    assert secret_scan.spans_of(plain, model)[1] == [[]] * 4
+
+
 # ---- 9 packing ------------------------------------------------------------
 
 def check_packing(out, capacity):
