@@ -17,6 +17,7 @@ from gridcast.functions.time import (epoch_micros, from_epoch_micros, hour_of_da
                                      weekend_sat_sun)
 from gridcast.functions.time import week_day as week_day_of
 from gridcast.functions.transforms import log_transform
+from gridcast.operators.chunked import halo_features
 from gridcast.operators.resample import resample
 from gridcast.schema import KEYS, Granularity
 
@@ -36,9 +37,14 @@ def lag_features(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KE
     ``method="shift"`` (needs ``granularity``) computes them without a
     per-series window, for series too long for one task; it requires a
     gap-free, duplicate-free grid (the output of ``resample``).
+    ``method="halo"`` does so by chunks that overlap by n rows: rows are
+    copied once per chunk, not n times; without ``granularity`` it takes any
+    rows (see ``operators.chunked``).
     """
     if method == "shift":
         return _shifted(df, n, col, keys, granularity, lags=n, mean=0)
+    if method == "halo":
+        return halo_features(df, lags=n, col=col, keys=keys, granularity=granularity)
     w = series_window(keys)
     return df.withColumns({f"lag_{i}": F.lag(col, i).over(w) for i in range(1, n + 1)})
 
@@ -46,10 +52,12 @@ def lag_features(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KE
 def moving_average(df: DataFrame, n: int, col: str = "y", keys: Sequence[str] = KEYS,
                    method: str = "window", granularity: str | Granularity | None = None) -> DataFrame:
     """Mean of the n previous rows (current row excluded); partial frames
-    at the start of a series, null on the first row. ``method="shift"`` as
-    in :func:`lag_features`."""
+    at the start of a series, null on the first row. ``method="shift"`` and
+    ``method="halo"`` as in :func:`lag_features`."""
     if method == "shift":
         return _shifted(df, n, col, keys, granularity, lags=0, mean=n)
+    if method == "halo":
+        return halo_features(df, mean=n, col=col, keys=keys, granularity=granularity)
     w = series_window(keys).rowsBetween(-n, -1)
     return df.withColumn(f"avg_{n}", F.avg(col).over(w))
 
@@ -160,7 +168,8 @@ def build_features(obs: DataFrame, granularity: str | Granularity, to_date: str
 
     ``method="join"`` is the long-series mode: grid by join and lags / mean
     by shifted aggregation, both keyed by (keys, ds), so no task holds a
-    whole series.
+    whole series. ``method="halo"`` is the same with lags / mean inside
+    overlapping chunks.
     """
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
     if starts is not None and from_date is not None:
@@ -169,13 +178,16 @@ def build_features(obs: DataFrame, granularity: str | Granularity, to_date: str
         late = F.greatest(F.ceil((bound - begin) / step), F.lit(0))
         starts = starts.select(*keys, from_epoch_micros(begin + late * step).alias("start"))
         obs = range_filter(obs, lookback(g, from_date, h_lags, avg_h), None)
-    df = resample(obs, g, to_date=to_date, keys=keys, method=method, series=starts if from_date else None)
+    df = resample(obs, g, to_date=to_date, keys=keys, method="window" if method == "window" else "join",
+                  series=starts if from_date else None)
     df = time_features(df, hour=use_hour, weekend=use_weekend)
     if log:
         df = log_transform(df, "log1p")
     if method == "join":
         if h_lags or avg_h:
             df = _shifted(df, max(h_lags, avg_h), "y", keys, g, lags=h_lags, mean=avg_h)
+    elif method == "halo":
+        df = halo_features(df, h_lags, avg_h, keys=keys, granularity=g) if h_lags or avg_h else df
     else:
         w = series_window(keys)
         cols = {f"lag_{i}": F.lag("y", i).over(w) for i in range(1, h_lags + 1)}

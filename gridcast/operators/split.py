@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators.chunked import position_index
 from gridcast.schema import KEYS, horizon
 
 
@@ -44,13 +45,23 @@ def split_by_rank(df: DataFrame, train_pct: float = 80, keys: Sequence[str] = KE
             .withColumn("is_train", F.col(rank_col) <= F.lit(train_pct / 100)))
 
 
-def split_by_position(df: DataFrame, train_pct: int = 80,
-                      keys: Sequence[str] = KEYS) -> DataFrame:
-    """The first floor(n * train_pct / 100) rows of each series are train."""
+def positions(df: DataFrame, keys: Sequence[str] = KEYS, method: str = "window") -> DataFrame:
+    """Add ``idx`` (row number from 0 by ds) and ``n``: by a window over the
+    series, or (``method="index"``) by the two-level index of
+    ``operators.chunked``, for series too long for one task."""
+    if method == "index":
+        return position_index(df, keys)
+    if method != "window":
+        raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy(*keys).orderBy("ds")
     return (df.withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
-            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-            .withColumn("is_train", F.col("idx") < _cut(F.col("n"), train_pct)))
+            .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+
+
+def split_by_position(df: DataFrame, train_pct: int = 80, keys: Sequence[str] = KEYS,
+                      method: str = "window") -> DataFrame:
+    """The first floor(n * train_pct / 100) rows of each series are train."""
+    return positions(df, keys, method).withColumn("is_train", F.col("idx") < _cut(F.col("n"), train_pct))
 
 
 def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,12 +125,10 @@ def explode_folds(df: DataFrame, horizons: Mapping[str, tuple[int, int]],
 
 def fold_index(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
                initial: int | None = None, keys: Sequence[str] = KEYS,
-               on_short: str = "skip") -> DataFrame:
+               on_short: str = "skip", method: str = "window") -> DataFrame:
     """Add ``idx`` (row number from 0 by ds), ``n``, ``initial`` and
     ``n_folds`` to every row of every series (see :func:`rolling_folds`)."""
-    w = Window.partitionBy(*keys).orderBy("ds")
-    x = (gridded(df).withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
-         .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))))
+    x = positions(gridded(df), keys, method)
     x = x.withColumn("initial", _initial(initial_pct, initial))
     return x.withColumn("n_folds", _fold_count(h, step, on_short))
 
@@ -134,7 +143,7 @@ def _initial(initial_pct: int | None, initial: int | None) -> Column:
 
 def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80,
                   initial: int | None = None, keys: Sequence[str] = KEYS,
-                  on_short: str = "skip") -> DataFrame:
+                  on_short: str = "skip", method: str = "window") -> DataFrame:
     """Expanding-window folds: fold i trains on rows [0, e_i) and tests on
     rows [e_i, e_i + h), e_i = initial + i * step, while e_i + h <= n (W6).
 
@@ -146,8 +155,9 @@ def rolling_folds(df: DataFrame, h: int, step: int, initial_pct: int | None = 80
 
     Series shorter than initial + h have no fold (:func:`skipped_series`
     lists them); ``on_short="raise"`` fails the job on them instead.
+    ``method`` as in :func:`positions`.
     """
-    x = fold_index(df, h, step, initial_pct, initial, keys, on_short)
+    x = fold_index(df, h, step, initial_pct, initial, keys, on_short, method)
     return explode_folds(x, {"f": (h, step)}, on_short).drop("forecast")
 
 

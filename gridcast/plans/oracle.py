@@ -226,6 +226,11 @@ def oracle_sql() -> dict[str, str]:
                            + f"SELECT {KEYS}, ds, {_round('y', 'avg_3')} FROM l")
     q["lag_features_shift"] = q["lag_features"]
     q["moving_average_shift"] = q["moving_average"]
+    q["lag_features_halo"], q["moving_average_halo"] = q["lag_features"], q["moving_average"]
+    day = ", ".join(f"lag(y, {i}) OVER {W} AS lag_{i}" for i in range(1, 25))
+    q["features_halo"] = (_with(obs(), grid(), f"l AS (SELECT *, {day}, avg(y) OVER ({PART} ORDER BY ds ROWS BETWEEN 12 "
+                                f"PRECEDING AND 1 PRECEDING) AS avg_12, y - lag(y, 24) OVER {W} AS diff_24 FROM r)")
+                          + f"SELECT {KEYS}, ds, {_round('y', *[f'lag_{i}' for i in range(1, 25)], 'avg_12', 'diff_24')} FROM l")
     q["drop_nulls"] = (_with(obs(), grid(), f"l AS (SELECT *, {lags3}, {avg3} FROM r)")
                        + f"SELECT {KEYS}, ds, {_round('y', 'lag_1', 'lag_2', 'lag_3', 'avg_3')} FROM l "
                        "WHERE lag_1 IS NOT NULL AND lag_2 IS NOT NULL AND lag_3 IS NOT NULL "
@@ -265,9 +270,11 @@ def oracle_sql() -> dict[str, str]:
                            + f"SELECT {KEYS}, CAST(m AS INTEGER) AS multiplier, "
                            "count(*) FILTER (WHERE pr <= m * 25 / 100) AS n_train "
                            "FROM k, (VALUES (1), (2), (3), (4)) t(m) GROUP BY 1, 2, 3, 4")
+    q["split_by_position_long"] = q["split_by_position"]
     q["rolling_folds"] = (_with(obs("fifteen_minute"),
                                 grid(g="fifteen_minute"), folds("r", 4, 4))
                           + f"SELECT {KEYS}, fold, d, idx, ds, {_round('y')} FROM f")
+    q["rolling_folds_long"] = q["rolling_folds"]
     def counts(*ctes: str, table: str) -> str:
         return (_with(*ctes, f"c AS (SELECT {KEYS}, count(*) AS n FROM r GROUP BY 1, 2, 3)")
                 + f"SELECT {KEYS}, n, forecast, CAST(h AS INTEGER) AS h, CAST(step AS INTEGER) "

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from gridcast.functions.time import epoch_seconds, from_epoch_seconds, range_filter
 from gridcast.functions.transforms import inverse_transform, log_transform
+from gridcast.operators.chunked import halo_features
 from gridcast.operators.features import (assemble, build_features, drop_nulls, exogenous_features,
                                          lag_features, lookback, moving_average, time_features)
 from gridcast.operators.metrics import fold_means, fold_metrics, regression_metrics
@@ -34,7 +35,7 @@ from gridcast.plans.rolling import evaluate_rolling, evaluate_rolling_many, roll
 from gridcast.plans.trees import evaluate_holdout
 from gridcast.streaming.rollup import rollup_stream
 from gridcast.schema import KEYS, METRIC_COLUMNS, horizon
-from gridcast.session import scratch_path
+from gridcast.session import scratch_path, written
 from gridcast.sources.observations import read_aggregation, write_observations
 from gridcast.sources.sinks import (align_predictions, predictions_table, read_metrics, write_metrics,
                                     write_predictions)
@@ -222,6 +223,36 @@ def q_moving_average(spark, sf):
     return rounded(moving_average(grid(spark, sf), 3))
 
 
+def q_lag_features_halo(spark, sf):
+    """Lags inside overlapping chunks of the grid: no series window."""
+    return rounded(lag_features(grid(spark, sf), 3, method="halo", granularity="one_hour"))
+
+
+def q_moving_average_halo(spark, sf):
+    return rounded(moving_average(grid(spark, sf), 3, method="halo", granularity="one_hour"))
+
+
+def q_features_halo(spark, sf):
+    """A day of lags, a half-day mean and the daily difference of a long series."""
+    series = resample(written_obs(spark, sf), "one_hour", method="join")
+    return rounded(halo_features(series, lags=24, mean=12, granularity="one_hour", difference=24, chunk=168))
+
+
+def q_split_by_position_long(spark, sf):
+    return rounded(split_by_position(_written_grid(spark, sf, "one_hour"), 80, method="index"))
+
+
+def q_rolling_folds_long(spark, sf):
+    h, step = horizon("1_hour", "fifteen_minute")
+    folds = rolling_folds(_written_grid(spark, sf, "fifteen_minute"), h, step, method="index")
+    return rounded(folds.select(*K, "fold", "d", "idx", "ds", "y"))
+
+
+def _written_grid(spark, sf, g):
+    """A grid stored once, as the two-level index reads it twice."""
+    return written(resample(written_obs(spark, sf, g), g, method="join"), f"grid-{g}")[0]
+
+
 def q_drop_nulls(spark, sf):
     df = moving_average(lag_features(grid(spark, sf), 3), 3)
     return rounded(drop_nulls(df, ["lag_1", "lag_2", "lag_3", "avg_3"]))
