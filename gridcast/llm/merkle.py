@@ -40,11 +40,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridcast.session import written
+from gridcast.session import forget, written
 
 FANOUT = 3
 #: most nodes whose rows (under 300 bytes each) are broadcast
-BROADCAST_NODES = 50_000
+BROADCAST_NODES = 10_000
 #: levels built by one grouping
 STRIDE = 3
 #: a name is first leaf * 64 + level; levels of the tree over the subroots
@@ -136,10 +136,10 @@ def _grown(nodes: Column, levels: Column) -> Column:
     return F.concat(*out)
 
 
-def build_levels(leaves: DataFrame, base: int, max_depth: int) -> list[DataFrame]:
+def build_levels(leaves: DataFrame, base: int, max_depth: int) -> list[tuple[DataFrame, str]]:
     """Node rows of all trees above ``leaves`` (tree, begin, depth, pos, h, w):
-    tree, begin, depth, level, pos, h, w, kids; one written table per three
-    levels."""
+    tree, begin, depth, level, pos, h, w, kids; one written table (and its
+    path) per three levels."""
     own, tables, wide = ["tree", "begin", "depth"], [], FANOUT ** STRIDE
     below = leaves.select(*own, "pos", "h", "w")
     for low in range(0, max_depth, STRIDE):
@@ -149,8 +149,8 @@ def build_levels(leaves: DataFrame, base: int, max_depth: int) -> list[DataFrame
         across = F.element_at(F.array(*[F.lit(FANOUT ** (STRIDE - k)) for k in range(1, STRIDE + 1)]), F.col("n.k"))
         rows = groups.select(*own, "block", F.explode(_grown(F.col("run"), F.col("depth") - low)).alias("n")).select(
             *own, (F.col("n.k") + low).alias("level"), (F.col("block") * across + F.col("n.i")).alias("pos"), "n.h", "n.w", "n.kids")
-        table, _ = written(rows, f"merkle-{base}-{low}")
-        tables.append(table)
+        table, at = written(rows, f"merkle-{base}-{low}")
+        tables.append((table, at))
         below = table.where(F.col("level") == low + STRIDE).select(*own, "pos", "h", "w")
     return tables
 
@@ -228,9 +228,11 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     text = F.col(text_col).cast("string")
     cut = F.when(tampered_ids(F.col(id_col)), F.translate(text, "\n", "")).otherwise(text)
-    hashed, _ = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+    spark = docs.sparkSession
+    hashed, hashed_at = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                     leaf_of(text).alias("h"), leaf_of(cut).alias("t")), "leaves")
-    order, _ = written(numbered(hashed, ["source", "doc_id", "h"]), "order")
+    order, order_at = written(numbered(hashed, ["source", "doc_id", "h"]), "order")
+    forget(spark, hashed_at)
     if not order.take(1):
         return _proofs(order.select("no", "doc_id", "h", "t", F.lit(0).alias("depth")), [], b"")
     # one row per source; its number is its place in the tree of the subroots
@@ -242,20 +244,21 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     leaves, _ = written(order.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "no", "h", "t", "tree", "begin", "depth", (F.col("no") - F.col("begin")).alias("pos"),
         F.lit(1).cast("long").alias("w")), "placed")
+    forget(spark, order_at)
 
     below = build_levels(leaves, 0, tops["deepest"])
-    subroots = [t.where("level = depth").select("tree", "h") for t in below]
+    subroots = [t.where("level = depth").select("tree", "h") for t, _ in below]
     subroots.append(leaves.where("depth = 0").select("tree", "h"))
     top, _ = written(reduce(DataFrame.unionByName, subroots).join(sources.select("tree", "n"), "tree").select(
         F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("begin"), F.lit(height).alias("depth"),
         F.col("tree").alias("pos"), "h", F.col("n").alias("w")), "subroots")
     above = build_levels(top, _TOP, height)
-    root = (above[-1].where("level = depth") if above else top).first()["h"]
+    root = (above[-1][0].where("level = depth") if above else top).first()["h"]
 
     over = _place(top, F.lit(0), _TOP, None).select(F.col("pos").alias("tree"), "up", "slot")
     parts = []
     for tables, base, link in ((below, 0, over), (above, _TOP, None)):
-        for t in tables:
+        for t, _ in tables:
             sub = F.col("h") if link is not None else F.lit(None).cast("binary")
             first = F.col("begin") + F.col("pos") * _power(F.col("level"))
             parts.append(_place(t, F.col("level"), base, link).select(
@@ -263,22 +266,26 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
                 F.when(F.col("level") == F.col("depth"), sub).alias("sub")))
     start = _place(leaves, F.lit(0), 0, over).select(
         "no", "up", "slot", F.col("t").alias("folded"), F.lit(0).alias("step"))
-    steps = climb(start, written(reduce(DataFrame.unionByName, parts), "nodes")[0], broadcast_nodes) if parts else []
-    return _proofs(leaves, steps, bytes(root))
+    if not parts:
+        return _proofs(leaves, [], bytes(root))
+    nodes, _ = written(reduce(DataFrame.unionByName, parts), "nodes")
+    forget(spark, *[at for _, at in (*below, *above)])
+    return _proofs(leaves, climb(start, nodes, broadcast_nodes), bytes(root))
 
 
 def _proofs(leaves: DataFrame, steps: list[DataFrame], root: bytes) -> DataFrame:
     """One row per leaf from its own row and its steps."""
     none = F.lit(None).cast("binary")
-    rows = leaves.select("no", F.lit(0).alias("step"), none.alias("sibs"), none.alias("sub"), F.col("t").alias("folded"),
+    rows = leaves.select("no", F.lit(0).alias("step"), none.alias("sibs"), none.alias("sub"), none.alias("end"),
                          "doc_id", "h", "t", "depth")
-    for s in steps:
-        rows = rows.unionByName(s.select("no", "step", "sibs", "sub", "folded"), allowMissingColumns=True)
+    for s in steps:  # only the fold at the root is kept
+        end = F.when(F.col("up").isNull(), F.col("folded")).alias("end")
+        rows = rows.unionByName(s.select("no", "step", "sibs", "sub", end), allowMissingColumns=True)
     got = rows.groupBy("no").agg(
-        *[F.max(c).alias(c) for c in ("doc_id", "h", "t", "depth", "sub")],
-        F.max(F.struct("step", "folded")).alias("last"), F.array_sort(F.collect_list(F.struct("step", "sibs"))).alias("path"))
+        *[F.max(c).alias(c) for c in ("doc_id", "h", "t", "depth", "sub", "end")],
+        F.array_sort(F.collect_list(F.struct("step", "sibs"))).alias("path"))
     path = F.array_join(F.transform("path", lambda s: F.coalesce(text_of(s["sibs"]), F.lit(""))), "")
-    whole, folded = F.lit(root.hex()), text_of(F.col("last.folded"))
+    whole, folded = F.lit(root.hex()), text_of(F.coalesce("end", "t"))
     return got.select(
         "doc_id", text_of(F.col("h")).alias("leaf"),
         text_of(F.when(F.col("depth") == 0, F.col("h")).otherwise(F.col("sub"))).alias("subroot"),
