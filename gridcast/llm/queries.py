@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridcast.llm import (byte_bpe, iblt, licenses, line_clean, line_quality, merkle, packing, pii, secret_scan, simhash,
-                          table_kmeans, url_lists)
+from gridcast.llm import (byte_bpe, context_mixing, iblt, licenses, line_clean, line_quality, merkle, packing, pii,
+                          secret_scan, simhash, table_kmeans, url_lists)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +60,17 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_fingerprints, op2_pii, op3_line_rules, op4_licenses, op5_url_lists, op6_byte_bpe, op7_line_quality,
-           op8_secrets, op9_packing, op10_simhash, op11_centroids, op13_merkle)
+           op8_secrets, op9_packing, op10_simhash, op11_centroids, op12_context_mixing, op13_merkle)
     return {f.__name__: f for f in own}
 
 
