@@ -4,13 +4,17 @@ M7): an autoregression with exogenous calendar columns (``arx``) and a
 
 Refit-per-origin without refitting: fold i trains on rows [0, e_i), and
 rows are cut into blocks at the origins (block 0 = [0, e_0), block i =
-[e_{i-1}, e_i)). One grouped aggregate gives each block's Gram matrix Z'Z
-of z = [x, y] (map-side partial sums, one row per fold, with the fold's
-origin row beside it). Every fold's normal equations are a running sum of
-the blocks, taken in two levels: totals per (series, chunk of blocks), their
-exclusive running sums over the chunks, and a running sum inside each chunk
-in numpy, where the chunk's folds are solved and forecast. No task holds more
-than a chunk's Grams, however long a series is.
+[e_{i-1}, e_i)). Rows are numbered by the two-level index and get their lags
+inside overlapping chunks (``operators.chunked``), so they lie by (series,
+chunk), never by series alone; they are written once. One grouped aggregate
+gives each block's Gram matrix Z'Z of z = [x, y]: partial sums on the rows'
+side, then a shuffle by (series, block), one row per fold, with the fold's
+origin row beside it; the blocks are written once as well. Every fold's normal
+equations are a running sum of the blocks, taken in two levels: totals per
+(series, chunk of blocks), their exclusive running sums over the chunks, and a
+running sum inside each chunk in numpy, where the chunk's folds are solved and
+forecast. No task holds more than a chunk of rows or of Grams, however long a
+series is.
 
 Columns are centred and scaled per series by statistics of the first training
 window, and each normal matrix is brought to unit diagonal and solved by a
@@ -35,15 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from gridcast.functions.time import epoch_seconds
+from gridcast.operators.chunked import attach, halo, inside_chunks, without_copies
 from gridcast.operators.features import exogenous_columns, exogenous_features
 from gridcast.operators.split import explode_folds, fold_index
 from gridcast.plans.rolling import in_logs, out_of_logs
 from gridcast.schema import KEYS, Granularity
+from gridcast.session import forget, written
 
 K = list(KEYS)
 REGRESSION_MODELS = ("arx", "trend_seasonal")
 #: blocks of a series that one task solves together
 CHUNK = 512
+#: rows of a series that meet its statistics in one place
+CHUNK_ROWS = 4096
 #: share of the largest eigenvalue under which a direction counts as absent
 RANK_CUT = 1e-11
 _DAY, _WEEK = 86400.0, 604800.0
@@ -58,14 +66,13 @@ def _waves(harmonics: tuple[int, int]) -> list[tuple[str, float]]:
 def _design(base: DataFrame, model: str, p: int, harmonics: tuple[int, int],
             changepoints: int, calendar: bool) -> tuple[DataFrame, list[str], list[str]]:
     """(rows, exogenous columns, lag columns); ``base`` has idx, initial, _ep
-    and the scaled target _z."""
+    and the scaled target _z with its lags _lag_1 .. _lag_p."""
     if model == "arx":
-        lags = {f"_lag_{j}": F.lag("_z", j).over(Window.partitionBy(*K).orderBy("ds")) for j in range(1, p + 1)}
-        df = base.withColumns(lags) if lags else base
+        lags = [f"_lag_{j}" for j in range(1, p + 1)]
         if not calendar:
-            return df.withColumn("one", F.lit(1.0)), ["one"], list(lags)
-        df = exogenous_features(df).withColumn("week_day", (F.col("week_day") - 3) / 2.0)
-        return df, exogenous_columns(), list(lags)
+            return base.withColumn("one", F.lit(1.0)), ["one"], lags
+        df = exogenous_features(base).withColumn("week_day", (F.col("week_day") - 3) / 2.0)
+        return df, exogenous_columns(), lags
     if model == "trend_seasonal":
         span = F.greatest(F.col("initial"), F.lit(1)).cast("double")
         cols = {"one": F.lit(1.0), "t": F.col("idx") / span - 0.5}
@@ -136,19 +143,9 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
         raise ValueError(f"unknown model {model!r}; expected one of {REGRESSION_MODELS}")
     g = granularity if isinstance(granularity, Granularity) else Granularity.of(granularity)
     order_max, difference = (p_max, difference) if model == "arx" else (0, False)
-    rows = fold_index(in_logs(series, log), h, step, initial_pct, on_short=on_short)
+    rows = _lagged_rows(series, h, step, initial_pct, order_max, difference, log, on_short)
     tests = explode_folds(rows, {"f": (h, step)}, on_short).select(*K, "fold", "d", "idx", "ds", "y")
-
-    whole = Window.partitionBy(*K)
-    last = F.lag("y", 1).over(Window.partitionBy(*K).orderBy("ds"))
-    rows = rows.withColumn("_last", last)
-    target = F.col("y") - F.col("_last") if difference else F.col("y")
-    early = F.when(F.col("idx") < F.col("initial"), target)
-    rows = rows.withColumns({"_ep": epoch_seconds("ds"), "_c": F.avg(early).over(whole),
-                             "_s": F.stddev_pop(early).over(whole)})
-    rows = rows.withColumns({"_c": F.lit(0.0) if difference else F.coalesce("_c", F.lit(0.0)),
-                             "_s": F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)})
-    rows = rows.withColumn("_z", (target - F.col("_c")) / F.col("_s"))
+    rows = _scaled(rows, order_max, difference)
     df, exog, lags = _design(rows, model, order_max, harmonics, changepoints, calendar)
     z = [*exog, *lags, "_z"]
     m, n_exog = len(z), len(exog)
@@ -178,11 +175,10 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
         *[F.max(F.when(F.col("o"), F.col(c))).alias(n) for n, c in fields.items()],
         *[F.max(F.when(F.col("o"), F.col(c))).alias(f"_recent_{j}") for j, c in enumerate(lags, 1)])
         .withColumn("_chunk", F.floor(F.col("fold") / chunk).cast("long")))
-    size = len(live)
-    totals = blocks.groupBy(*K, "_chunk").agg(
-        F.expr("array(" + ", ".join(f"sum(g[{n}])" for n in range(size)) + ") AS g"),
-        F.max(F.when(F.col("fold") == 0, F.col("g"))).alias("g0"),
-        F.max(F.when(F.col("fold") == 0, F.col("cnt"))).alias("n0"))
+    blocks, at = written(blocks, "gram-blocks")  # read by the totals, the order's choice and the solver
+    size, again = len(live), blocks.sparkSession.read.parquet(at)  # columns of their own for the co-group
+    totals = again.groupBy(*K, "_chunk").agg(
+        F.expr("array(" + ", ".join(f"sum(g[{n}])" for n in range(size)) + ") AS g"))
 
     @pandas_udf("int")
     def choose(g0: pd.Series, n0: pd.Series) -> pd.Series:
@@ -199,10 +195,12 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
 
     before = ("OVER (PARTITION BY " + ", ".join(f"`{c}`" for c in K)
               + " ORDER BY _chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
-    starts = (totals.withColumn("_order", F.when(F.col("g0").isNotNull(), choose("g0", "n0")))
+    # the order, one row per series, rides along as chunk -1: no join
+    orders = again.filter("fold = 0").select(*K, F.lit(-1).cast("long").alias("_chunk"), choose("g", "cnt").alias("p"))
+    starts = (totals.unionByName(orders, allowMissingColumns=True)
               .select(*K, "_chunk", F.expr("array(" + ", ".join(
                   f"coalesce(sum(g[{n}]) {before}, 0D)" for n in range(size)) + ") AS g"),
-                  F.max("_order").over(whole).alias("p")))
+                  F.max("p").over(Window.partitionBy(*K)).alias("p")).filter("_chunk >= 0"))
     names = [*K, "fold", "yhat"]
 
     def solve(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
@@ -238,6 +236,40 @@ def rolling_regression(series: DataFrame, model: str, granularity: str | Granula
     return out_of_logs(out, log)
 
 
+def _lagged_rows(series: DataFrame, h: int, step: int, initial_pct: int, p: int, difference: bool,
+                 log: str | None, on_short: str) -> DataFrame:
+    """Rows with idx, n, initial, n_folds and the p (one more for differences)
+    values before them, written once: by (series, chunk), no series window."""
+    base, path = written(in_logs(series, log), "series")
+    rows = fold_index(base, h, step, initial_pct, on_short=on_short, method="index")
+    lags, w = p + 1 if p or difference else 0, inside_chunks(K)
+    rows = without_copies(halo(rows, F.col("idx"), lags).withColumns(
+        {f"_y{j}": F.lag("y", j).over(w) for j in range(1, lags + 1)})) if lags else rows
+    out, _ = written(rows, "lagged")
+    forget(base.sparkSession, path)
+    return out
+
+
+def _scaled(rows: DataFrame, p: int, difference: bool) -> DataFrame:
+    """_z, the target centred and scaled by its first training window, its
+    lags, _last and _ep. The statistics, one row per series, meet the rows by
+    (series, chunk), so a long series' rows are not brought together."""
+    value = [F.col("y"), *[F.col(f"_y{j}") for j in range(1, p + 2 if p or difference else 1)]]
+    target = [value[j] - value[j + 1] for j in range(p + 1)] if difference else value
+    rows = rows.withColumns({"_t": target[0], "_at": F.floor(F.col("idx") / CHUNK_ROWS).cast("long"),
+                             "_last": value[1] if len(value) > 1 else F.lit(None).cast("double")})
+    early = F.when(F.col("idx") < F.col("initial"), F.col("_t"))
+    stats = rows.groupBy(*K).agg(F.avg(early).alias("_c"), F.stddev_pop(early).alias("_s"),
+                                 F.max("idx").alias("_top"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_top") / CHUNK_ROWS).cast("long")))
+    stats = stats.select(*K, places.alias("_at"), (F.lit(0.0) if difference else F.coalesce("_c", F.lit(0.0))).alias("_c"),
+                         F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0).alias("_s"))
+    rows = attach(rows, stats, [*K, "_at"]).drop("_at")
+    scaled = {"_z": (F.col("_t") - F.col("_c")) / F.col("_s"), "_ep": epoch_seconds("ds")}
+    scaled.update({f"_lag_{j}": (target[j] - F.col("_c")) / F.col("_s") for j in range(1, p + 1)})
+    return rows.withColumns(scaled)
+
+
 def pair_by_fold(tests: DataFrame, pred: DataFrame) -> DataFrame:
     """Test rows with their fold's forecasts: an inner join on (keys, fold),
     each fold's forecasts being one array, and the row's place in it. The
