@@ -162,6 +162,56 @@ def _features(end: str = "max(ds)", where: str = "TRUE") -> str:
                   "AND avg_2 IS NOT NULL AND hour IS NOT NULL)"))
 
 
+TREE_COLUMNS = ("lag_1", "lag_2", "avg_2", "hour")
+
+
+def _units(c: str) -> str:
+    return f"CAST(floor(CAST({c} AS DOUBLE) * 1e6 + 0.5002) AS BIGINT)"
+
+
+def tree_ctes(depth: int, target: str, name: str, bins: int = 32) -> str:
+    """One tree per series level by level: ``{name}`` has every row (k) of
+    ``base`` with the leaf it reaches. ``target`` has k and y (units) of the
+    training rows; ``parts`` has k, f and u (units) of all rows."""
+    out = [f"{name}_lim AS MATERIALIZED (SELECT {KEYS}, f, min(u) AS lo, max(u) AS hi FROM parts JOIN base USING (k) "
+           f"JOIN {target} USING (k) GROUP BY ALL)",
+           f"{name}_n0 AS (SELECT k, {KEYS}, CAST(1 AS INTEGER) AS node, FALSE AS done FROM base)"]
+    for d in range(depth):
+        n = f"{name}_n{d}"
+        out.append(
+            f"{name}_s{d} AS (SELECT {KEYS}, node, f, b, lo, hi, count(*) AS n, sum(CAST(y AS HUGEINT)) AS s FROM ("
+            f"SELECT a.name, a.unique_id, a.id_object, a.node, p.f, l.lo, l.hi, t.y, "
+            f"CAST((p.u - l.lo) * {bins} // (l.hi - l.lo + 1) AS INTEGER) AS b FROM {n} a JOIN {target} t USING (k) "
+            f"JOIN parts p USING (k) JOIN {name}_lim l ON l.name = a.name AND l.unique_id = a.unique_id "
+            f"AND l.id_object = a.id_object AND l.f = p.f WHERE NOT a.done) GROUP BY ALL), "
+            f"{name}_c{d} AS (SELECT *, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER g AS nn, sum(s) OVER g AS ss "
+            f"FROM {name}_s{d} WINDOW w AS ({PART}, node, f ORDER BY b), g AS ({PART}, node, f)), "
+            f"{name}_g{d} AS (SELECT *, CAST(sl AS DOUBLE) * CAST(sl AS DOUBLE) / CAST(nl AS DOUBLE) "
+            f"+ CAST(ss - sl AS DOUBLE) * CAST(ss - sl AS DOUBLE) / CAST(nn - nl AS DOUBLE) "
+            f"- CAST(ss AS DOUBLE) * CAST(ss AS DOUBLE) / CAST(nn AS DOUBLE) AS gain, "
+            f"lo + ((b + 1) * (hi - lo + 1) + {bins - 1}) // {bins} - 1 AS cut FROM {name}_c{d} WHERE nn > nl), "
+            f"{name}_b{d} AS MATERIALIZED (SELECT {KEYS}, node, f, cut FROM {name}_g{d} WHERE gain > 0 "
+            f"QUALIFY row_number() OVER ({PART}, node ORDER BY gain DESC, f, cut) = 1), "
+            f"{name}_n{d + 1} AS MATERIALIZED (SELECT a.k, a.name, a.unique_id, a.id_object, "
+            f"CASE WHEN b.f IS NULL THEN a.node WHEN p.u > b.cut THEN a.node * 2 + 1 ELSE a.node * 2 END AS node, "
+            f"b.f IS NULL AS done FROM {n} a LEFT JOIN {name}_b{d} b ON b.name = a.name AND b.unique_id = a.unique_id "
+            f"AND b.id_object = a.id_object AND b.node = a.node AND NOT a.done LEFT JOIN parts p ON p.k = a.k AND p.f = b.f)")
+    out.append(f"{name}_v AS (SELECT {KEYS}, node, CAST(sum(CAST(y AS HUGEINT)) AS DOUBLE) / count(*) * 1e-6 AS value "
+               f"FROM {name}_n{depth} JOIN {target} USING (k) GROUP BY 1, 2, 3, 4)")
+    out.append(f"{name} AS MATERIALIZED (SELECT a.k, v.value FROM {name}_n{depth} a JOIN {name}_v v "
+               "USING (name, unique_id, id_object, node))")
+    return ", ".join(out)
+
+
+def tree_base() -> str:
+    units = ", ".join(_units(c) for c in TREE_COLUMNS)
+    return (_features() + "").rstrip() + (
+        f", ranked AS (SELECT *, percent_rank() OVER {W} <= CAST(0.8 AS DOUBLE) AS is_train FROM ff), "
+        f"base AS MATERIALIZED (SELECT row_number() OVER () AS k, {KEYS}, ds, y, is_train, [{units}] AS x FROM ranked), "
+        f"parts AS MATERIALIZED (SELECT k, unnest(range({len(TREE_COLUMNS)})) AS f, unnest(x) AS u FROM base), "
+        f"t0 AS (SELECT k, {_units('y')} AS y FROM base WHERE is_train), ")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     roll = _round("y", "total")
@@ -307,6 +357,20 @@ def oracle_sql() -> dict[str, str]:
     q["tree_test_rows"] = _features() + (
         f"SELECT {KEYS}, ds, {_round('y')} FROM (SELECT *, percent_rank() OVER {W} AS pr FROM ff) "
         "WHERE NOT (pr <= CAST(0.8 AS DOUBLE))")
+    tree_rows = "(SELECT b.name, b.unique_id, b.id_object, ds, y, value AS prediction FROM base b JOIN tr USING (k) WHERE NOT is_train)"
+    for name, depth in (("tree_all_series_stumps", 1), ("tree_all_series", 5)):
+        q[name] = (tree_base() + tree_ctes(depth, "t0", "tr")
+                   + f" SELECT {KEYS}, ds, {_round('y', 'prediction')} FROM {tree_rows}")
+    q["tree_all_series_metrics"] = (tree_base() + tree_ctes(2, "t0", "tr") + f" SELECT {KEYS}, {METRIC_OUT} FROM (SELECT {KEYS}, "
+                                    f"{METRICS} FROM (SELECT *, prediction AS yhat FROM {tree_rows}) GROUP BY 1, 2, 3)")
+    boosted = tree_base() + tree_ctes(2, "t0", "r0")
+    for k, weight in ((1, 1.0), (2, 0.1)):
+        boosted += (f", t{k} AS (SELECT k, t.y - {_units(f'value * {weight}')} AS y FROM t{k - 1} t JOIN r{k - 1} USING (k)), "
+                    + tree_ctes(2, f"t{k}", f"r{k}"))
+    q["boosted_trees_all_series"] = boosted + (
+        f" SELECT {KEYS}, ds, {_round('y', 'prediction')} FROM (SELECT b.name, b.unique_id, b.id_object, ds, y, "
+        "r0.value + 0.1 * r1.value + 0.1 * r2.value AS prediction FROM base b JOIN r0 USING (k) JOIN r1 USING (k) "
+        "JOIN r2 USING (k) WHERE NOT is_train)")
     q["log_stage"] = _with(obs(), grid(), "l AS (SELECT * REPLACE (ln(1 + y) AS y) FROM r)") + (
         f"SELECT {KEYS}, ds, {_round('y')} FROM l")
     q["assembled_features"] = _features() + (

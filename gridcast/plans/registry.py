@@ -29,6 +29,7 @@ from gridcast.operators.split import (fold_counts, rolling_folds, skipped_series
 from gridcast.operators.stages import (DropNullsStage, LagStage, LogStage, MovingAverageStage,
                                       ResampleStage, TimeInfoStage)
 from gridcast.plans.grouped import forecast_groups, make_forecaster
+from gridcast.plans.grouped_trees import evaluate_trees
 from gridcast.plans.long_series import evaluate_rolling_long
 from gridcast.plans.matrix import coarsened_series, run_matrix
 from gridcast.plans.rolling import evaluate_rolling, evaluate_rolling_many, rolling_forecast
@@ -471,6 +472,28 @@ def q_tree_per_series(spark, sf):
     return rounded(pred)
 
 
+def q_tree_all_series_stumps(spark, sf):
+    """One stump per series, all series in one plan."""
+    pred, _ = evaluate_trees(_tree_features(spark, sf), TREE_FEATURES, max_depth=1)
+    return rounded(pred)
+
+
+def q_tree_all_series(spark, sf):
+    """One tree per series, all series in one plan, with MLlib's default depth and bins."""
+    pred, _ = evaluate_trees(_tree_features(spark, sf), TREE_FEATURES, max_depth=5)
+    return rounded(pred)
+
+
+def q_tree_all_series_metrics(spark, sf):
+    _, m = evaluate_trees(_tree_features(spark, sf), TREE_FEATURES, max_depth=2)
+    return rounded(m)
+
+
+def q_boosted_trees_all_series(spark, sf):
+    pred, _ = evaluate_trees(_tree_features(spark, sf), TREE_FEATURES, "gbt", max_depth=2, rounds=3)
+    return rounded(pred)
+
+
 def q_tree_holdout_metrics(spark, sf):
     _, m = evaluate_holdout(_tree_features(spark, sf), TREE_FEATURES, "decision_tree")
     return rounded(m)
