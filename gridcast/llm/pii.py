@@ -40,9 +40,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W_]+|_|[^\w\s]")
-_GATE = re.compile(r"[0-9@]|[(\[]at[)\]]")
+#: an email with its signs spelt out
+_SPELT = re.compile(r"[(\[]at[)\]]|\bat\b[^\n]{1,80}?\bdot\b")
+#: every span that passes ``plausible`` holds one of these, so lines without
+#: any cannot give a span
+_GATE = re.compile(r"[0-9@]|" + _SPELT.pattern)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CUES = frozenset("at dot tel phone call mail email ip host card version page section".split())
+_CUES = frozenset("at dot tel phone call mail email ip host card version page section order invoice ref ssn id no".split())
 
 
 def luhn(digits: str) -> bool:
@@ -75,7 +79,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", s, e) for s, e in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p) <= 255 for p in (q.lstrip("0") or "0" for q in m.group().split("."))):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
@@ -89,7 +93,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def labelled_table(seed: int = 7, rows: int = 420) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(seed: int = 7, rows: int = 640) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """The small labelled table: lines with the spans of their values. Half
     of the rows hold a value, the others numbers that are no personal data."""
     r = random.Random(seed)
@@ -104,7 +108,7 @@ def labelled_table(seed: int = 7, rows: int = 420) -> list[tuple[str, list[tuple
     value = {
         "email": [lambda: f"{word()}.{num(2)}@mail{num(1)}.example.com", lambda: f"{word()}@{word()}.org",
                   lambda: f"{word()}_{word()}@{word()}.co.uk", lambda: f"{word()} (at) {word()} (dot) org",
-                  lambda: f"{word()} [at] {word()} [dot] com"],
+                  lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"],
         "ip": [lambda: ".".join(str(r.randint(1, 254)) for _ in range(4))],
         "card": [lambda: card(""), lambda: card(" "), lambda: card("."), lambda: card("-"), lambda: card("/")],
         "phone": [lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"({num(3)}) 555-{num(4)}",
@@ -116,7 +120,9 @@ def labelled_table(seed: int = 7, rows: int = 420) -> list[tuple[str, list[tuple
              lambda: f"{num(2)}.{num(1)} percent", lambda: f"20{num(2)}-0{num(1)}-1{num(1)}", lambda: f"${num(1)},{num(3)}.00",
              lambda: f"page {num(2)} of {num(3)}", lambda: f"section {num(1)}.{num(1)}.{num(1)}", lambda: f"1{num(1)}:3{num(1)}",
              lambda: f'token = "{hexes(40)}"', lambda: f"password={hexes(18)}", lambda: f"AKIA{hexes(16).upper()}",
-             lambda: num(16), lambda: f"{num(r.randint(1, 9))}", lambda: f"{num(2)} {num(2)}", lambda: f"No. {num(5)}"]
+             lambda: num(16), lambda: f"{num(r.randint(1, 9))}", lambda: f"{num(2)} {num(2)}", lambda: f"No. {num(5)}",
+             lambda: f"order {num(3)}-{num(3)}-{num(4)}", lambda: f"invoice {num(3)}-{num(3)}-{num(4)}", lambda: f"SSN {num(3)}-{num(2)}-{num(4)}",
+             lambda: f"{num(3)}-{num(2)}-{num(4)}", lambda: f"{word()} at the {word()} dot", lambda: f"at {word()} a dot of {word()}"]
     tails = ["", "", "", ".", ",", "%%%", "***", "!!", "&&&", "$$$", "###"]
     out = []
     for i in range(rows):
@@ -134,7 +140,7 @@ def labelled_table(seed: int = 7, rows: int = 420) -> list[tuple[str, list[tuple
 def plausible(kind: str, value: str) -> bool:
     """Exact check of a tagged run: a card has 12 to 19 digits passing Luhn,
     a phone number 9 to 15 digits, an address four parts of at most 255, an
-    email an @ or a bracketed "at"."""
+    email an @, a bracketed "at" or "at" and "dot" as words."""
     digits = "".join(c for c in value if "0" <= c <= "9")
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -143,7 +149,7 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "ip":
         parts = re.split("[^0-9]+", value)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
-    return "@" in value or bool(re.search(r"[(\[]at[)\]]", value))
+    return "@" in value or bool(_SPELT.search(value))
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
@@ -202,11 +208,11 @@ def spans_of(texts: list[str], model: Crf) -> tuple[list[list], list[list]]:
             at += len(line) + 1
     if lens:
         best = model.viterbi(np.concatenate(feats), np.array(lens))
-        done = 0
+        done, taken = 0, {i: tagging.Taken(base[i]) for i in {w[0] for w in where}}
         for (i, at, toks, text), n in zip(where, lens):
             for kind, a, b in tagging.runs(best[done:done + n], BEGIN, INSIDE):
                 s, e = at + toks[a][0], at + toks[b][1]
-                if plausible(kind, text[s:e]) and not any(s < y and x < e for _, x, y in base[i]):
+                if plausible(kind, text[s:e]) and not taken[i].meets(s, e):
                     extra[i].append((kind, s, e))
             done += n
     both = [sorted(b + x, key=lambda v: (v[1], KINDS.index(v[0]), v[2])) if x else b for b, x in zip(base, extra)]

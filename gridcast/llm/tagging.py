@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 
@@ -85,3 +86,21 @@ def runs(labels: np.ndarray, begin: dict[int, str], inside: dict[int, str]) -> l
                 out.append(open_)
             open_ = None
     return out + ([open_] if open_ else [])
+
+
+class Taken:
+    """Stretches of a text that spans cover, joined; asks in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [], []
+        for _, s, e in sorted(spans, key=lambda x: x[1]):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        """Does [start, end) share a place with a span?"""
+        i = bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
