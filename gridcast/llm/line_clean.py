@@ -12,6 +12,7 @@ a text without line breaks is one line; repeated rows give equal results;
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,14 +40,24 @@ class Rules:
     nav_words: int = 2
     #: share of upper-case words from which a line of five words or more fails
     upper_words: float = 0.7
+    #: a line of so many words, or fewer, is boilerplate by one phrase; each
+    #: such number of words more takes one phrase more
+    words_per_phrase: int = 40
     #: share of word characters lost from which a document is rejected
     max_loss: float = 0.4
 
 
-#: fixed values: phrases of boilerplate lines, lower case
-PHRASES = (b"all rights reserved", b"accept cookies", b"cookie policy", b"privacy policy", b"terms of use",
-           b"terms of service", b"enable javascript", b"javascript is disabled", b"click here to", b"sign up for our",
-           b"subscribe to our", b"share this", b"read more", b"log in to", b"lorem ipsum")
+#: fixed values: phrases of boilerplate lines in four languages, lower case
+PHRASES = ("all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use",
+           "terms of service", "enable javascript", "javascript is disabled", "click here to", "sign up for our",
+           "subscribe to our", "share this", "read more", "log in to", "lorem ipsum",
+           "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen",
+           "hier klicken", "newsletter abonnieren", "weiterlesen", "jetzt anmelden",
+           "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation",
+           "cliquez ici", "lire la suite", "abonnez-vous",
+           "todos los derechos reservados", "aceptar cookies", "política de privacidad", "términos de uso",
+           "haga clic aquí", "leer más", "suscríbase")
+_PHRASE = re.compile(b"|".join(re.escape(p.encode()) for p in PHRASES))
 
 
 def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
@@ -60,10 +71,9 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> str:
         return "punctuation"
     if n <= rules.nav_words and not line.rstrip().endswith(_END):
         return "navigation"
-    if n <= 25:
-        low = line.lower()
-        if any(p in low for p in PHRASES):
-            return "boilerplate"
+    found = _PHRASE.findall(line.lower())
+    if found and len(set(found)) * rules.words_per_phrase >= n:
+        return "boilerplate"
     return ""
 
 
