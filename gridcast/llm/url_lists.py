@@ -22,21 +22,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: labels of a host name at most (a name has 253 characters)
+MAX_LABELS = 127
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, pattern, valid_from, valid_to) of dated entries (list,
     kind, pattern, action, dated); valid_to is null while still listed."""
     own = Window.partitionBy("list", "kind", "pattern").orderBy("dated", "action")
-    return (entries.select("list", "kind", "pattern", "action", "dated").where("pattern is not null and dated is not null")
+    return (entries.select("list", "kind", normal_pattern(F.col("pattern")).alias("pattern"), "action", "dated")
+            .where("pattern is not null and dated is not null")
             .withColumn("valid_to", F.lead("dated").over(own)).where("action = 'add'")
             .where("valid_to is null or valid_to > dated")
             .select("list", "kind", "pattern", F.col("dated").alias("valid_from"), "valid_to"))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """A pattern as hosts are written: its host in lower case without final
+    dots; the path of a prefix as it is, without empty parts at its ends."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.trim(pattern), r"^([^/]*)", 1)), r"\.+$", "")
+    path = F.regexp_replace(F.regexp_extract(F.trim(pattern), r"^[^/]*/+(.*)$", 1), r"/+$", "")
+    slash = F.when(F.contains(pattern, F.lit("/")), F.lit("/")).otherwise("")
+    return F.when(F.length(host) > 0, F.concat(host, slash, F.regexp_replace(path, "/+", "/")))
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host without scheme, user, port and final dot; null if none."""
-    host = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    """Lower-case host without scheme, user, port and final dot; an IPv6
+    address keeps its brackets; null if none."""
+    host = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.%]+\]|[^/?#:@\[\]]+)", 1)
     host = F.regexp_replace(F.lower(host), r"\.+$", "")
     return F.when(F.length(host) > 0, host)
 
@@ -46,13 +59,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)", 1)
 
 
-def lookup_keys(url: Column) -> Column:
-    """kind:pattern keys that may list a url."""
+def lookup_keys(url: Column, max_parts: int, max_chars: int) -> Column:
+    """kind:pattern keys that may list a url. No listed prefix has more than
+    ``max_parts`` path parts or ``max_chars`` characters, so longer ones
+    need not be asked for."""
     host = host_of(url)
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path_of(url), "/"), lambda x: F.length(x) > 0)
+    # a part cut here ends beyond the longest listed prefix, so it matches none
+    path = F.substring(F.regexp_replace(path_of(url), "/+", "/"), 1, max_chars + 2)
+    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\."))
+    labels = F.slice(labels, F.greatest(F.size(labels) - MAX_LABELS + 1, F.lit(1)), F.lit(MAX_LABELS))
+    parts = F.slice(F.filter(F.split(path, "/"), lambda x: F.length(x) > 0), 1, max(max_parts, 1))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(
         F.lit("domain:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.concat(
+    prefixes = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_parts))), lambda i: F.concat(
         F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
     return F.when(host.isNotNull(), F.concat(F.array(F.concat(F.lit("host:"), host)), domains, prefixes))
 
@@ -61,12 +80,16 @@ def judge_captures(captures: DataFrame, entries: DataFrame, salts: int = SALTS,
                    url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """id, url, fetched_at, n_active (entries that held), matched (their
     list=kind:pattern, sorted), blocked."""
-    held = (intervals(entries).withColumn("key", F.concat("kind", F.lit(":"), "pattern"))
+    listed = intervals(entries)
+    longest = listed.where("kind = 'prefix'").agg(  # one row: how far a listed prefix reaches
+        F.max(F.size(F.split("pattern", "/")) - 1).alias("parts"), F.max(F.length("pattern")).alias("chars")).first()
+    held = (listed.withColumn("key", F.concat("kind", F.lit(":"), "pattern"))
             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
             .select("key", "salt", "valid_from", "valid_to", F.concat("list", F.lit("="), "key").alias("entry")))
     asked = (captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))
              .withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched_at"), F.lit(salts)).cast("int"))
-             .withColumn("key", F.explode_outer(F.array_distinct(lookup_keys(F.col("url"))))))
+             .withColumn("key", F.explode_outer(F.array_distinct(lookup_keys(
+                 F.col("url"), longest["parts"] or 0, longest["chars"] or 0)))))
     met = asked.join(held, (asked["key"] == held["key"]) & (asked["salt"] == held["salt"])
                      & (F.col("fetched_at") >= F.col("valid_from"))
                      & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))), "left")
