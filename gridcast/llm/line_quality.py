@@ -26,6 +26,8 @@ from gridcast.llm.texts import map_texts, rewrite_texts
 
 #: bound on the labelled documents that the model is fitted to
 TRAIN_DOCS = 3000
+#: longest text of the sample, in characters
+TRAIN_CHARS = 100_000
 
 _CLASS = np.zeros(256, np.uint8)
 _SIGN, _PIPE, _BANG, _UPPER, _LOWER, _DIGIT = 1, 2, 3, 4, 5, 6
@@ -158,15 +160,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit to at most ``max_docs`` labelled documents that are not held out,
-    chosen by the hash of their ids, so the driver gets a bounded sample at
-    every size of the tables."""
+          text_col: str = "text", label_col: str = "quality", max_chars: int = TRAIN_CHARS) -> Model:
+    """Fit to at most ``max_docs`` labelled documents of at most ``max_chars``
+    characters that are not held out, chosen by the hash of their ids, so the
+    driver gets a bounded sample at every size of the tables. Rows that share
+    an id count one by one; the bound is on rows."""
     chosen = (labels.where(~held_out(id_col)).where(F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("text", "quality").toArrow())
+            .where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+            .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_docs).select("text", "quality").toArrow())
     pairs = sorted(zip(rows.column("text").to_pylist(), rows.column("quality").to_pylist()))
     return fit_texts([t for t, _ in pairs], np.array([q for _, q in pairs], np.int64))
 
