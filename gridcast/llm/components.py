@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from gridcast.session import forget, written
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, the root being the smallest node of
     its component. ``links`` has columns a and b; nulls and self-links go."""
     spark = links.sparkSession
     edges, path = written(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")), "links")
-    for _ in range(max_rounds):
+    while True:  # each round takes nodes from every component that is no star yet
         both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         low = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
         large = (both.join(low, "hi").where("lo > hi and lo <> m")
@@ -37,7 +37,5 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                .agg(F.count_if((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("low") == 0))).alias("n")))
         if not odd.first()["n"]:
             break
-    else:
-        raise RuntimeError(f"no stars after {max_rounds} rounds")
     return (edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
             .unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()))

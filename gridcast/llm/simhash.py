@@ -281,8 +281,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component, columns as they are: the first by
     ``row_key``, so ids may be null or stand on several texts. Only rows with
     the same key count as one."""
-    keyed = docs.withColumn("_row", row_key(docs, id_col, text_col))
-    keep = near_duplicates(keyed, id_col="_row", text_col=text_col, **options).select(
-        F.col("component_id").alias("_keep")).distinct()
-    return (keyed.join(keep, F.col("_row").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["_row"])
-            .select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name stay apart from the key
+    keyed = docs.select(row_key(docs, id_col, text_col).alias("row"), whole.alias("own"))
+    small = keyed.select("row", F.col("own")[text_col].alias("text"))
+    keep = near_duplicates(small, id_col="row", text_col="text", **options).select(
+        F.col("component_id").alias("row")).distinct()
+    # a key is never null as a whole, so the semi-join and the removal of repeated rows share one shuffle of the texts
+    return keyed.join(keep, "row", "left_semi").dropDuplicates(["row"]).select("own.*")
