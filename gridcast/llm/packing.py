@@ -4,14 +4,16 @@ Documents are tokenised and cut into pieces of at most ``capacity`` tokens.
 Only the histogram of piece lengths (at most ``capacity`` rows, whatever the
 input) reaches the driver. There the configuration program (as few
 sequences as cover every length's demand) is solved by multiplicative
-weights: lengths that are covered lose weight, and a knapsack dynamic program
-prices the configurations of largest weight. The fractional solution is
-rounded down to whole, exactly filled configurations, and the rest is packed
-by best fit decreasing on the histogram.
+weights: lengths lose weight as they are covered, in small steps, and a knapsack
+dynamic program prices the configurations of largest weight, until every length
+is covered; the prices also give a dual bound, and so the gap (``solve`` reports
+both). The fractional solution is rounded down to whole configurations, some are
+taken once more, and the few pieces left are packed best fit.
 
 The plan says for each length which of its pieces (by number) go to which
 sequences and places. Pieces are numbered per length in two levels, so no
-length's pieces ever meet in one task, and looked up in the plan.
+length's pieces ever meet in one task, and looked up in the plan by (length,
+block of numbers).
 
 Defined results: a null or empty text is the one closing id; repeated rows
 are packed each; an empty table gives no rows; other columns are not read.
@@ -25,7 +27,9 @@ import os
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -172,6 +176,13 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
                              + (", ids array<int>" if with_ids else ""))
 
 
+#: steps of the program, tried until its gap to the dual bound is at most GAP
+STEPS, GAP = (1.0, 0.5, 0.25), 0.005
+#: room that a configuration rounded up may leave free, as a share
+ROUNDED_WASTE = 1 / 64
+SALT = "_salt"
+
+
 def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: the best value of each room, and the length put in
     last (0: leave one token free)."""
@@ -200,37 +211,137 @@ def _taken(last: np.ndarray, room: int, first: int = 0) -> tuple[tuple[int, int]
     return tuple(sorted(out.items(), reverse=True))
 
 
-def fractional(hist: dict[int, int], capacity: int, rounds: int = 60, columns: int = 24,
-               eta: float = 4.0) -> dict[tuple, float]:
-    """Covering program by multiplicative weights: configurations and how
-    often each is used, so that each length's demand is met about once."""
-    lengths = np.array(sorted(hist), np.int64)
-    demand = np.array([hist[k] for k in lengths.tolist()], float)
-    at = {k: i for i, k in enumerate(lengths.tolist())}
-    cover, use = np.zeros(len(lengths)), {}
-    for _ in range(rounds):
-        open_ = cover < 1
-        if not open_.any():
-            break
-        value = lengths / capacity * np.exp(-eta * cover)
-        best, last = price(value[open_], lengths[open_], capacity)
-        lack = np.where(open_, (1 - cover) * demand * lengths, 0.0)
-        for i in np.argsort(-lack, kind="stable")[:columns].tolist():
-            if cover[i] >= 1:
-                continue
-            config = _taken(last, capacity, int(lengths[i]))
-            rows = [at[k] for k, _ in config]
-            times = np.array([a for _, a in config], float)
-            step = float((np.maximum(1 - cover[rows], 0) * demand[rows] / times).min())
-            if step <= 0:
-                continue
-            use[config] = use.get(config, 0.0) + step
-            cover[rows] += step * times / demand[rows]
-    return use
+def price_some(value: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The same knapsack for a few lengths: the best value of each room after
+    each length in turn (rows), taking 1, 2, 4, ... more of it."""
+    best = np.zeros((len(lengths) + 1, capacity + 1))
+    for i, (k, v) in enumerate(zip(lengths.tolist(), value.tolist()), 1):
+        now = best[i]
+        now[:] = best[i - 1]
+        while k <= capacity:
+            np.maximum(now[k:], now[:capacity + 1 - k] + v, out=now[k:])
+            k, v = 2 * k, 2 * v
+    return best
 
 
-def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """(configuration, how many sequences), covering the histogram exactly."""
+def _taken_some(best: np.ndarray, lengths: list[int], room: int, first: int) -> tuple[tuple[int, int], ...]:
+    out, i = {first: 1}, len(lengths)
+    room -= first
+    while room > 0 and i > 0:
+        if best[i, room] == best[i - 1, room]:
+            i -= 1
+        else:
+            k = lengths[i - 1]
+            out[k] = out.get(k, 0) + 1
+            room -= k
+    return tuple(sorted(out.items(), reverse=True))
+
+
+class Covering:
+    """The covering program by multiplicative weights: how often to use each
+    configuration so that the pieces of every length are covered once.
+
+    A length's weight is its size times exp(-ETA * how far it is covered). Each
+    round prices the lengths not yet covered by the knapsack, and for each of
+    them takes the best configuration that holds it, in steps that cover at
+    most the share ``step`` of any length. A round prices all open lengths, or,
+    when such a round helped few of them, ``SOME`` drawn at random and what
+    fills a sequence with them, for ``AGAIN`` rounds (many small lengths need
+    many different fillings). It ends when every length is covered. ``bound``
+    is the best of the dual bounds that the full pricings give (weights over
+    the best configuration's value), so ``gap`` says how far the solution can
+    be from the optimum."""
+
+    ETA, SOME, AGAIN, FEW, SHARE = 1.0, 48, 40, 4, 200
+
+    def __init__(self, hist: dict[int, int], capacity: int, step: float = 1.0, seed: int = 0):
+        self.step = step
+        self.lengths = np.array(sorted(hist), np.int64)
+        self.demand = np.array([hist[k] for k in self.lengths.tolist()], float)
+        self.at = {k: i for i, k in enumerate(self.lengths.tolist())}
+        self.capacity, self.use, self.bound = capacity, {}, 0.0
+        self.cover, self.draw = np.zeros(len(self.lengths)), np.random.default_rng(seed)
+        wait = 0
+        while (self.cover < 1 - 1e-9).any():
+            if wait:
+                wait -= 1
+                self._round_some()
+            elif self._round_all():
+                wait = self.AGAIN
+        self.total = sum(self.use.values())
+
+    def gap(self, bound: float) -> float:
+        return self.total / bound - 1 if bound else 0.0
+
+    def _weights(self) -> np.ndarray:
+        w = self.lengths / self.capacity * np.exp(-self.ETA * (self.cover - self.cover.min()))
+        return np.where(self.cover < 1 - 1e-9, w, 0.0)
+
+    def _round_all(self) -> bool:
+        """True if it helped few lengths."""
+        w, open_ = self._weights(), np.flatnonzero(self.cover < 1 - 1e-9)
+        best, last = price(w[open_], self.lengths[open_], self.capacity)
+        self.bound = max(self.bound, float((self.demand * w).sum() / best[self.capacity]))
+        helped = self._steps(open_, lambda k: _taken(last, self.capacity, k))
+        return helped < max(self.FEW, len(open_) // self.SHARE)
+
+    def _round_some(self) -> None:
+        open_ = np.flatnonzero(self.cover < 1 - 1e-9)
+        if not len(open_):
+            return
+        if len(open_) > self.SOME:
+            lack = (1 - self.cover[open_]) * self.demand[open_] * self.lengths[open_]
+            chance = 0.5 * lack / lack.sum() + 0.5 / len(open_)
+            some = self.draw.choice(open_, self.SOME, replace=False, p=chance).tolist()
+            # what fills a sequence together with one of them
+            rest = (self.at.get(self.capacity - int(self.lengths[i]), -1) for i in some)
+            open_ = np.array(sorted({*some, *(j for j in rest if j >= 0 and self.cover[j] < 1 - 1e-9)}))
+        own = self.lengths[open_]
+        best = price_some(self._weights()[open_], own, self.capacity)
+        names = own.tolist()
+        self._steps(open_, lambda k: _taken_some(best, names, self.capacity, k))
+
+    def _steps(self, open_: np.ndarray, config_of) -> int:
+        grown, helped, misses = np.zeros(len(self.lengths)), 0, 0
+        for i in open_[np.lexsort((-self.lengths[open_], self.cover[open_]))].tolist():
+            room = min(self.step, 1 - self.cover[i]) - grown[i]
+            if room <= 1e-9:
+                continue
+            config = config_of(int(self.lengths[i]))
+            rows = [self.at[k] for k, _ in config]
+            times = np.array([a for _, a in config], float)
+            left = np.maximum(np.minimum(self.step, 1 - self.cover[rows]) - grown[rows], 0)
+            step = float((left * self.demand[rows] / times).min())
+            if step <= 1e-6:  # its filling is used up in this round
+                misses += 1
+                if helped:
+                    if misses > 64 + 4 * helped:
+                        break
+                    continue
+                step = float(room * self.demand[i] / times[rows.index(i)])
+            helped += 1
+            self.use[config] = self.use.get(config, 0.0) + step
+            grown[rows] += step * times / self.demand[rows]
+        self.cover += grown
+        return helped
+
+
+@dataclass
+class Report:
+    """What the program gave: its dual bound and gap, the sequences used and
+    the share of them that are configurations of the program."""
+
+    bound: float
+    gap: float
+    sequences: int
+    by_program: float
+
+
+def solve(hist: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], Report]:
+    """(configuration, how many sequences), covering the histogram exactly,
+    and the report. The program's uses are rounded down; then its
+    configurations are taken once more each, largest rest first, as long as
+    all their pieces are left; the few pieces that remain are packed best fit."""
     left, out = dict(hist), []
 
     def place(config, most: float) -> None:
@@ -240,12 +351,24 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tup
             for k, a in config:
                 left[k] -= a * n
 
-    use = fractional(hist, capacity) if hist else {}
+    program, bound = None, 0.0
+    for step in STEPS:  # smaller steps where the gap is not small enough
+        tried = Covering(hist, capacity, step)
+        bound = max(bound, tried.bound)
+        program = tried if program is None or tried.total < program.total else program
+        if program.gap(bound) <= GAP:
+            break
+    use = program.use
     for config, x in sorted(use.items(), key=lambda p: (-p[1], p[0])):
         place(config, math.floor(x + 1e-9))
+    full = capacity * (1 - ROUNDED_WASTE)
+    for config in sorted(use, key=lambda c: (math.floor(use[c] + 1e-9) - use[c], c)):
+        if sum(k * a for k, a in config) >= full:
+            place(config, 1)
     for config in sorted(use):
         if sum(k * a for k, a in config) == capacity:
             place(config, 2 ** 62)
+    own = sum(n for _, n in out)
     open_ = sorted(k for k, n in left.items() if n)
     while open_:
         room, config, upto = capacity, [], len(open_)
@@ -262,7 +385,12 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tup
         for k, _ in config:
             if not left[k]:
                 open_.pop(bisect.bisect_left(open_, k))
-    return out
+    total = sum(n for _, n in out)
+    return out, Report(bound, program.gap(bound), total, own / total if total else 1.0)
+
+
+def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    return solve(hist, capacity)[0]
 
 
 def plan_rows(configs: list[tuple[tuple[tuple[int, int], ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -288,12 +416,20 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = plan_rows(plan(hist, capacity))
     total = sum(hist.values())
     buckets = max(1, total // NUMBERED)
+    names = [c for c in pieces.columns if c != SALT]
+    # the numbers of a length are cut into as many blocks as it has plan rows,
+    # so a piece meets the one or two plan rows of its block, not all of its length
+    held = Counter(r[0] for r in rows)
+    width = {k: -(-hist[k] // n) for k, n in held.items()}
+    widths = spark.createDataFrame(pa.table({"_of": pa.array(list(width), pa.int64()),
+                                             "_width": pa.array(list(width.values()), pa.int64())}))  # at most capacity rows
+    spread = [(*r, b) for r in rows for b in range(r[1] // width[r[0]], (r[2] - 1) // width[r[0]] + 1)]
     table = spark.createDataFrame(
-        pa.table({n: pa.array([r[i] for r in rows], pa.int64())
-                  for i, n in enumerate(("_length", "_lo", "_hi", "_times", "_sequence", "_offset"))}))
-    if len(rows) <= BROADCAST_ROWS:
+        pa.table({n: pa.array([r[i] for r in spread], pa.int64())
+                  for i, n in enumerate(("_length", "_lo", "_hi", "_times", "_sequence", "_offset", "_place"))}))
+    if len(spread) <= BROADCAST_ROWS:
         table = F.broadcast(table)
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.col(SALT), F.lit(buckets)))
     before = (dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
               .select("length", "_bucket", F.coalesce(F.sum("_n").over(
                   Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
@@ -303,11 +439,13 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 .join(before, ["length", "_bucket"])
                 .withColumn("_number", F.col("_rank") + F.col("_before")))
     slot = F.col("_number") - F.col("_lo")
-    return (numbered.join(table, (F.col("length") == F.col("_length")) & (F.col("_number") >= F.col("_lo"))
-                          & (F.col("_number") < F.col("_hi")))
+    near = (numbered.join(F.broadcast(widths), F.col("length") == F.col("_of"))
+            .withColumn("_block", F.floor(F.col("_number") / F.col("_width")).cast("long")))
+    return (near.join(table, (F.col("length") == F.col("_length")) & (F.col("_block") == F.col("_place"))
+                      & (F.col("_number") >= F.col("_lo")) & (F.col("_number") < F.col("_hi")))
             .withColumn("sequence_id", F.col("_sequence") + F.floor(slot / F.col("_times")).cast("long"))
             .withColumn("offset", F.col("_offset") + F.pmod(slot, F.col("_times")) * F.col("length"))
-            .select(*pieces.columns, "sequence_id", "offset"))
+            .select(*names, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -317,5 +455,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     folder, as the histogram and the placing both read them."""
     spark = docs.sparkSession
     at = scratch_path(spark, "pieces")
-    cut_pieces(docs, path, capacity, end_id, id_col, text_col, with_ids).write.parquet(at)
+    # the salt is written, so that both readers see the same; ids may be null or repeat
+    pieces = cut_pieces(docs, path, capacity, end_id, id_col, text_col, with_ids)
+    pieces.withColumn(SALT, F.shiftright(F.xxhash64(F.rand(11)), 1)).write.parquet(at)
     return place_pieces(spark.read.parquet(at), capacity)

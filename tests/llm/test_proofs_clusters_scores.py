@@ -267,3 +267,66 @@ def test_texts_side_by_side_score_as_alone():
 def test_huffman_code_is_complete_and_short_for_frequent_symbols():
     code = cm.Code([1, 1, 2, 4, 8, 100])
     assert sum(2.0 ** -n for n in code.length) == 1.0 and code.length[5] == 1 == code.length.min()
+
+
+# ---- the packing program ----------------------------------------------------
+
+def fewest(items, capacity):
+    """Fewest sequences, by trying every subset in turn (small cases)."""
+    n, full = len(items), (1 << len(items)) - 1
+    best = [(n + 1, 0)] * (full + 1)
+    best[0] = (1, 0)  # sequences used, room taken in the last
+    for mask in range(1, full + 1):
+        for i in range(n):
+            if mask >> i & 1:
+                used, taken = best[mask ^ (1 << i)]
+                got = (used, taken + items[i]) if taken + items[i] <= capacity else (used + 1, items[i])
+                best[mask] = min(best[mask], got)
+    return best[full][0] if items else 0
+
+
+def test_packing_against_the_exact_optimum():
+    from gridcast.llm import packing
+    r = random.Random(8)
+    for _ in range(60):
+        items = [r.randint(1, 12) for _ in range(r.randint(1, 10))]
+        hist = dict(Counter(items))
+        out, report = packing.solve(hist, 12)
+        got = Counter()
+        for config, n in out:
+            assert sum(k * a for k, a in config) <= 12
+            for k, a in config:
+                got[k] += a * n
+        assert got == Counter(hist) and sum(n for _, n in out) == report.sequences
+        best = fewest(items, 12)
+        assert report.bound <= best + 1e-9 and best <= report.sequences <= best + 1
+
+
+def test_packing_program_covers_dense_histograms():
+    from gridcast.llm import packing
+    r = np.random.default_rng(3)
+    for draws in (np.exp(r.normal(4, 1, 200_000)), r.integers(1, 513, 60_000), r.integers(150, 330, 60_000)):
+        hist = {int(k): int(n) for k, n in Counter(np.clip(draws, 1, 512).astype(int).tolist()).items()}
+        out, report = packing.solve(hist, 512)
+        got = Counter()
+        for config, n in out:
+            for k, a in config:
+                got[k] += a * n
+        assert got == Counter(hist)
+        assert report.by_program > 0.98 and report.gap < 0.02
+        assert report.sequences <= 1.02 * report.bound + 1
+    assert packing.solve({}, 512)[0] == []
+
+
+def test_full_and_partial_pricing_agree_with_brute_force():
+    from gridcast.llm import packing
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = np.unique(r.integers(1, 30, 5))
+        value = r.uniform(0.1, 3, len(lengths))
+        best, last = packing.price(value, lengths, 30)
+        some = packing.price_some(value, lengths, 30)[-1]
+        plain = [0.0] * 31
+        for room in range(1, 31):
+            plain[room] = max([plain[room - 1]] + [plain[room - k] + v for k, v in zip(lengths, value) if k <= room])
+        assert best == pytest.approx(plain) and some == pytest.approx(plain)
