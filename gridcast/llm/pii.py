@@ -46,7 +46,7 @@ _SPELT = re.compile(r"[(\[]at[)\]]|\bat\b[^\n]{1,80}?\bdot\b")
 #: any cannot give a span
 _GATE = re.compile(r"[0-9@]|" + _SPELT.pattern)
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_CUES = frozenset("at dot tel phone call mail email ip host card version page section order invoice ref ssn id no".split())
+_CUES = frozenset("at dot tel phone call mail email ip host card version page section order invoice ref ssn id no com org net the a".split())
 
 
 def luhn(digits: str) -> bool:
@@ -108,7 +108,8 @@ def labelled_table(seed: int = 7, rows: int = 640) -> list[tuple[str, list[tuple
     value = {
         "email": [lambda: f"{word()}.{num(2)}@mail{num(1)}.example.com", lambda: f"{word()}@{word()}.org",
                   lambda: f"{word()}_{word()}@{word()}.co.uk", lambda: f"{word()} (at) {word()} (dot) org",
-                  lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"],
+                  lambda: f"{word()} [at] {word()} [dot] com", lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}",
+                  lambda: f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"],
         "ip": [lambda: ".".join(str(r.randint(1, 254)) for _ in range(4))],
         "card": [lambda: card(""), lambda: card(" "), lambda: card("."), lambda: card("-"), lambda: card("/")],
         "phone": [lambda: f"+1 ({num(3)}) 555-{num(4)}", lambda: f"({num(3)}) 555-{num(4)}",
