@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE,
 def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """What a row is told apart and ordered by: its id (nulls last), its text
     by SHA-256 (nulls last), a hash of its other columns."""
-    others = [F.col(f.name) for f in docs.schema.fields if f.name not in (id_col, text_col)
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col)
               and not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),
