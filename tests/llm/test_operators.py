@@ -182,10 +182,45 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_license_dice_against_brute_force():
-    for size, i, _, n, kinds, times in licenses.template_rows():
-        assert sum(times) == n and 2 * min(size, n) / (size + n) >= licenses.THRESHOLD - 1e-9
-        assert len(kinds) == len(times) and 0 <= i < len(licenses.TEMPLATES)
+def slow_dice(unit, template):
+    a, b = (Counter(zip(w, w[1:])) for w in (licenses.normal(unit), licenses.normal(template)))
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
+def test_license_dice_against_brute_force(spark):
+    """Every line against every template, whole notices with words put in, left out and doubled."""
+    r, lines = random.Random(6), []
+    for _, text in licenses.TEMPLATES:
+        words = text.split()
+        lines.append(text)
+        for _ in range(3):
+            some = [w for w in words if r.random() > 0.06]
+            for _ in range(len(words) // 15):
+                some.insert(r.randrange(len(some) + 1), r.choice(["of", "the", "extra", words[0]]))
+            lines.append(" ".join(some))
+    lines += ["the quick brown fox of the house and the garden", "one", "of the of the of the of the"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, lines)).where("unit = 'line'").collect()}
+    for i, line in enumerate(lines):
+        best = max((slow_dice(line, t), -k) for k, (_, t) in enumerate(licenses.TEMPLATES)) if len(licenses.normal(line)) > 1 else (0, 0)
+        if best[0] < licenses.THRESHOLD:
+            assert i not in got
+        else:
+            assert got[i]["dice"] == pytest.approx(best[0]) and got[i]["template"] == -best[1]
+
+
+def test_licenses_in_longer_lines_and_whole_notices(spark):
+    def name(start):
+        return next(t for _, t in licenses.TEMPLATES if t.startswith(start) and len(t) > 250)
+    mit, gpl2 = name("Permission is hereby granted"), next(t for k, t in licenses.TEMPLATES if "either version 2 of" in t)
+    texts = ["The tool is good. Released under the MIT License. It reads the files and prints them well for all of us.",
+             "Copyright 2020 me\n\n" + mit + "\n\nmore", "/* " + gpl2 + " */", " ".join(["plain words of prose"] * 300) + " " + gpl2,
+             "released under the " * 50]
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, texts)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["unit"], r["license"], r["word_at"]))
+    assert got[0] == {("run", "MIT", 4)}
+    assert ("block", "MIT", -1) in got[1] and {k for _, k, _ in got[1]} == {"MIT"}
+    assert got[2] == {("line", "GPL-2.0", -1)} and ("run", "GPL-2.0", 1200) in got[3] and 4 not in got
 
 
 # ---- 5 URL lists ----------------------------------------------------------
