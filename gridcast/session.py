@@ -4,7 +4,8 @@ shared scratch folder every written intermediate goes to.
 Library code never creates a session; it receives one. The scratch folder
 is always the session's ``spark.checkpoint.dir`` (a shared file system on a
 cluster); only where that is unset do we use a folder of the session's
-warehouse, which is shared as well.
+warehouse. On a cluster a warehouse on a local disk is refused, as executors
+would not see each other's files there.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,8 +60,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir``, else a folder of the warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_scratch")
+        given, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not given and not sc.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is local to each machine")
+        sc.setCheckpointDir(given or f"{warehouse}/_scratch")
     return sc.getCheckpointDir()
 
 
