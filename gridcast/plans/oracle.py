@@ -162,6 +162,25 @@ def _features(end: str = "max(ds)", where: str = "TRUE") -> str:
                   "AND avg_2 IS NOT NULL AND hour IS NOT NULL)"))
 
 
+def kpss_ctes(src: str, max_order: int = 2, most: int = 12) -> str:
+    """Statistics of ``src`` (keys, ds, y) at every order as ``kp`` and the
+    chosen order as ``ko``."""
+    diffs = ["y", f"y - lag(y, 1) OVER {W}", f"y - 2 * lag(y, 1) OVER {W} + lag(y, 2) OVER {W}"][:max_order + 1]
+    stacked = " UNION ALL ".join(f"SELECT {KEYS}, ds, {d} AS o, d{d} AS v FROM kd WHERE d{d} IS NOT NULL" for d in range(max_order + 1))
+    by = "PARTITION BY name, unique_id, id_object, o"
+    lagged = ", ".join(f"e * lag(e, {j}) OVER ({by} ORDER BY ds) AS p{j}" for j in range(1, most + 1))
+    long_run = " + ".join(f"2 * greatest(1 - {j}.0::DOUBLE / (lags + 1), 0) * coalesce(sum(p{j}), 0)" for j in range(1, most + 1))
+    wide = ", ".join(f"max(CASE WHEN o = {d} THEN statistic END) AS statistic_{d}" for d in range(max_order + 1))
+    chosen = " ".join(f"WHEN coalesce(statistic_{d} <= 0.463, TRUE) THEN {d}" for d in range(max_order))
+    return (f"kd AS (SELECT {KEYS}, ds, {', '.join(f'{x} AS d{d}' for d, x in enumerate(diffs))} FROM {src}), ks AS ({stacked}), "
+            f"km AS (SELECT *, count(*) OVER ({by}) AS n, v - avg(v) OVER ({by}) AS e FROM ks), "
+            f"kl AS (SELECT *, floor(4 * pow(n / 100.0::DOUBLE, 0.25)) AS lags, sum(e) OVER ({by} ORDER BY ds) AS s, {lagged} FROM km), "
+            f"kp AS (SELECT {KEYS}, o, n, CASE WHEN n >= 3 THEN CASE WHEN sum(e * e) > 0 THEN sum(s * s) / (n * (sum(e * e) + {long_run})) "
+            f"ELSE 0 END END AS statistic FROM kl GROUP BY {KEYS}, o, n, lags), "
+            f"kw AS (SELECT {KEYS}, {wide} FROM kp GROUP BY 1, 2, 3), "
+            f"ko AS (SELECT *, CAST(CASE {chosen} ELSE {max_order} END AS INTEGER) AS \"order\" FROM kw)")
+
+
 TREE_COLUMNS = ("lag_1", "lag_2", "avg_2", "hour")
 
 
@@ -357,6 +376,11 @@ def oracle_sql() -> dict[str, str]:
     q["tree_test_rows"] = _features() + (
         f"SELECT {KEYS}, ds, {_round('y')} FROM (SELECT *, percent_rank() OVER {W} AS pr FROM ff) "
         "WHERE NOT (pr <= CAST(0.8 AS DOUBLE))")
+    q["difference_order"] = _with(obs(), grid(), kpss_ctes("r")) + (
+        f'SELECT {KEYS}, {_round("statistic_0", "statistic_1", "statistic_2")}, "order" FROM ko')
+    q["differenced_series"] = _with(obs(), grid(), f"r2 AS (SELECT {KEYS}, ds, sum(y) OVER {W} AS y FROM r)", kpss_ctes("r2")) + (
+        f'SELECT {KEYS}, ds, "order", {_round("y")} FROM (SELECT {KEYS}, ds, "order", CASE "order" WHEN 0 THEN d0 WHEN 1 THEN d1 '
+        f'ELSE d2 END AS y FROM kd JOIN ko USING (name, unique_id, id_object)) WHERE y IS NOT NULL')
     tree_rows = "(SELECT b.name, b.unique_id, b.id_object, ds, y, value AS prediction FROM base b JOIN tr USING (k) WHERE NOT is_train)"
     for name, depth in (("tree_all_series_stumps", 1), ("tree_all_series", 5)):
         q[name] = (tree_base() + tree_ctes(depth, "t0", "tr")

@@ -26,11 +26,12 @@ from gridcast.operators.series import (count_series, select_series, select_time_
                                        series_counts)
 from gridcast.operators.split import (fold_counts, rolling_folds, skipped_series, split_by_position,
                                       split_by_rank)
+from gridcast.operators.stationarity import difference_order, difference_series
 from gridcast.operators.stages import (DropNullsStage, LagStage, LogStage, MovingAverageStage,
                                       ResampleStage, TimeInfoStage)
 from gridcast.plans.grouped import forecast_groups, make_forecaster
 from gridcast.plans.grouped_trees import evaluate_trees
-from gridcast.plans.long_series import evaluate_rolling_long
+from gridcast.plans.long_series import evaluate_rolling_long, prefix_sums
 from gridcast.plans.matrix import coarsened_series, run_matrix
 from gridcast.plans.rolling import evaluate_rolling, evaluate_rolling_many, rolling_forecast
 from gridcast.plans.trees import evaluate_holdout
@@ -254,6 +255,19 @@ def _written_grid(spark, sf, g):
     return written(resample(written_obs(spark, sf, g), g, method="join"), f"grid-{g}")[0]
 
 
+def q_difference_order(spark, sf):
+    """KPSS statistics of 0 to 2 differences and the order they give."""
+    return rounded(difference_order(_written_grid(spark, sf, "one_hour")))
+
+
+def q_differenced_series(spark, sf):
+    """Trended series (running totals of the grid), each differenced by its own order."""
+    grid_ = _written_grid(spark, sf, "one_hour")
+    total = prefix_sums(grid_.withColumn("_pos", epoch_seconds("ds")), K, "_pos", ["y"], chunk=86400)
+    totals, _ = written(total.select(*K, "ds", (F.col("cum_y") + F.col("y")).alias("y")), "totals")
+    return rounded(difference_series(totals, difference_order(totals)))
+
+
 def q_drop_nulls(spark, sf):
     df = moving_average(lag_features(grid(spark, sf), 3), 3)
     return rounded(drop_nulls(df, ["lag_1", "lag_2", "lag_3", "avg_3"]))
