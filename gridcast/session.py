@@ -61,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         given, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        if not given and not sc.master.startswith("local") and urlparse(warehouse).scheme in ("", "file"):
+        if not given and not spark.conf.get("spark.master", "local").startswith("local") and urlparse(warehouse).scheme in ("", "file"):
             raise ValueError(f"set spark.checkpoint.dir to a shared folder: the warehouse {warehouse} is local to each machine")
         sc.setCheckpointDir(given or f"{warehouse}/_scratch")
     return sc.getCheckpointDir()

@@ -132,3 +132,29 @@ def test_selection_has_one_path_for_any_list(spark):
         select_series(df, {"name": None})
     with pytest.raises(ValueError, match="empty"):
         select_series(df, [])
+
+
+def test_a_cluster_does_not_write_to_a_local_warehouse():
+    from gridcast.session import ensure_checkpoint_dir
+
+    class Session:
+        def __init__(self, values):
+            self.dir = None
+            self.sparkContext = self
+            self.conf = self
+            self.values = values
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    local = {"spark.sql.warehouse.dir": "file:/home/x/warehouse"}
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session({**local, "spark.master": "spark://host:7077"}))
+    assert ensure_checkpoint_dir(Session({**local, "spark.master": "local[4]"})).endswith("_scratch")
+    assert ensure_checkpoint_dir(Session({**local, "spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///c"})) == "hdfs:///c"
