@@ -59,10 +59,14 @@ class Crf:
 
     def viterbi(self, feats: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Best label of each token, in reading order."""
+        return self.decode(self.scores(feats), lens) if len(lens) else np.zeros(0, np.int64)
+
+    def decode(self, scores: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Best label of each token of given label scores, in reading order."""
         if not len(lens):
             return np.zeros(0, np.int64)
         p = Packed(lens)
-        e, n = p.pack(self.scores(feats)), len(p.alive)
+        e, n = p.pack(scores), len(p.alive)
         back = np.zeros(e.shape, np.int8)
         best = np.zeros(e.shape)
         best[p.step(0)] = e[p.step(0)] + self.first

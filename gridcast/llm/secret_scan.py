@@ -3,10 +3,10 @@
 The CRF tags tokens as secret begin, inside or outside from their shape,
 their neighbours and file features (how much of the text looks like
 settings). It adds spans of kind ``secret`` where no base span lies; base
-spans always stay. It reads every line that holds a cue word (``_CUE``) or a
-run of 12 or more signs with a digit or of 16 or more letters in mixed case, by
-one Viterbi pass per Arrow batch; lines with none are not read (README has what
-that loses).
+spans always stay. It reads every line of every text, by one Viterbi pass per
+Arrow batch. A token's features depend on its form and on how far back a cue
+stands, so the label scores are summed once per form, pair and triple of forms
+(``Reader``) and looked up for every token.
 
 Defined results: a null or empty text has no spans; repeated rows and equal
 texts give equal results; other columns are not read.
@@ -32,12 +32,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:[.=]+[A-Za-z0-9+/_-]+)*=*|[^\sA-Za-z0-9+/_-]")
-#: a run of 12 or more signs that holds a digit, or 16 or more letters of
-#: which a small one stands before a large one
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}|(?=[A-Za-z+/_-]*[a-z][A-Z])[A-Za-z+/_-]{16,})")
+_PARTS = re.compile(f"({_TOKEN.pattern})")
 _CUES = frozenset("password passwd secret token key apikey api_key bearer auth authorization private pwd".split())
-#: a cue word, alone or as a part of a name (secret_key, DB_PASSWORD, authToken)
-_CUE = re.compile(r"password|passwd|secret|token|key|bearer|auth|private|pwd", re.IGNORECASE | re.ASCII)
+#: tokens and forms that a reader keeps from batch to batch
+_KEPT_TOKENS, _KEPT_FORMS = 200_000, 20_000
+#: a cue this far back, or further, or none
+_FAR = 7
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -82,7 +82,7 @@ def labelled_table(seed: int = 11, rows: int = 420) -> list[tuple[str, list[tupl
         end = " ".join(word() for _ in range(r.randint(0, 5)))
         text = lead + v + r.choice(tails) + (" " + end if end else "")
         out.append((text, [(len(lead), len(lead) + len(v))] if i % 2 else []))
-    return out + _cue_rows(r, pick, word)
+    return out + _cue_rows(r, pick, word) + _long_word_rows(r, word)
 
 
 def _cue_rows(r: random.Random, pick, word, rows: int = 720) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -112,25 +112,51 @@ def _cue_rows(r: random.Random, pick, word, rows: int = 720) -> list[tuple[str,
     return out
 
 
+def _long_word_rows(r: random.Random, word, rows: int = 120) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Lines of prose with long words, small or with a large first letter, and no secret."""
+    out = []
+    for _ in range(rows):
+        words = [word() for _ in range(r.randint(0, 8))]
+        long = "".join(word() + r.choice(["", "", "ä", "ö", "ü", "ß", "é"]) for _ in range(r.randint(3, 6)))
+        words.insert(r.randint(0, len(words)), r.choice([long, long.capitalize(), long.capitalize()]))
+        out.append((" ".join(words) + r.choice(["", ".", ",", "!"]), []))
+    return out
+
+
+def _form(t: str) -> tuple[tuple[str, ...], str, int, int, bool]:
+    """What features know of a token itself: five names, its signs and size as
+    text, how often small letters turn large, its size, and whether it is a cue."""
+    low = t.lower()
+    kinds = digit, small, large = any(map(str.isdigit, t)), any(map(str.islower, t)), any(map(str.isupper, t))
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:])) if digit else 0
+    size = min(6, len(t) // 6)
+    cased = min(sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])), 3) if small and large else 0
+    names = (tagging.shape(t) if len(t) < 12 else f"long{size}{kinds}",
+             low if low in _CUES or not t.isalnum() and len(t) == 1 else "-",
+             f"k{kinds}{size}", f"t{min(turns, 6)}{size}", "hex" if len(t) >= 16 and re.fullmatch("[0-9a-f]+", t) else "no")
+    return names, f"{kinds}{size}", cased, size, not _CUES.isdisjoint(low.replace("-", "_").split("_"))
+
+
+def _since(form: tuple, since: int) -> list[str]:
+    """Names that tell how far back a cue word stands, up to four tokens."""
+    _, kinds, cased, size, _ = form
+    return [f"c{min(since, 5)}{kinds}", f"u{cased}{since < 5}{size}"]
+
+
+def _touch(touches: bool, since: int) -> str:
+    return f"j{touches}{min(since, _FAR)}"
+
+
 def _rows(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
     """Names of each token's features; the last three tell how far back
     a cue word stands (up to four tokens), how often small letters turn large,
     and whether the token touches the one before."""
     out, since, upto = [], 9, -1
     for s, e in spans:
-        t = text[s:e]
-        low = t.lower()
-        kinds = (any(c.isdigit() for c in t), any(c.islower() for c in t), any(c.isupper() for c in t))
-        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(t, t[1:]))
-        size = min(6, len(t) // 6)
-        cased = min(sum(a.islower() and b.isupper() for a, b in zip(t, t[1:])), 3)
-        out.append([tagging.shape(t) if len(t) < 12 else f"long{size}{kinds}",
-                    low if low in _CUES or not t.isalnum() and len(t) == 1 else "-",
-                    f"k{kinds}{size}", f"t{min(turns, 6)}{size}", "hex" if re.fullmatch("[0-9a-f]{16,}", t) else "no",
-                    f"c{min(since, 5)}{kinds}{size}", f"u{cased}{since < 5}{size}",
-                    f"j{s == upto}{min(since, 7)}"])
+        form = _form(text[s:e])
+        out.append([*form[0], *_since(form, since), _touch(s == upto, since)])
         upto = e
-        since = 1 if not _CUES.isdisjoint(re.split("[_-]", low)) else since + 1
+        since = 1 if form[-1] else since + 1
     return out
 
 
@@ -161,32 +187,126 @@ def train(table: list[tuple[str, list[tuple[int, int]]]] | None = None, rounds:
     return fit(x, np.array(lens, np.int64), np.array(labels, np.int64), tagging.BUCKETS, 3, rounds, rate=0.2)
 
 
-def spans_of(texts: list[str], model: Crf, every_line: bool = False) -> tuple[list[list], list[list]]:
-    """(base spans, all spans) of each text, both by start, then kind;
-    ``every_line`` reads lines without a cue or a long run as well."""
+class _Forms(dict):
+    """Number of each token's form; 0 is the place before or after a line."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.number: dict[tuple, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        form = _form(token)
+        self[token] = n = self.number.setdefault(form, len(self.number) + 1)
+        return n
+
+
+class Reader:
+    """Labels of all tokens of whole texts under the model, from the features
+    of ``_rows``, ``file_features`` and ``tagging.features``: label scores are
+    summed per form and distance of a cue, per neighbour's form, per pair and
+    triple of shapes, and looked up by number."""
+
+    def __init__(self, model: Crf):
+        self.model, self.forms, self.built = model, _Forms(), -1
+        self.touch = self._sums([[_touch(t, k)] for t in (False, True) for k in range(_FAR + 1)])
+
+    def _sums(self, names: list[list[str]]) -> np.ndarray:
+        """Label scores of each list of names (all of the same length)."""
+        return self.model.scores(np.array([[tagging.bucket(x) for x in some] for some in names], np.int64))
+
+    def _build(self) -> None:
+        """The tables of the forms, as far as they are known."""
+        if self.built == len(self.forms.number):
+            return
+        forms = list(self.forms.number)
+        heads = [("edge", "edge"), *(f[0][:2] for f in forms)]
+        shapes: dict[str, int] = {}
+        self.shape = np.array([shapes.setdefault(a, len(shapes)) for a, _ in heads], np.int64)
+        self.shapes = list(shapes)
+        self.cue = np.array([False, *(f[-1] for f in forms)])
+        own = self._sums([[*f[0], *_since(f, k)] for f in forms for k in range(_FAR + 1)]) if forms else np.zeros((0, 3))
+        self.own = np.concatenate([np.zeros((_FAR + 1, own.shape[1])), own])
+        self.near = {d: self._sums([[f"{d}|{a}", f"{d}|{b}"] if d in (-1, 1) else [f"{d}|{a}"] for a, b in heads])
+                     for d in (-2, -1, 1, 2)}
+        self.built = len(forms)
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, line, start, end, label) of every token; lines are numbered
+        over all texts, places are those in the token's text."""
+        if len(self.forms) > _KEPT_TOKENS or len(self.forms.number) > _KEPT_FORMS:
+            self.forms = _Forms()
+            self.built = -1
+        joined = "\n".join(texts)
+        parts = _PARTS.split(joined)  # blanks and tokens by turns
+        n = len(parts) // 2
+        form = np.fromiter(map(self.forms.__getitem__, parts[1::2]), np.int64, n)
+        edge = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        start, end = edge[:-1:2], edge[1::2]
+        del parts
+        self._build()
+        breaks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+        line = np.searchsorted(breaks, start)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes + 1) - sizes - 1
+        text = np.searchsorted(first, start, side="right") - 1
+        if not n:
+            return text, line, start, end, np.zeros(0, np.int64)
+        at = np.arange(n)
+        opens = np.concatenate([[True], line[1:] != line[:-1]])
+        heads = np.flatnonzero(opens)
+        lens = np.diff(np.append(heads, n))
+        last = np.maximum.accumulate(np.where(self.cue[form], at, -1))
+        before = np.concatenate([[-1], last[:-1]])
+        since = np.where(before >= np.repeat(heads, lens), np.minimum(at - before, _FAR), _FAR)
+        touches = np.concatenate([[False], start[1:] == end[:-1]])
+        shared = self._sums([file_features(t) for t in texts])
+
+        def beside(d: int) -> np.ndarray:
+            """Form of the token ``d`` places on in the line, or 0."""
+            out = np.zeros(n, np.int64)
+            if abs(d) < n:
+                a, b = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+                out[a] = np.where(line[a] == line[b], form[b], 0)
+            return out
+
+        scores = np.take(self.own, form * (_FAR + 1) + since, axis=0)
+        scores += np.take(self.touch, touches * (_FAR + 1) + since, axis=0)
+        scores += np.take(shared, text, axis=0)
+        for d, table in self.near.items():
+            scores += np.take(table, beside(d), axis=0)
+        s, here = len(self.shapes), self.shape[form]
+        left, right = self.shape[beside(-1)], self.shape[beside(1)]
+        pair, of = np.unique(left * s + here, return_inverse=True)
+        scores += np.take(self._named("l", pair // s, pair % s), of, axis=0)
+        triple, which = np.unique(of * s + right, return_inverse=True)
+        a, b, c = pair[triple // s] // s, pair[triple // s] % s, triple % s
+        scores += np.take(self._named("w", a, b, c) + self._named("r", b, c), which, axis=0)
+        return text, line, start - first[text], end - first[text], self.model.decode(scores, lens)
+
+    def _named(self, kind: str, *shapes: np.ndarray) -> np.ndarray:
+        """Label scores of pairs or triples of shapes."""
+        names = [[self.shapes[i] for i in some.tolist()] for some in shapes]
+        return self._sums([[f"{kind}|{'|'.join(some)}"] for some in zip(*names)])
+
+
+def spans_of(texts: list[str], model: Crf | Reader) -> tuple[list[list], list[list]]:
+    """(base spans, all spans) of each text, both by start, then kind; the
+    model reads every line."""
     base = [base_spans(t) for t in texts]
-    extra: list[list] = [[] for _ in texts]
-    feats, lens, where, memo = [], [], [], {}
-    for i, text in enumerate(texts):
-        if not (every_line or base[i] or _CUE.search(text) or _LONG.search(text)):
-            continue
-        shared, at = file_features(text), 0
-        for line in text.split("\n"):
-            if (every_line or _CUE.search(line) or _LONG.search(line)) and (toks := [m.span() for m in _TOKEN.finditer(line)]):
-                feats.append(tagging.features(_rows(line, toks), shared, memo))
-                lens.append(len(toks))
-                where.append((i, at, toks))
-            at += len(line) + 1
-    if lens:
-        best = model.viterbi(np.concatenate(feats), np.array(lens))
-        done, taken = 0, {i: tagging.Taken(base[i]) for i in {w[0] for w in where}}
-        for (i, at, toks), n in zip(where, lens):
-            for _, a, b in tagging.runs(best[done:done + n], {1: "secret"}, {2: "secret"}):
-                s, e = at + toks[a][0], at + toks[b][1]
-                if not taken[i].meets(s, e):
-                    extra[i].append(("secret", s, e))
-            done += n
-    both = [sorted(b + x, key=lambda v: (v[1], KINDS.index(v[0]), v[2])) if x else b for b, x in zip(base, extra)]
+    extra: dict[int, list] = {}
+    taken: dict[int, tagging.Taken] = {}
+    reader = model if isinstance(model, Reader) else Reader(model)
+    text, line, start, end, label = reader.read(texts)
+    for a in np.flatnonzero(label == 1).tolist():
+        b = a
+        while b + 1 < len(label) and label[b + 1] == 2 and line[b + 1] == line[a]:
+            b += 1
+        i, s, e = int(text[a]), int(start[a]), int(end[b])
+        if i not in taken:
+            taken[i] = tagging.Taken(base[i])
+        if not taken[i].meets(s, e):
+            extra.setdefault(i, []).append(("secret", s, e))
+    both = [sorted(b + extra[i], key=lambda v: (v[1], KINDS.index(v[0]), v[2])) if i in extra else b for i, b in enumerate(base)]
     return base, both
 
 
@@ -194,10 +314,10 @@ def find_secrets(docs: DataFrame, model: Crf | None = None, id_col: str = "doc_i
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans
     (all spans), n_added. A null text counts as empty."""
-    model = model or train()
+    reader = Reader(model or train())  # every task has its own copy
 
     def work(texts: list[str]) -> list[list]:
-        base, both = spans_of(texts, model)
+        base, both = spans_of(texts, reader)
         counts = [[sum(k == kind for k, _, _ in b) for b in base] for kind in KINDS[:3]]
         sha = [hashlib.sha256(digest_spans(b).encode()).hexdigest() for b in base]
         return counts + [sha, [digest_spans(b) for b in both], [len(y) - len(x) for x, y in zip(base, both)]]
