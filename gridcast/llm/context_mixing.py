@@ -18,12 +18,12 @@ its bits per byte.
   it is coded by its share of such words' counts; else by its spelling: bytes and
   a closing blank, bit by bit under the one to four bytes before, computed once
   per distinct word, not per occurrence.
-* **What is learnt.** Word counts, the counts of all contexts and the spelling
-  counts come from all training texts (each distinct word is one example of
-  spelling), but for a bounded sample (``START_DOCS``
-  texts and ``START_WORDS`` words expected, a tenth at most, chosen by hash) whose
-  words are counted but whose contexts are not: the start of the weights is fitted
-  on it in an online sweep, as on texts that the tables have not seen.
+* **What is learnt.** Word counts, the counts of all contexts, the spelling
+  counts and the start of the weights come from all training texts (each
+  distinct word is one example of spelling). The weights are fitted to every bit with
+  that bit itself taken out of the counts, as the tables have not seen a new
+  text's bits: every task sweeps its texts once by Newton steps, and the tasks'
+  weights are averaged by their information (second derivatives).
 * **Scale.** Frequent words never meet a shuffle: their counts are broadcast
   and summed in the row. Only the others travel, as (text, word, n), to the word
   table, by word; each is rare by the list's making. Context tables have a
@@ -62,8 +62,6 @@ WORDS = 65_534
 LEAST = 2
 #: slots of each hashed context table, as a power of two
 SLOT_BITS = 20
-#: texts and words that the start of the weights is fitted on, about
-START_DOCS, START_WORDS = 2_000, 100_000
 #: words longer than this go by digest
 LONG = 48
 END, ESCAPE = 0, 1
@@ -71,6 +69,8 @@ END, ESCAPE = 0, 1
 FIRST_BLOCK, LAST_BLOCK = 32, 1024
 #: words of all texts that advance together
 WAVE = 4_096
+#: bytes that are spelt together
+SPELT = 1 << 16
 #: distinct words that a task holds before it gives them out
 HELD_WORDS = 200_000
 #: slots of an emitted block of counts
@@ -80,8 +80,10 @@ PARTS = 64
 #: prior count of either bit
 PRIOR = 0.4
 GATES, BINS = 24, 32
-#: step of the weights, the map and the starting sweep
+#: step of the weights and the map
 RATE, MAP_RATE = 0.02, 0.02
+#: how firmly the fit holds to equal weights
+FIRM = 50.0
 _ONE = np.zeros(1, np.int64)
 _SPELL_BITS = (16, 18, 20, 20)
 
@@ -194,22 +196,26 @@ class SpellContexts:
         self.at = [sum(1 << b for b in _SPELL_BITS[:i]) for i in range(4)]
         self.size = sum(1 << b for b in _SPELL_BITS)
 
-    def bits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word of every bit, slots, bit, gate depth) of words spelt with a
-        closing blank; contexts do not reach before a word."""
+    def grams(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, gram) of every byte of words spelt with a closing blank: the
+        byte and the four before, the nearest one lowest; a gram does not reach
+        before its word."""
         joined = b" ".join([*words, b""])
-        text = np.frombuffer(joined, np.uint8).astype(np.uint32)
+        text = np.frombuffer(joined, np.uint8).astype(np.int64)
         sizes = np.array([len(w) + 1 for w in words])
         first = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(words)), sizes)
         behind = np.arange(len(text)) - first[word]
-
-        def before(k: int) -> np.ndarray:
-            out = np.full(len(text), 32, np.uint32)
+        gram = text.copy()
+        for k in (1, 2, 3, 4):
+            out = np.full(len(text), 32, np.int64)
             out[k:] = text[:-k] if len(text) > k else out[k:]
-            return np.where(behind >= k, out, 32).astype(np.uint32)
+            gram |= np.where(behind >= k, out, 32) << (8 * k)
+        return word, gram
 
-        b1, b2, b3, b4 = (before(k) for k in (1, 2, 3, 4))
+    def bits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots, bit, gate depth) of the eight bits of every gram's byte."""
+        text, b1, b2, b3, b4 = ((grams >> (8 * k) & 255).astype(np.uint32) for k in range(5))
         contexts = [b1, _hash(b1, b2), _hash(b1, b2, b3), _hash(b1, b2, b3, b4)]
         steps = np.arange(7, -1, -1, dtype=np.uint32)
         whole = text | np.uint32(256)
@@ -220,8 +226,7 @@ class SpellContexts:
         for i in (1, 2, 3):
             slots[i] = _slots(np.repeat(contexts[i], 8), node, _SPELL_BITS[i])
             slots[i] += self.at[i]
-        deep = np.tile(np.array([0, 0, 0, 1, 1, 2, 2, 3], np.int32) * 6, len(text))
-        return np.repeat(word, 8), slots, bit, deep
+        return slots, bit, np.tile(np.array([0, 0, 0, 1, 1, 2, 2, 3], np.int32) * 6, len(text))
 
 
 # ---- tables -----------------------------------------------------------------
@@ -232,11 +237,14 @@ class Tables:
     times, 2: more), so that one look-up gives both."""
 
     def __init__(self, counts: np.ndarray):
-        n = counts.astype(np.float32)
+        self.logit = self._logits(counts.astype(np.float32))
+
+    @staticmethod
+    def _logits(n: np.ndarray) -> np.ndarray:
         seen = n.sum(axis=1)
         logit = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)).astype(np.float32)
         often = (seen > 1).astype(np.int32) + (seen > 12)
-        self.logit = (logit.view(np.int32) & ~3 | often).view(np.float32)
+        return (logit.view(np.int32) & ~3 | often).view(np.float32)
 
     def inputs(self, slots: np.ndarray) -> np.ndarray:
         return np.take(self.logit, slots)
@@ -247,6 +255,17 @@ class Tables:
         return deep + often[0] * 2 + (often[1] > 0)
 
 
+class TablesWithout(Tables):
+    """Logits for bits that are in the counts themselves: without that bit."""
+
+    def __init__(self, counts: np.ndarray):
+        n = counts.astype(np.float32)
+        self.logit = np.stack([self._logits(np.maximum(n - np.eye(2, dtype=np.float32)[b], 0)) for b in (0, 1)], axis=1).ravel()
+
+    def inputs(self, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        return np.take(self.logit, slots * 2 + bit.astype(np.int64))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))  # |x| stays under 50, see Mixer
 
@@ -292,6 +311,45 @@ class Mixer:
         return np.log(right)
 
 
+class Fit:
+    """Gated weights fitted in one sweep: every block of bits is a Newton step
+    with the second derivatives of all blocks so far."""
+
+    def __init__(self, k: int):
+        self.weights = start_weights(k).astype(np.float64)
+        self.firm = np.tile(np.eye(k) * FIRM, (GATES, 1, 1))
+        self.second = self.firm.copy()
+
+    def step(self, gate: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
+        """Learn from bits, each ``times`` often; ``x`` is (predictors, bits)."""
+        order = np.argsort(gate.astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        x, bit = np.take(x, order, axis=1), np.take(bit, order)
+        times = None if times is None else np.take(times, order).astype(np.float32)
+        for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if a == b:
+                continue
+            some = x[:, a:b]
+            p = sigmoid(np.clip(self.weights[g].astype(np.float32) @ some, -14.0, 14.0))
+            error, slack = bit[a:b] - p, p * (1.0 - p)
+            if times is not None:
+                error, slack = error * times[a:b], slack * times[a:b]
+            self.second[g] += (some * slack) @ some.T
+            self.weights[g] += np.linalg.solve(self.second[g], some @ error)
+
+    def sums(self) -> np.ndarray:
+        """What adds up over tasks: second derivatives, and with the weights."""
+        pull = np.einsum("gij,gj->gi", self.second, self.weights) - FIRM * start_weights(len(self.weights[0]))
+        return np.concatenate([(self.second - self.firm).ravel(), pull.ravel()])
+
+    @staticmethod
+    def joined(sums: np.ndarray, k: int) -> np.ndarray:
+        """The weights of all tasks' sums."""
+        second = sums[:GATES * k * k].reshape(GATES, k, k) + np.eye(k) * FIRM
+        pull = sums[GATES * k * k:].reshape(GATES, k) + FIRM * start_weights(k)
+        return np.linalg.solve(second, pull[:, :, None])[:, :, 0].astype(np.float32)
+
+
 def blocks(longest: int) -> Iterator[tuple[int, int]]:
     """(first token, tokens) of the blocks of a text."""
     at, size = 0, FIRST_BLOCK
@@ -330,13 +388,15 @@ def spell(words: list[bytes], tables: Tables, contexts: SpellContexts, weights:
     out, at = np.zeros(len(words)), 0
     while at < len(words):
         end, size = at, 0
-        while end < len(words) and (size == 0 or size + len(words[end]) < WAVE):
+        while end < len(words) and (size == 0 or size + len(words[end]) < SPELT):
             size += len(words[end]) + 1
             end += 1
-        word, slots, bit, deep = contexts.bits(words[at:end])
+        word, gram = contexts.grams(words[at:end])
+        grams, which = np.unique(gram, return_inverse=True)
+        slots, bit, deep = contexts.bits(grams)
         x = tables.inputs(slots)
         got = Mixer(weights, 1).step(_ONE, np.zeros(len(bit), np.int32), tables.gate(x, deep), x, bit, learn=False)
-        out[at:end] = np.bincount(word, got, end - at)
+        out[at:end] = np.bincount(word, got.reshape(-1, 8).sum(axis=1, dtype=np.float64)[which], end - at)
         at = end
     return out
 
@@ -424,33 +484,34 @@ def _counted(frame: DataFrame, size: int, work: Callable) -> np.ndarray:
 
 
 def _fitted(frame: DataFrame, k: int, work: Callable) -> np.ndarray:
-    """Start weights: one online sweep per task, averaged by bits."""
+    """Start weights: one sweep per task over all its rows, joined by what
+    each has seen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, bits = Mixer(start_weights(k), 1), np.zeros(GATES)
+        fit = Fit(k)
         for batch in batches:
-            work(batch, mixer, bits)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(mixer.weights).T.astype(np.float64).tobytes()], pa.binary()),
-                                          pa.array([bits.tobytes()], pa.binary())], ["w", "bits"])
+            work(batch, fit)
+        sums = fit.sums()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["place", "v"])
 
-    rows = frame.coalesce(64).mapInArrow(run, "w binary, bits binary").collect()
-    w = np.stack([np.frombuffer(r["w"]).reshape(GATES, k) for r in rows]) if rows else start_weights(k)[None]
-    b = np.stack([np.frombuffer(r["bits"]) for r in rows]) if rows else np.ones((1, GATES))
-    some = b.sum(axis=0)[:, None]
-    return np.where(some > 0, (w * b[:, :, None]).sum(axis=0) / np.maximum(some, 1), start_weights(k)).astype(np.float32)
+    rows = frame.mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect()
+    sums = np.zeros(GATES * k * (k + 1))
+    for r in rows:
+        sums[r["place"]] = r["v"]
+    return Fit.joined(sums, k)
 
 
 class Model:
     """What a worker needs, built once per process from the broadcast parts."""
 
-    def __init__(self, parts: dict):
+    def __init__(self, parts: dict, tables: type[Tables] = Tables):
         self.code = Code(parts["weights"])
         self.index = {w: i + 2 for i, w in enumerate(parts["words"])}
         self.log10 = np.array(parts["log10"])
         self.known = np.array(parts["known"])
         self.words = WordContexts(self.code, parts["slot_bits"])
         self.spelling = SpellContexts()
-        self.tables = Tables(parts["counts"]) if "counts" in parts else None
-        self.letters = Tables(parts["letters"]) if "letters" in parts else None
+        self.tables = tables(parts["counts"]) if "counts" in parts else None
+        self.letters = tables(parts["letters"]) if "letters" in parts else None
         self.mix, self.spell_mix = parts.get("mix"), parts.get("spell_mix")
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -458,7 +519,7 @@ class Model:
         return np.array([get(w, ESCAPE) for w in words] + [END], np.int32)
 
 
-def _on_worker(shared) -> Callable[[], Model]:
+def _on_worker(shared, tables: type[Tables] = Tables) -> Callable[[], Model]:
     """The model of one broadcast, kept by a worker process from task to task
     until it meets another broadcast: a worker holds one model at a time."""
     name = uuid.uuid4().hex
@@ -467,15 +528,14 @@ def _on_worker(shared) -> Callable[[], Model]:
         kept = per_worker(("context_mixing",), dict)
         if name not in kept:
             kept.clear()
-            kept[name] = Model(shared.value)
+            kept[name] = Model(shared.value, tables)
         return kept[name]
 
     return model
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS,
-                    slot_bits: int = SLOT_BITS, start_docs: int = START_DOCS,
-                    start_words: int = START_WORDS) -> DataFrame:
+                    slot_bits: int = SLOT_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes and bits_per_byte (null for an empty text) of every text."""
     spark = docs.sparkSession
@@ -502,12 +562,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     on_worker = _on_worker(code_only)
     training = rows.where(~F.col("held_out"))
 
-    def sampled(col: str, wanted: int, of: int) -> Column:
-        """A share of rows, ``wanted`` of them expected, a tenth at most."""
-        return F.pmod(F.xxhash64(col), F.lit(1 << 30)) < F.lit(int(min(0.1, wanted / max(of, 1)) * (1 << 30)))
-
-    sample, words_sample = sampled("doc_id", start_docs, ends), sampled("key", start_words, total["v"])
-
     def context_counts(batch: pa.RecordBatch, table: np.ndarray) -> None:
         model = on_worker()
         flat = table.reshape(-1)
@@ -523,18 +577,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     np.add.at(flat, slot * 2 + bit, 1)
 
     contexts = WordContexts(Code(parts["weights"]), slot_bits)
-    counts = _counted(training.where(~sample), contexts.size, context_counts)
+    counts = _counted(training, contexts.size, context_counts)
     parts = {**parts, "counts": contexts.with_nodes(counts)}
 
     code_only.destroy()
 
     def letter_counts(batch: pa.RecordBatch, table: np.ndarray) -> None:
         flat, spelling = table.reshape(-1), SpellContexts()
-        words = batch.column(0).to_pylist()
-        for a in range(0, len(words), WAVE):
-            _, slots, bit, _ = spelling.bits(words[a:a + WAVE])
+        grams, times = np.unique(spelling.grams(batch.column(0).to_pylist())[1], return_counts=True)
+        for a in range(0, len(grams), WAVE):
+            slots, bit, _ = spelling.bits(grams[a:a + WAVE])
+            n = np.repeat(times[a:a + WAVE], 8)
             for slot in slots:
-                np.add.at(flat, slot * 2 + bit.astype(np.int64), 1)
+                np.add.at(flat, slot * 2 + bit.astype(np.int64), n)
 
     short = (F.length("key") > 0) & (F.substring("key", 1, 1) != F.lit(b" "))
     names = spark.createDataFrame([(r["key"],) for r in listed], "key binary") if listed else None
@@ -544,36 +599,33 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = rare.agg(F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("n"),
                      F.count_if(F.col("n") == 1).alias("once")).first()
     new = (often["once"] + 1) / (often["n"] + often["once"] + 2)  # of the words after an escape, spelt
-    parts["letters"] = _counted(learnt.where(~words_sample), SpellContexts().size, letter_counts)
+    parts["letters"] = _counted(learnt, SpellContexts().size, letter_counts)
     tables_only = spark.sparkContext.broadcast(parts)
-    on_worker2 = _on_worker(tables_only)
+    on_worker2 = _on_worker(tables_only, TablesWithout)
 
-    def fit_words(batch: pa.RecordBatch, mixer: Mixer, bits: np.ndarray) -> None:
+    def fit_words(batch: pa.RecordBatch, fit: Fit) -> None:
         model = on_worker2()
-        for text in batch.column(1).to_pylist():
-            ids = model.ids(words_of(text or ""))
-            hashes = model.words.prepared(ids, np.zeros(1, np.int64))
-            for a in range(0, len(ids), 256):
-                tokens = np.arange(a, min(a + 256, len(ids)))
+        for piece in slices(iter([batch]), 1):
+            texts = [model.ids(words_of(t or "")) for t in piece.column(1).to_pylist()]
+            ids, n = np.concatenate(texts), np.array([len(t) for t in texts])
+            hashes = model.words.prepared(ids, np.cumsum(n) - n)
+            for a in range(0, len(ids), WAVE):
+                tokens = np.arange(a, min(a + WAVE, len(ids)))
                 place, entry = model.code.bits(ids[tokens])
-                slots, bit = model.words.slots(hashes, tokens, place, entry), model.code.bit[entry]
-                x = model.tables.inputs(slots)
-                gate = model.tables.gate(x, model.code.deep[entry])
-                mixer.step(_ONE, np.zeros(len(bit), np.int32), gate, x, bit)
-                bits += np.bincount(gate, minlength=GATES)
+                bit = model.code.bit[entry]
+                x = model.tables.inputs(model.words.slots(hashes, tokens, place, entry), bit)
+                fit.step(model.tables.gate(x, model.code.deep[entry]), x, bit)
 
-    def fit_letters(batch: pa.RecordBatch, mixer: Mixer, bits: np.ndarray) -> None:
+    def fit_letters(batch: pa.RecordBatch, fit: Fit) -> None:
         model = on_worker2()
-        words = batch.column(0).to_pylist()
-        for a in range(0, len(words), 64):
-            _, slots, bit, deep = model.spelling.bits(words[a:a + 64])
-            x = model.letters.inputs(slots)
-            gate = model.letters.gate(x, deep)
-            mixer.step(_ONE, np.zeros(len(bit), np.int32), gate, x, bit)
-            bits += np.bincount(gate, minlength=GATES)
-
-    parts["mix"] = _fitted(training.where(sample), 3, fit_words)
-    parts["spell_mix"] = _fitted(learnt.where(words_sample), 4, fit_letters)
+        grams, times = np.unique(model.spelling.grams(batch.column(0).to_pylist())[1], return_counts=True)
+        for a in range(0, len(grams), WAVE):
+            slots, bit, deep = model.spelling.bits(grams[a:a + WAVE])
+            x = model.letters.inputs(slots, bit)
+            fit.step(model.letters.gate(x, deep), x, bit, np.repeat(times[a:a + WAVE], 8))
+
+    parts["mix"] = _fitted(training, 3, fit_words)
+    parts["spell_mix"] = _fitted(learnt, 4, fit_letters)
     tables_only.destroy()
     whole = spark.sparkContext.broadcast(parts)
     on_worker3 = _on_worker(whole)
@@ -596,34 +648,38 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1):
             model = on_worker3()
-            texts, pairs, n_bytes = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            texts, keys, times, far_size, long, n_bytes = [], [], [], [], [], []
+            for text in batch.column(1).to_pylist():
                 data = (text or "")
                 words = words_of(data)
                 ids = model.ids(words)
                 n_bytes.append(len(data.encode("utf-8", "surrogatepass")))
-                far = [words[j] for j in np.flatnonzero(ids == ESCAPE)]
-                for w, c in Counter(far).items():
-                    own = float(spell([w], model.letters, model.spelling, model.spell_mix)[0]) if len(w) > LONG else None
-                    pairs.append((row + i, key_of(w), c, own))
+                far = Counter([words[j] for j in np.flatnonzero(ids == ESCAPE).tolist()])
+                if far and max(map(len, far)) > LONG:
+                    long += [(len(keys) + j, w) for j, w in enumerate(far) if len(w) > LONG]
+                keys += far
+                times += far.values()
+                far_size.append(len(far))
                 texts.append(ids)
+            own: list[float | None] = [None] * len(keys)
+            for j, w in long:
+                keys[j], own[j] = key_of(w), float(spell([w], model.letters, model.spelling, model.spell_mix)[0])
             n = np.array([len(t) for t in texts])
             text_of = np.repeat(np.arange(len(texts)), n)
             ids = np.concatenate(texts)
             ln = score_ids(texts, model.tables, model.words, model.mix)
             base = np.bincount(text_of, model.log10[ids], len(texts))
             known = np.bincount(text_of, model.known[ids], len(texts)).astype(np.int64)
-            m, p = len(texts), len(pairs)
+            m, p = len(texts), len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + m)), batch.column(0), batch.column(2), pa.array(n.astype(np.int64)),
                  pa.array(np.array(n_bytes, np.int64)), pa.array(known), pa.array(base), pa.array(ln),
                  pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], fields)
             if p:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in pairs], pa.int64()), pa.nulls(p, id_arrow), pa.nulls(p, pa.bool_()),
+                    [pa.array(row + np.repeat(np.arange(m), far_size)), pa.nulls(p, id_arrow), pa.nulls(p, pa.bool_()),
                      pa.nulls(p, pa.int64()), pa.nulls(p, pa.int64()), pa.nulls(p, pa.int64()), pa.nulls(p, pa.float64()),
-                     pa.array([x[3] for x in pairs], pa.float64()), pa.array([x[1] for x in pairs], pa.binary()),
-                     pa.array([x[2] for x in pairs], pa.int64())], fields)
+                     pa.array(own, pa.float64()), pa.array(keys, pa.binary()), pa.array(times, pa.int64())], fields)
             row += m
 
     fields = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "ln", "key", "n"]

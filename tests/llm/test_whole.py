@@ -1,9 +1,12 @@
 """Operators that read every line and learn from every text."""
 
 import random
+import zlib
 
 import numpy as np
+import pytest
 
+from gridcast.llm import context_mixing as cm
 from gridcast.llm import secret_scan, tagging
 
 
@@ -37,3 +40,63 @@ def test_secrets_of_every_line_against_plain_features():
     assert secret_scan.spans_of(texts, model)[1] == want
     reader = secret_scan.Reader(model)  # kept from batch to batch
     assert [secret_scan.spans_of([t], reader)[1][0] for t in texts] == want
+
+
+def test_counts_and_weights_are_learnt_from_every_training_text(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") + r.choice("xyz") + str(r.randint(0, 9)) for _ in range(r.randint(0, 9))) for _ in range(200)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    seen = []
+    for name in ("_counted", "_fitted"):
+        def noted(frame, *more, name=name, real=getattr(cm, name)):
+            seen.append((name, frame.count()))
+            return real(frame, *more)
+        monkeypatch.setattr(cm, name, noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert cm.score_documents(docs, n_words=40, slot_bits=16).count() == 200
+    words = len({w for t in train for w in t.split()})
+    assert seen == [("_counted", len(train)), ("_counted", words), ("_fitted", len(train)), ("_fitted", words)]
+
+
+def test_a_fit_does_not_see_the_bit_itself():
+    counts = np.array([[3, 0], [0, 1], [5, 60], [0, 0]], np.uint16)
+    got = cm.TablesWithout(counts)
+    for slot, (zero, one) in enumerate(counts.tolist()):
+        for bit in (0, 1):
+            less = np.array([[max(zero - (bit == 0), 0), max(one - (bit == 1), 0)]], np.uint16)
+            assert got.inputs(np.array([slot]), np.array([bit], np.float32))[0] == cm.Tables(less).inputs(np.array([0]))[0]
+
+
+def test_fit_of_several_tasks_is_the_logistic_regression():
+    r, k = np.random.default_rng(5), 3
+    x = r.normal(0, 1.5, (k, 60_000)).astype(np.float32)
+    gate = np.repeat([0, 7], 30_000)
+    true = np.array([[0.6, 0.3, -0.2], [0.1, 0.9, 0.4]])
+    bit = (r.random(60_000) < 1 / (1 + np.exp(-(true[(gate == 7).astype(int)] * x.T).sum(axis=1)))).astype(np.float32)
+    order, sums = r.permutation(60_000), 0
+    for task in np.array_split(order, 3):
+        fit = cm.Fit(k)
+        for some in np.array_split(task, 10):
+            fit.step(gate[some], x[:, some], bit[some])
+        sums = sums + fit.sums()
+    got = cm.Fit.joined(sums, k)
+    assert got[[0, 7]] == pytest.approx(true, abs=0.06)
+    assert got[[1, 23]] == pytest.approx(1 / 3)
+    twice, once = cm.Fit(k), cm.Fit(k)
+    once.step(gate[:50], x[:, :50], bit[:50], np.full(50, 2))
+    twice.step(np.tile(gate[:50], 2), np.tile(x[:, :50], 2), np.tile(bit[:50], 2))
+    assert once.weights == pytest.approx(twice.weights, abs=1e-5)
+
+
+def test_spelling_by_distinct_grams_is_that_of_every_byte():
+    spelling = cm.SpellContexts()
+    letters = cm.Tables(np.random.default_rng(2).integers(0, 30, (spelling.size, 2)).astype(np.uint16))
+    weights = np.random.default_rng(3).normal(0.3, 0.2, (cm.GATES, 4)).astype(np.float32)
+    words = [b"banana", b"", "ünï".encode(), b"anan", b"b" * 70, b"banana"]
+    want = []
+    for w in words:
+        slots, bit, deep = spelling.bits(spelling.grams([w])[1])
+        x = letters.inputs(slots)
+        mixed = (weights[letters.gate(x, deep)].T * x).sum(axis=0)
+        want.append(-np.log1p(np.exp(-np.clip(mixed, -14, 14) * (bit * 2 - 1))).sum())
+    assert cm.spell(words, letters, spelling, weights) == pytest.approx(want, rel=1e-4)
