@@ -48,7 +48,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+    return sorted(out, key=lambda x: x[1] * len(KINDS) + KINDS.index(x[0]))
 
 
 def labelled_table(seed: int = 11, rows: int = 420) -> list[tuple[str, list[tuple[int, int]]]]:

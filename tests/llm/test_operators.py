@@ -538,7 +538,7 @@ def test_oracles_on_small_tables(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         a = queries.queries()[name](spark, SF).toPandas()
