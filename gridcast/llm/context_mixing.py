@@ -24,6 +24,9 @@ its bits per byte.
   that bit itself taken out of the counts, as the tables have not seen a new
   text's bits: every task sweeps its texts once by Newton steps, and the tasks'
   weights are averaged by their information (second derivatives).
+* **Passes.** Texts are split into words twice: once to count the words, once to
+  write every text as its symbols (two bytes each) and its words without a code.
+  The passes that count contexts, fit the weights and score read that table.
 * **Scale.** Frequent words never meet a shuffle: their counts are broadcast
   and summed in the row. Only the others travel, as (text, word, n), to the word
   table, by word; each is rare by the list's making. Context tables have a
@@ -44,6 +47,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.llm.texts import per_worker, slices
-from gridcast.session import written
+from gridcast.session import forget, written
 
 #: words with a code of their own
 WORDS = 65_534
@@ -71,6 +75,8 @@ FIRST_BLOCK, LAST_BLOCK = 32, 1024
 WAVE = 4_096
 #: bytes that are spelt together
 SPELT = 1 << 16
+#: bytes of symbols that a worker takes at once, about
+SLICE_IDS = 1 << 20
 #: distinct words that a task holds before it gives them out
 HELD_WORDS = 200_000
 #: slots of an emitted block of counts
@@ -85,6 +91,7 @@ RATE, MAP_RATE = 0.02, 0.02
 #: how firmly the fit holds to equal weights
 FIRM = 50.0
 _ONE = np.zeros(1, np.int64)
+_NODE, _SPREAD = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _SPELL_BITS = (16, 18, 20, 20)
 
 
@@ -125,19 +132,33 @@ class Code:
         self.nodes = size - first
         #: training count of either bit at each node: the weights below
         self.sides = np.array(sides[::-1], np.int64)
-        self.length = np.array([len(p) for p in own], np.int32)
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
+        self.length = np.array([len(p) for p in own], np.int64)
+        self.start = np.cumsum(self.length) - self.length
         flat = np.array([x for p in own for x in p], np.int32).reshape(-1, 2)
-        self.node, self.bit = flat[:, 0].astype(np.uint32), flat[:, 1].astype(np.float32)
         depth = np.concatenate([np.arange(n) for n in self.length])
-        self.deep = np.minimum(depth // 4, 3).astype(np.int32) * 6
+        #: node, depth class and bit of every entry of the paths, in one number
+        #: so that a bit costs one look-up
+        self.paths = (flat[:, 0] << 3 | np.minimum(depth // 4, 3) << 1 | flat[:, 1]).astype(np.uint32)
+
+    @classmethod
+    def built(cls, arrays: dict) -> Code:
+        """The code with the attributes of one built before."""
+        code = cls.__new__(cls)
+        vars(code).update(arrays)
+        return code
 
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(symbol's place, entry of the paths) of every bit."""
+        """Bits of every symbol, and the entry of the paths of every bit."""
         n = self.length[symbols]
-        place = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
-        ahead = self.start[symbols] - (np.cumsum(n) - n)
-        return place, np.arange(len(place)) + ahead[place]
+        return n, np.take(self.paths, _ranges(self.start[symbols], n), mode="clip")
+
+    @staticmethod
+    def bit(paths: np.ndarray) -> np.ndarray:
+        return (paths & np.uint32(1)).astype(np.float32)
+
+    @staticmethod
+    def deep(paths: np.ndarray) -> np.ndarray:
+        return (paths >> np.uint32(1) & np.uint32(3)).astype(np.int32) * 6
 
 
 def _hash(*parts: np.ndarray) -> np.ndarray:
@@ -148,9 +169,12 @@ def _hash(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def _slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = (context ^ (node * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-    return h >> np.uint32(32 - bits)
+def _slots(context: np.ndarray, mixed: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of bits; ``context`` is overwritten, ``mixed`` is node * _NODE."""
+    context ^= mixed
+    context *= _SPREAD
+    context >>= np.uint32(32 - bits)
+    return context
 
 
 class WordContexts:
@@ -173,12 +197,13 @@ class WordContexts:
         two[later[later < len(ids)]] = END
         return [_hash(one), _hash(one, two)]
 
-    def slots(self, hashes: list[np.ndarray], tokens: np.ndarray, place: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        node = np.take(self.code.node, entry)
+    def slots(self, hashes: list[np.ndarray], tokens: np.ndarray | slice, n: np.ndarray, paths: np.ndarray) -> np.ndarray:
+        node = paths >> np.uint32(3)
         out = np.empty((3, len(node)), np.int64)
         out[0] = node
+        node *= _NODE
         for i, h in enumerate(hashes):
-            np.add(_slots(np.take(h[tokens], place), node, self.slot_bits), self.at[i + 1], out=out[i + 1])
+            np.add(_slots(np.repeat(h[tokens], n), node, self.slot_bits), self.at[i + 1], out=out[i + 1])
         return out
 
     def with_nodes(self, counts: np.ndarray) -> np.ndarray:
@@ -223,8 +248,9 @@ class SpellContexts:
         bit = ((text[:, None] >> steps[None, :]) & 1).ravel().astype(np.float32)
         slots = np.empty((4, len(node)), np.int64)
         slots[0] = np.repeat(contexts[0], 8) * 256 + node
+        mixed = node * _NODE
         for i in (1, 2, 3):
-            slots[i] = _slots(np.repeat(contexts[i], 8), node, _SPELL_BITS[i])
+            slots[i] = _slots(np.repeat(contexts[i], 8), mixed, _SPELL_BITS[i])
             slots[i] += self.at[i]
         return slots, bit, np.tile(np.array([0, 0, 0, 1, 1, 2, 2, 3], np.int32) * 6, len(text))
 
@@ -247,7 +273,7 @@ class Tables:
         return (logit.view(np.int32) & ~3 | often).view(np.float32)
 
     def inputs(self, slots: np.ndarray) -> np.ndarray:
-        return np.take(self.logit, slots)
+        return np.take(self.logit, slots, mode="clip")
 
     def gate(self, x: np.ndarray, deep: np.ndarray) -> np.ndarray:
         """Depth class, and how well the second and third predictor are known."""
@@ -263,7 +289,9 @@ class TablesWithout(Tables):
         self.logit = np.stack([self._logits(np.maximum(n - np.eye(2, dtype=np.float32)[b], 0)) for b in (0, 1)], axis=1).ravel()
 
     def inputs(self, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        return np.take(self.logit, slots * 2 + bit.astype(np.int64))
+        at = slots * 2
+        at += bit.astype(np.int64)
+        return np.take(self.logit, at, mode="clip")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -286,29 +314,38 @@ class Mixer:
         """ln probability of every bit; then the weights and the map of
         ``texts`` learn from the whole block. ``of`` says which of them a bit
         belongs to; ``x`` is (predictors, bits)."""
-        of = of.astype(np.int64)
-        at, size = of * GATES + gate, len(texts) * GATES
-        mixed = np.zeros(len(bit), np.float32)
+        at, size = of * GATES, len(texts) * GATES
+        at += gate
+        mixed, some = np.zeros(len(bit), np.float32), np.empty(len(bit), np.float32)
         for w, xj in zip(self.weights, x):
-            mixed += np.take(w[texts], at) * xj
+            np.take(w[texts], at, out=some, mode="clip")
+            some *= xj
+            mixed += some
         np.clip(mixed, -14.0, 14.0, out=mixed)
-        cell = of * BINS + np.clip((mixed + 8.0) * 2.0, 0, BINS - 1).astype(np.int64)
-        fine = mixed + np.take(self.map[texts], cell)  # map entries stay small: each step is damped
+        np.add(mixed, 8.0, out=some)
+        some *= 2.0
+        cell = np.clip(some, 0, BINS - 1, out=some).astype(np.int64)
+        cell += of * BINS
+        mixed += np.take(self.map[texts], cell, out=some, mode="clip")  # map entries stay small: each step is damped
         sign = bit * 2 - 1
-        right = sigmoid(fine * sign)
+        mixed *= sign
+        right = sigmoid(mixed)
         if learn:
-            wrong = 1.0 - right
-            error, slack = wrong * sign, wrong * right
+            wrong = np.subtract(1.0, right, out=mixed)
+            sign *= wrong
+            error, slack = sign, np.multiply(wrong, right, out=wrong)
             square = x[0] * x[0]
             for xj in x[1:]:
-                square += xj * xj
-            damp = 1.0 + RATE * np.bincount(at, slack * square, size)
+                square += np.multiply(xj, xj, out=some)
+            square *= slack
+            damp = 1.0 + RATE * np.bincount(at, square, size)
             for w, xj in zip(self.weights, x):
-                w[texts] += (RATE * np.bincount(at, error * xj, size) / damp).reshape(-1, GATES).astype(np.float32)
+                pull = np.bincount(at, np.multiply(error, xj, out=some), size)
+                w[texts] += (RATE * pull / damp).reshape(-1, GATES).astype(np.float32)
             push = MAP_RATE * np.bincount(cell, error, len(texts) * BINS)
             push /= 1.0 + MAP_RATE * np.bincount(cell, slack, len(texts) * BINS)
             self.map[texts] += push.reshape(-1, BINS).astype(np.float32)
-        return np.log(right)
+        return np.log(right, out=right)
 
 
 class Fit:
@@ -323,19 +360,31 @@ class Fit:
     def step(self, gate: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         """Learn from bits, each ``times`` often; ``x`` is (predictors, bits)."""
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=GATES))
-        x, bit = np.take(x, order, axis=1), np.take(bit, order)
-        times = None if times is None else np.take(times, order).astype(np.float32)
-        for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-            if a == b:
-                continue
-            some = x[:, a:b]
-            p = sigmoid(np.clip(self.weights[g].astype(np.float32) @ some, -14.0, 14.0))
-            error, slack = bit[a:b] - p, p * (1.0 - p)
-            if times is not None:
-                error, slack = error * times[a:b], slack * times[a:b]
-            self.second[g] += (some * slack) @ some.T
-            self.weights[g] += np.linalg.solve(self.second[g], some @ error)
+        size = np.bincount(gate, minlength=GATES)
+        met = np.flatnonzero(size)
+        size, starts = size[met], (np.cumsum(size) - size)[met]
+        x, bit = [np.take(xj, order, mode="clip") for xj in x], np.take(bit, order, mode="clip")
+        mixed = np.zeros(len(bit), np.float32)
+        for w, xj in zip(self.weights[met].T.astype(np.float32), x):
+            mixed += np.repeat(w, size) * xj
+        p = sigmoid(np.clip(mixed, -14.0, 14.0, out=mixed))
+        error = bit - p
+        slack = np.subtract(1.0, p, out=mixed)
+        slack *= p
+        if times is not None:
+            times = np.take(times, order).astype(np.float32)
+            error *= times
+            slack *= times
+        pull = np.empty((len(met), len(x), 1))
+        for i, xi in enumerate(x):
+            pull[:, i, 0] = np.add.reduceat(error * xi, starts)
+            part = slack * xi
+            for j, xj in enumerate(x[:i + 1]):
+                both = np.add.reduceat(part * xj, starts)
+                self.second[met, i, j] += both
+                if j < i:
+                    self.second[met, j, i] += both
+        self.weights[met] += np.linalg.solve(self.second[met], pull)[:, :, 0]
 
     def sums(self) -> np.ndarray:
         """What adds up over tasks: second derivatives, and with the weights."""
@@ -368,21 +417,53 @@ def score_ids(texts: list[np.ndarray], tables: Tables, contexts: WordContexts, w
     n = np.array([len(t) for t in texts])
     ids, starts, out = np.concatenate(texts), np.cumsum(n) - n, np.zeros(len(texts))
     hashes, mixer = contexts.prepared(ids, starts), Mixer(weights, len(texts))
+    code = contexts.code
     for first, size in blocks(int(n.max())):
         live = np.flatnonzero(n > first)
         take = np.minimum(n[live] - first, size)
         part = np.cumsum(take) // WAVE  # so many texts at once
         for some in np.split(np.arange(len(live)), np.flatnonzero(np.diff(part)) + 1):
             tokens = _ranges(starts[live[some]] + first, take[some])
-            place, entry = contexts.code.bits(ids[tokens])
-            of = np.repeat(np.arange(len(some), dtype=np.int32), take[some])[place]
-            slots = contexts.slots(hashes, tokens, place, entry)
-            x = tables.inputs(slots)
-            got = mixer.step(live[some], of, tables.gate(x, contexts.code.deep[entry]), x, contexts.code.bit[entry])
-            out[live[some]] += np.bincount(of, got, len(some))
+            per_token, paths = code.bits(ids[tokens])
+            ends = np.cumsum(per_token)[np.cumsum(take[some]) - 1]
+            per_text = np.diff(ends, prepend=0)
+            of = np.repeat(np.arange(len(some)), per_text)
+            x = tables.inputs(contexts.slots(hashes, tokens, per_token, paths))
+            got = mixer.step(live[some], of, tables.gate(x, code.deep(paths)), x, code.bit(paths))
+            out[live[some]] += np.add.reduceat(got, ends - per_text, dtype=np.float64)
     return out
 
 
+def _runs(texts: list[np.ndarray], contexts: WordContexts, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slots, paths) of the bits of ``size`` words at a time."""
+    ids, n = np.concatenate(texts), np.array([len(t) for t in texts])
+    hashes = contexts.prepared(ids, np.cumsum(n) - n)
+    for a in range(0, len(ids), size):
+        tokens = slice(a, a + size)
+        n, paths = contexts.code.bits(ids[tokens])
+        yield contexts.slots(hashes, tokens, n, paths), paths
+
+
+def count_contexts(texts: list[np.ndarray], contexts: WordContexts, table: np.ndarray) -> None:
+    """Add the bits of texts to ``table`` (slots, 2), but for the nodes' own
+    counts, which are known."""
+    flat = table.reshape(-1)
+    for slots, paths in _runs(texts, contexts, WAVE * 4):
+        side = paths & np.uint32(1)
+        for slot in slots[1:]:
+            slot *= 2
+            slot += side
+            np.add.at(flat, slot, 1)
+
+
+def fit_contexts(texts: list[np.ndarray], tables: TablesWithout, contexts: WordContexts, fit: Fit) -> None:
+    """Fit the weights to every bit of texts."""
+    for slots, paths in _runs(texts, contexts, WAVE):
+        bit = contexts.code.bit(paths)
+        x = tables.inputs(slots, bit)
+        fit.step(tables.gate(x, contexts.code.deep(paths)), x, bit)
+
+
 def spell(words: list[bytes], tables: Tables, contexts: SpellContexts, weights: np.ndarray) -> np.ndarray:
     """ln probability of the spelling of each word."""
     out, at = np.zeros(len(words)), 0
@@ -395,7 +476,7 @@ def spell(words: list[bytes], tables: Tables, contexts: SpellContexts, weights:
         grams, which = np.unique(gram, return_inverse=True)
         slots, bit, deep = contexts.bits(grams)
         x = tables.inputs(slots)
-        got = Mixer(weights, 1).step(_ONE, np.zeros(len(bit), np.int32), tables.gate(x, deep), x, bit, learn=False)
+        got = Mixer(weights, 1).step(_ONE, np.zeros(len(bit), np.int64), tables.gate(x, deep), x, bit, learn=False)
         out[at:end] = np.bincount(word, got.reshape(-1, 8).sum(axis=1, dtype=np.float64)[which], end - at)
         at = end
     return out
@@ -504,7 +585,7 @@ class Model:
     """What a worker needs, built once per process from the broadcast parts."""
 
     def __init__(self, parts: dict, tables: type[Tables] = Tables):
-        self.code = Code(parts["weights"])
+        self.code = Code.built(parts["code"]) if "code" in parts else Code(parts["weights"])
         self.index = {w: i + 2 for i, w in enumerate(parts["words"])}
         self.log10 = np.array(parts["log10"])
         self.known = np.array(parts["known"])
@@ -515,8 +596,9 @@ class Model:
         self.mix, self.spell_mix = parts.get("mix"), parts.get("spell_mix")
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.array([get(w, ESCAPE) for w in words] + [END], np.int32)
+        out = np.full(len(words) + 1, END, np.int32)
+        out[:-1] = np.fromiter(map(self.index.get, words, repeat(ESCAPE)), np.int32, len(words))
+        return out
 
 
 def _on_worker(shared, tables: type[Tables] = Tables) -> Callable[[], Model]:
@@ -542,7 +624,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    vocabulary, _ = written(count_words(rows), "words")
+    vocabulary, words_at = written(count_words(rows), "words")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v"),
                            F.count(F.lit(1)).alias("rows")).first()
     size, room = total["n"], total["n"] + 0.5 * (total["v"] + 1)
@@ -558,28 +640,47 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = {"words": [bytes(r["key"]) for r in listed], "slot_bits": slot_bits,
              "weights": [ends + 1, size - ends - sum(counts) + 1, *counts],
              "log10": [log10(ends), 0.0, *map(log10, counts)], "known": [int(ends > 0), 0, *([1] * len(counts))]}
+    contexts = WordContexts(Code(parts["weights"]), slot_bits)
+    parts["code"] = vars(contexts.code)
     code_only = spark.sparkContext.broadcast(parts)
     on_worker = _on_worker(code_only)
-    training = rows.where(~F.col("held_out"))
+    kind = np.uint16 if len(listed) + 2 <= 1 << 16 else np.int32
+
+    def symbols(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x, kind).astype(np.int32) for x in batch.column(2).to_pylist()]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            model = on_worker()
+            n_bytes, ids, far, times = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                data = text or ""
+                words = words_of(data)
+                of_text = model.ids(words)
+                rare = Counter([words[j] for j in np.flatnonzero(of_text == ESCAPE).tolist()])
+                n_bytes.append(len(data) if data.isascii() else len(data.encode("utf-8", "surrogatepass")))
+                ids.append(of_text.astype(kind).tobytes())
+                far.append(b" ".join(rare))
+                times.append(np.array([*rare.values()], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(far, pa.binary()),
+                 pa.array(times, pa.binary()), pa.array(n_bytes, pa.int64())],
+                ["doc_id", "held_out", "ids", "far", "times", "n_bytes"])
+
+    # every later pass reads the texts as symbols and their words without one
+    texts, coded_at = written(
+        rows.mapInArrow(coded, f"doc_id {id_type}, held_out boolean, ids binary, far binary, times binary, n_bytes long"), "coded")
+    code_only.destroy()
+    training = texts.where(~F.col("held_out")).select("doc_id", "held_out", "ids")
+    code_only = spark.sparkContext.broadcast({**parts, "words": []})
+    on_worker1 = _on_worker(code_only)
 
     def context_counts(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        model = on_worker()
-        flat = table.reshape(-1)
-        for piece in slices(iter([batch]), 1):
-            texts = [model.ids(words_of(t or "")) for t in piece.column(1).to_pylist()]
-            ids, n = np.concatenate(texts), np.array([len(t) for t in texts])
-            hashes = model.words.prepared(ids, np.cumsum(n) - n)
-            for a in range(0, len(ids), WAVE * 4):
-                tokens = np.arange(a, min(a + WAVE * 4, len(ids)))
-                place, entry = model.code.bits(ids[tokens])
-                bit = model.code.bit[entry].astype(np.int64)
-                for slot in model.words.slots(hashes, tokens, place, entry)[1:]:  # the nodes' counts are known
-                    np.add.at(flat, slot * 2 + bit, 1)
+        for piece in slices(iter([batch]), 2, SLICE_IDS):
+            count_contexts(symbols(piece), on_worker1().words, table)
 
-    contexts = WordContexts(Code(parts["weights"]), slot_bits)
     counts = _counted(training, contexts.size, context_counts)
-    parts = {**parts, "counts": contexts.with_nodes(counts)}
-
+    parts = {**parts, "words": [], "counts": contexts.with_nodes(counts)}
     code_only.destroy()
 
     def letter_counts(batch: pa.RecordBatch, table: np.ndarray) -> None:
@@ -594,7 +695,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = (F.length("key") > 0) & (F.substring("key", 1, 1) != F.lit(b" "))
     names = spark.createDataFrame([(r["key"],) for r in listed], "key binary") if listed else None
     rare = vocabulary.join(F.broadcast(names), "key", "left_anti") if names is not None else vocabulary
-    rare, _ = written(rare.where(F.length("key") > 0), "rare")
+    rare, rare_at = written(rare.where(F.length("key") > 0), "rare")
     learnt = vocabulary.where(short & (F.col("n") > 0)).select("key", "n")
     often = rare.agg(F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("n"),
                      F.count_if(F.col("n") == 1).alias("once")).first()
@@ -605,16 +706,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def fit_words(batch: pa.RecordBatch, fit: Fit) -> None:
         model = on_worker2()
-        for piece in slices(iter([batch]), 1):
-            texts = [model.ids(words_of(t or "")) for t in piece.column(1).to_pylist()]
-            ids, n = np.concatenate(texts), np.array([len(t) for t in texts])
-            hashes = model.words.prepared(ids, np.cumsum(n) - n)
-            for a in range(0, len(ids), WAVE):
-                tokens = np.arange(a, min(a + WAVE, len(ids)))
-                place, entry = model.code.bits(ids[tokens])
-                bit = model.code.bit[entry]
-                x = model.tables.inputs(model.words.slots(hashes, tokens, place, entry), bit)
-                fit.step(model.tables.gate(x, model.code.deep[entry]), x, bit)
+        for piece in slices(iter([batch]), 2, SLICE_IDS):
+            fit_contexts(symbols(piece), model.tables, model.words, fit)
 
     def fit_letters(batch: pa.RecordBatch, fit: Fit) -> None:
         model = on_worker2()
@@ -626,6 +719,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts["mix"] = _fitted(training, 3, fit_words)
     parts["spell_mix"] = _fitted(learnt, 4, fit_letters)
+    forget(spark, words_at)
     tables_only.destroy()
     whole = spark.sparkContext.broadcast(parts)
     on_worker3 = _on_worker(whole)
@@ -646,21 +740,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 2, SLICE_IDS):
             model = on_worker3()
-            texts, keys, times, far_size, long, n_bytes = [], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                data = (text or "")
-                words = words_of(data)
-                ids = model.ids(words)
-                n_bytes.append(len(data.encode("utf-8", "surrogatepass")))
-                far = Counter([words[j] for j in np.flatnonzero(ids == ESCAPE).tolist()])
+            texts, keys, far_size, long = symbols(batch), [], [], []
+            for joined in batch.column(3).to_pylist():
+                far = joined.split()
                 if far and max(map(len, far)) > LONG:
                     long += [(len(keys) + j, w) for j, w in enumerate(far) if len(w) > LONG]
                 keys += far
-                times += far.values()
                 far_size.append(len(far))
-                texts.append(ids)
+            times = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32).astype(np.int64)
             own: list[float | None] = [None] * len(keys)
             for j, w in long:
                 keys[j], own[j] = key_of(w), float(spell([w], model.letters, model.spelling, model.spell_mix)[0])
@@ -672,8 +761,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = np.bincount(text_of, model.known[ids], len(texts)).astype(np.int64)
             m, p = len(texts), len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + m)), batch.column(0), batch.column(2), pa.array(n.astype(np.int64)),
-                 pa.array(np.array(n_bytes, np.int64)), pa.array(known), pa.array(base), pa.array(ln),
+                [pa.array(np.arange(row, row + m)), batch.column(0), batch.column(1), pa.array(n.astype(np.int64)),
+                 batch.column(5), pa.array(known), pa.array(base), pa.array(ln),
                  pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], fields)
             if p:
                 yield pa.RecordBatch.from_arrays(
@@ -683,9 +772,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             row += m
 
     fields = ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "ln", "key", "n"]
-    done, _ = written(rows.mapInArrow(scored, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, "
+    done, _ = written(texts.mapInArrow(scored, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_bytes long, "
                                               "known long, base double, ln double, key binary, n long"), "scored")
     whole.destroy()  # both tables that need it are written
+    forget(spark, coded_at, rare_at)  # and nothing else reads these
     ln = F.when(F.col("c") >= 2, F.log(F.col("c") / F.lit(float(max(often["n"], 1)))) + math.log(1 - new)).otherwise(
         F.coalesce("own", "ln") + math.log(new))
     far = (done.where("key IS NOT NULL").select("row", "key", F.col("n").alias("times"), F.col("ln").alias("own"))

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by the size of the texts in column ``at``, so that a
     worker's memory does not depend on how long the texts of a batch are."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(size) - size) // SLICE_BYTES
+        part = (np.cumsum(size) - size) // most
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             if b > a:

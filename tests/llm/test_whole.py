@@ -100,3 +100,88 @@ def test_spelling_by_distinct_grams_is_that_of_every_byte():
         mixed = (weights[letters.gate(x, deep)].T * x).sum(axis=0)
         want.append(-np.log1p(np.exp(-np.clip(mixed, -14, 14) * (bit * 2 - 1))).sum())
     assert cm.spell(words, letters, spelling, weights) == pytest.approx(want, rel=1e-4)
+
+
+def test_texts_are_split_twice_only_and_scratch_is_given_back(spark, monkeypatch, tmp_path):
+    """The passes over contexts read symbols, not texts; what they read is deleted once scored."""
+    read, tables = [], []
+    for name in ("_counted", "_fitted"):
+        def noted(frame, *more, real=getattr(cm, name)):
+            read.append((frame.columns, sorted(map(bytes, frame.toPandas()["ids"])) if "ids" in frame.columns else None))
+            return real(frame, *more)
+        monkeypatch.setattr(cm, name, noted)
+
+    def kept(df, name, real=cm.written):
+        out, path = real(df, name)
+        tables.append((name, path))
+        return out, path
+    monkeypatch.setattr(cm, "written", kept)
+    texts = ["b b a rare", "A b\tb", None, "b \u00fcnsean a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], "doc_id long, text string")
+    texts = [r.text for r in docs.collect()]
+    got = cm.score_documents(docs, n_words=40, slot_bits=16)
+    assert "text" not in {c for columns, _ in read for c in columns}
+    count = sorted(w for t in texts for w in (t or "").lower().split())
+    listed = sorted({w for w in count if count.count(w) >= 2}, key=lambda w: (-count.count(w), w.encode()))
+    want = [np.array([listed.index(w) + 2 if w in listed else 1 for w in (t or "").lower().split()] + [0], np.uint16) for t in texts]
+    symbols = [ids for _, ids in read if ids is not None]
+    assert symbols == [sorted(w.tobytes() for w in want)] * 2
+    fs = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    there = {n for n, p in tables if fs(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs(p))}
+    assert there == {"spellings", "scored"}
+    assert got.count() == len(texts)
+
+
+def test_context_counts_and_paths_against_plain_loops():
+    r = np.random.default_rng(8)
+    code = cm.Code([5, 3, *range(1, 31)])
+    contexts = cm.WordContexts(code, 16)
+    texts = [r.integers(0, 32, n).astype(np.int32) for n in (1, 2, 3, 700, 9000)]
+    table = np.zeros((contexts.size, 2), np.int64)
+    cm.count_contexts(texts, contexts, table)
+    want = np.zeros_like(table)
+    ids, n = np.concatenate(texts), np.array([len(t) for t in texts])
+    hashes = contexts.prepared(ids, np.cumsum(n) - n)
+    paths = {}
+    for s in range(32):
+        _, path = code.bits(np.array([s]))
+        nodes, bits = path >> 3, path & 1
+        assert (code.deep(path) == np.minimum(np.arange(len(path)) // 4, 3) * 6).all()
+        assert nodes[0] == 0 and (code.bit(path) == bits).all()
+        paths[s] = list(zip(nodes.tolist(), bits.tolist()))
+    assert len({tuple(p) for p in paths.values()}) == 32
+    for at, s in enumerate(ids.tolist()):
+        for node, bit in paths[s]:
+            for i, h in enumerate(hashes):
+                slot = ((int(h[at]) ^ node * 0x85EBCA6B & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF) >> 16
+                want[contexts.at[i + 1] + slot, bit] += 1
+    assert (table == want).all()
+
+
+def test_online_scores_against_one_bit_after_the_other():
+    """The blocks' numpy against plain Python over the bits."""
+    r = np.random.default_rng(9)
+    contexts = cm.WordContexts(cm.Code([5, 3, *range(1, 31)]), 16)
+    tables = cm.Tables(r.integers(0, 40, (contexts.size, 2)).astype(np.uint16))
+    start = r.normal(0.3, 0.3, (cm.GATES, 3)).astype(np.float32)
+    ids = r.integers(0, 32, 150).astype(np.int32)
+    hashes, weights, fine, want = contexts.prepared(ids, np.zeros(1, np.int64)), start.astype(float), np.zeros(cm.BINS), 0.0
+    for first, size in cm.blocks(len(ids)):
+        pull, firm = np.zeros((cm.GATES, 3)), np.zeros(cm.GATES)
+        push, slacks = np.zeros(cm.BINS), np.zeros(cm.BINS)
+        for at in range(first, min(first + size, len(ids))):
+            n, paths = contexts.code.bits(ids[at:at + 1])
+            x = tables.inputs(contexts.slots(hashes, slice(at, at + 1), n, paths))
+            for g, v, bit in zip(tables.gate(x, contexts.code.deep(paths)), x.T.astype(float), contexts.code.bit(paths)):
+                mixed = min(max(float(weights[g] @ v), -14), 14)
+                cell = int(min(max((mixed + 8) * 2, 0), cm.BINS - 1))
+                right = 1 / (1 + np.exp(-(mixed + fine[cell]) * (2 * bit - 1)))
+                want += np.log(right)
+                error, slack = (1 - right) * (2 * bit - 1), right * (1 - right)
+                pull[g] += error * v
+                firm[g] += slack * (v @ v)
+                push[cell] += error
+                slacks[cell] += slack
+        weights += cm.RATE * pull / (1 + cm.RATE * firm)[:, None]
+        fine += cm.MAP_RATE * push / (1 + cm.MAP_RATE * slacks)
+    assert cm.score_ids([ids], tables, contexts, start)[0] == pytest.approx(want, rel=1e-4)
