@@ -360,31 +360,24 @@ class Fit:
     def step(self, gate: np.ndarray, x: np.ndarray, bit: np.ndarray, times: np.ndarray | None = None) -> None:
         """Learn from bits, each ``times`` often; ``x`` is (predictors, bits)."""
         order = np.argsort(gate.astype(np.uint8), kind="stable")
-        size = np.bincount(gate, minlength=GATES)
-        met = np.flatnonzero(size)
-        size, starts = size[met], (np.cumsum(size) - size)[met]
-        x, bit = [np.take(xj, order, mode="clip") for xj in x], np.take(bit, order, mode="clip")
-        mixed = np.zeros(len(bit), np.float32)
-        for w, xj in zip(self.weights[met].T.astype(np.float32), x):
-            mixed += np.repeat(w, size) * xj
-        p = sigmoid(np.clip(mixed, -14.0, 14.0, out=mixed))
-        error = bit - p
-        slack = np.subtract(1.0, p, out=mixed)
-        slack *= p
-        if times is not None:
-            times = np.take(times, order).astype(np.float32)
-            error *= times
-            slack *= times
-        pull = np.empty((len(met), len(x), 1))
-        for i, xi in enumerate(x):
-            pull[:, i, 0] = np.add.reduceat(error * xi, starts)
-            part = slack * xi
-            for j, xj in enumerate(x[:i + 1]):
-                both = np.add.reduceat(part * xj, starts)
-                self.second[met, i, j] += both
-                if j < i:
-                    self.second[met, j, i] += both
-        self.weights[met] += np.linalg.solve(self.second[met], pull)[:, :, 0]
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        given, x = x, np.empty(x.shape, np.float32)
+        for xj, out in zip(given, x):
+            np.take(xj, order, out=out, mode="clip")
+        bit = np.take(bit, order, mode="clip")
+        times = None if times is None else np.take(times, order).astype(np.float32)
+        weights, pull = self.weights.astype(np.float32), np.zeros((*self.weights.shape, 1))
+        for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if a == b:
+                continue
+            some = x[:, a:b]
+            p = sigmoid(np.clip(weights[g] @ some, -14.0, 14.0))
+            error, slack = bit[a:b] - p, p * (1.0 - p)
+            if times is not None:
+                error, slack = error * times[a:b], slack * times[a:b]
+            self.second[g] += (some * slack) @ some.T
+            pull[g, :, 0] = some @ error
+        self.weights += np.linalg.solve(self.second, pull)[:, :, 0]
 
     def sums(self) -> np.ndarray:
         """What adds up over tasks: second derivatives, and with the weights."""
